@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, quality_gam, simhash, suffix_dedup, topk_search, url_filter
+from . import byte_bpe, quality_gam, rlz_dedup, simhash, suffix_dedup, topk_search, url_filter
 
-MODULES = (topk_search, quality_gam, url_filter, byte_bpe, suffix_dedup, simhash)
+MODULES = (rlz_dedup, topk_search, quality_gam, url_filter, byte_bpe, suffix_dedup, simhash)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
