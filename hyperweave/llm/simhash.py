@@ -200,6 +200,184 @@ def classes(df: DataFrame, radius: int = 2, fp: str = "fp", id_col: str = "doc_i
     return rows.join(by_fp, rows[fp] == F.col("node_fp"), "left").drop("node_fp")
 
 
+WIDE = 256
+#: Chance that a pair at the threshold shares no band, and the fingerprints that a band's block should hold by chance.
+MISS, BY_CHANCE = 0.02, 32
+SIMILARITY, SHINGLE = 0.8, 5
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """The SimHash of WIDE bits of shingle hashes, as four uint64; no shingles give zero."""
+    if not len(h):
+        return np.zeros(WIDE // 64, np.uint64)
+    with np.errstate(over="ignore"):
+        wide = np.stack([h, *(_mixed(h + _GOLD * np.uint64(k)) for k in range(1, WIDE // 64))], axis=1)
+    places = wide.view(np.uint8).reshape(len(h), -1).astype(np.int64) + 256 * np.arange(WIDE // 8)
+    counts = np.bincount(places.ravel(), minlength=32 * WIDE).reshape(WIDE // 8, 256) @ _BYTE_BITS
+    return np.packbits((2 * counts > len(h)).ravel(), bitorder="little").view(np.uint64)
+
+
+def expected_distance(similarity: float) -> float:
+    """The share of bits in which two sets of equal size and this Jaccard similarity are expected to differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _near_pairs(words: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs within one group and ``radius`` bits, with their distances. The references are the first and the
+    farthest fingerprint of each group; pairs whose distances to either differ by more than the radius are discarded."""
+    order = np.argsort(group, kind="stable")
+    words, group = words[order], group[order]
+    first = np.searchsorted(group, group)
+    away = lambda x: np.bitwise_count(words ^ words[x]).sum(axis=1, dtype=np.int64)
+    one = away(first)
+    by_far = np.lexsort((-one, group))
+    two = away(by_far[first])
+    again = np.lexsort((one, group))
+    order, words, group, one, two = order[again], words[again], group[again], one[again], two[again]
+    left, right, far = [], [], []
+    rows, lag = np.arange(len(words)), 1
+    while len(rows):
+        rows = rows[rows + lag < len(words)]
+        near = (group[rows] == group[rows + lag]) & (one[rows + lag] - one[rows] <= radius)
+        rows = rows[near]
+        a = rows[np.abs(two[rows] - two[rows + lag]) <= radius]
+        d = np.bitwise_count(words[a] ^ words[a + lag]).sum(axis=1, dtype=np.int64)
+        ok = d <= radius
+        left.append(order[a[ok]])
+        right.append(order[a[ok] + lag])
+        far.append(d[ok])
+        lag += 1
+    cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+    return cat(left), cat(right), cat(far)
+
+
+def near_groups(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``df`` with ``group_id``: the least id of the rows that a chain of pairs joins whose shingle sets have this Jaccard similarity.
+
+    Such pairs differ in too many bits for the exact blocks of ``links``: at 0.8, in 15 of a hundred. So fingerprints of
+    256 bits meet in tables of randomly chosen bits; their number follows from MISS, the chance that a pair at the
+    threshold meets in none, and the bits of each from the number of fingerprints. A block too large is split by
+    further bits. In a block, pivot distances discard pairs, survivors are verified by their distance, and pairs in doubt
+    by their shingles. Copies (equal fingerprints) always join. Texts that are null or have no words form one group. Ids
+    are integers; rows with a null id get a hash of their text as group when nothing smaller is joined to them.
+    """
+    spark = df.sparkSession
+    names = [f"f{i}" for i in range(WIDE // 64)]
+    sure = int(WIDE * expected_distance(min(0.97, (1 + similarity) / 2)))
+    share = expected_distance(similarity)
+    radius = int(WIDE * share + 1.5 * np.sqrt(WIDE * share * (1 - share)))
+
+    def prints(batches):
+        for batch in batches:
+            fps = np.array([wide_fingerprint(shingle_hashes(t, n)) for t in texts(batch.column(text))], np.uint64).reshape(batch.num_rows, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), batch.column("tag"), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(len(names)))], names=["id", "tag", *names])
+
+    base = df.drop("group_id")
+    keyed = base.withColumn("tag", F.coalesce(F.xxhash64(text), F.lit(0)))
+    rows = stored(by_batch(keyed.select(id_col, "tag", text), "id long, tag long, " + ", ".join(f"{c} long" for c in names), prints), "wide-prints")
+    nodes = rows.groupBy(*names).agg(F.coalesce(F.min("id"), F.min("tag")).alias("node"))
+    nodes = stored(nodes, "wide-nodes")
+    count = max(2, nodes.count())
+    bits = int(np.clip(np.ceil(np.log2(count / BY_CHANCE)), 8, 48))
+    tables = int(np.ceil(np.log(MISS) / np.log1p(-((1 - share) ** bits))))
+    chosen = [np.random.default_rng([t, WIDE]).permutation(WIDE) for t in range(tables)]
+
+    def keys_of(words: np.ndarray, t: int, k: int) -> np.ndarray:
+        b = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, chosen[t][:k]]
+        wide = np.packbits(b, axis=1, bitorder="little")
+        out = np.full(len(words), t, np.uint64)
+        padded = np.zeros((len(words), -(-wide.shape[1] // 8) * 8), np.uint8)
+        padded[:, : wide.shape[1]] = wide
+        for w in padded.view(np.uint64).T:
+            out = _mixed(out * _GOLD + w)
+        return out.view(np.int64)
+
+    schema = "key long, t int, node long, " + ", ".join(f"{c} long" for c in names)
+
+    def tabled(level: int, only_table: bool):
+        def body(batches):
+            for batch in batches:
+                words = np.stack([batch.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
+                node = batch.column("node").to_numpy()
+                per_row = batch.column("t").to_numpy() if only_table else None
+                for t in range(tables) if len(node) else ():
+                    w = words[per_row == t] if only_table else words
+                    if not len(w):
+                        continue
+                    i = node[per_row == t] if only_table else node
+                    yield pa.RecordBatch.from_arrays([pa.array(keys_of(w, t, bits + 8 * level)), pa.array(np.full(len(w), t, np.int32)), pa.array(i), *(pa.array(np.ascontiguousarray(w[:, c]).view(np.int64)) for c in range(len(names)))], names=["key", "t", "node", *names])
+
+        return body
+
+    at = by_batch(nodes, schema, tabled(0, False))
+    done: DataFrame | None = None
+    for level in range(1, MAX_SPLITS + 1):
+        large = at.groupBy("key").count().where(F.col("count") > BLOCK_ROWS).select("key").checkpoint()
+        if large.isEmpty():
+            break
+        small = at.join(large, "key", "left_anti").select("key", "t", "node", *names)
+        done = small if done is None else done.union(small)
+        at = stored(by_batch(at.join(large, "key", "left_semi").select("t", "node", *names), schema, tabled(level, True)), "split-blocks")
+    made = (at if done is None else done.union(at)).repartition("key").sortWithinPartitions("key")
+
+    def body(batches):
+        held: pd.DataFrame | None = None
+
+        def linked(rows: pd.DataFrame) -> pa.RecordBatch:
+            words = rows[names].to_numpy(np.int64).view(np.uint64)
+            group = np.cumsum(rows["key"].diff().ne(0).to_numpy())
+            a, b, far = _near_pairs(words, group, radius)
+            order = np.argsort(far, kind="stable")
+            a, b, far = a[order], b[order], far[order]
+            kept = _forest(a, b)
+            distance = dict(zip(zip(a.tolist(), b.tolist(), strict=True), far.tolist(), strict=True))
+            pairs = np.array(kept, np.int64).reshape(-1, 2)
+            node = rows["node"].to_numpy(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]]), pa.array([distance[x] for x in kept], pa.int32())], names=["u", "v", "far"])
+
+        for batch in batches:
+            rows = batch.to_pandas()
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            if not len(rows):
+                continue
+            last = (rows["key"] == rows["key"].iloc[-1]).to_numpy()
+            held = rows[last]
+            if not last.all():
+                yield linked(rows[~last].reset_index(drop=True))
+        if held is not None:
+            yield linked(held.reset_index(drop=True))
+
+    found = by_batch(made.select("key", "node", *names), "u long, v long, far int", body)
+    edges = stored(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "far").where("u <> v").distinct(), "near-links")
+    doubtful = edges.where(F.col("far") > sure).select("u", "v")
+    ends = doubtful.select(F.col("u").alias("node")).union(doubtful.select(F.col("v").alias("node"))).distinct()
+    # One text stands for a node: the one of its least id, or of its least hash where ids are null.
+    by_key = keyed.select(F.coalesce(F.col(id_col).cast("long"), F.col("tag")).alias("node"), "tag", text).join(ends, "node", "left_semi")
+
+    def sets(batches):
+        for batch in batches:
+            some = [np.unique(shingle_hashes(t, n)).view(np.int64) for t in texts(batch.column(text))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("tag"), pa.array(some, pa.list_(pa.int64()))], names=["node", "tag", "hashes"])
+
+    shingles = by_batch(by_key, "node long, tag long, hashes array<long>", sets).dropDuplicates(["node"])
+    both = doubtful.join(shingles.select(F.col("node").alias("u"), F.col("hashes").alias("x")), "u").join(shingles.select(F.col("node").alias("v"), F.col("hashes").alias("y")), "v")
+    common = F.size(F.array_intersect("x", "y"))
+    verified = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v")
+    roots = components(edges.where(F.col("far") <= sure).select("u", "v").union(verified))
+    named = nodes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("group_id"))
+    labels = rows.join(named, names).select("id", "tag", "group_id").distinct()
+    out = keyed.join(labels, keyed[id_col].eqNullSafe(labels["id"]) & (keyed["tag"] == labels["tag"]), "left")
+    return out.select(*(keyed[c] for c in base.columns), "group_id")
+
+
 def hex64(column: str):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
