@@ -165,8 +165,8 @@ def judge_joined(df: DataFrame, rules: DataFrame, key: str, url: str = "url", de
     probes = probes.withColumn("n", F.explode(F.sequence(F.lit(0), F.length("path"))))
     probes = probes.select(key, F.concat("suffix", F.expr("substr(path, 1, n)")).alias("probe")).withColumn("digest", F.xxhash64("probe"))
     hit = probes.join(rule_set, "digest").where("probe = rule")
-    best = hit.groupBy(key).agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), F.col("rule"))).alias("best"))
-    out = split.join(best, split[key].eqNullSafe(best[key]), "left").drop(best[key])
+    best = hit.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), F.col("rule"))).alias("best"))
+    out = split.join(best, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     return out.withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))}).drop("best")
 
 
