@@ -32,10 +32,10 @@ from .common import by_batch, read, stored
 
 WINDOW, GRAM = 100, 20
 #: Bytes of records that a map task holds before it writes a run.
-RUN_BYTES = 48 << 20
+RUN_BYTES = 40 << 20
 #: Bytes of records that a part should have; the number of parts follows from the input.
 PART_BYTES = 64 << 20
-CHUNK = 4096
+CHUNK = 1024
 #: A group of more differing records that share an anchor is exchanged by window hash.
 GROUP_RECORDS = 2048
 SAMPLE_DOCS, SPLITTERS_OF = 2000, 40_000
