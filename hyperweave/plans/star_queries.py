@@ -94,7 +94,7 @@ def search_inner_search(spark, d):
 @query("SELECT 'customer:' || c_custkey AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_1' AND c_custkey BETWEEN 1 AND 1000")
 def search_restricted_it(spark, d):
     s = star.places(spark, d)
-    few = s.expr.where("kind = 'phrase' AND phrase LIKE 'customer:%' AND cast(substr(phrase, 10) AS long) BETWEEN 1 AND 1000")
+    few = s.expr.where("kind = 'phrase' AND phrase LIKE 'customer:%' AND try_cast(substr(phrase, 10) AS long) BETWEEN 1 AND 1000")
     return _texts(s, find(s, eval_(rel("_ in _", it(search.frame(few)), phrase("NATION_1")))), name="addr")
 
 
@@ -443,7 +443,7 @@ def edit_replace_in_role(spark, d):
 @query("SELECT n_name AS name, r_name AS place FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' OR n_nationkey % 2 = 1")
 def edit_separate(spark, d):
     s = hashed_space(star.nation_in_region(spark, d)).cached()
-    even = s.expr.where("phrase LIKE 'NATION%' AND cast(substr(phrase, 8) AS long) % 2 = 0").select("addr")
+    even = s.expr.where("phrase LIKE 'NATION%' AND try_cast(substr(phrase, 8) AS long) % 2 = 0").select("addr")
     s, _ = edit.separate(s, _t(s, "_ in _"), _one(s, "ASIA"), even)
     return _texts(s, transitive.edges(s, _t(s, "_ in _")).select("src", "dst"), name="src", place="dst")
 
