@@ -120,26 +120,31 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "v"
     blocks = max(1, -(-n_q // QUERY_BLOCK_ROWS))
     q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
 
+    q = q.withColumn("q_norm", F.sqrt(F.aggregate("q", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))))
+
     keys = ["dim", "class", "part", "block"]
     schema = "query_id long, vec_id long, score long"
     block_ids = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
 
-    def searched(cands: DataFrame, qs: DataFrame, buckets: DataFrame) -> DataFrame:
-        left = qs.join(F.broadcast(buckets), "dim").select(*(F.col(x).alias(f"q_{x}") for x in keys), "query_id", "q", "least")
+    def searched(cands: DataFrame, qs: DataFrame, classes: DataFrame) -> DataFrame:
+        """Queries meet the buckets of these classes (dim, class, longest, parts), but for those whose longest vector is too short for them."""
+        met = qs.join(F.broadcast(classes), "dim")
+        met = met.where(F.col("least").isNull() | (F.col("least") <= 0) | (F.col("least") <= F.col("q_norm") * F.col("longest") * (1 + SLACK)))
+        met = met.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        left = met.select(*(F.col(x).alias(f"q_{x}") for x in keys), "query_id", "q", "least")
         right = cands.withColumn("block", block_ids).select(*keys, "vec_id", "c")
         pairs = left.groupBy(*(f"q_{x}" for x in keys)).cogroup(right.groupBy(*keys))
         return pairs.applyInPandas(lambda a, b: _search(a, b, k), schema)
 
     # First one bucket of the longest class that fills one gives thresholds.
     top = W.partitionBy("dim").orderBy(F.desc(F.least("rows", F.lit(BUCKET_ROWS))), F.desc("class"))
-    ranked = sizes.withColumn("place", F.row_number().over(top))
-    first = ranked.where("place = 1").select("dim", "class", F.lit(0).cast("long").alias("part"))
-    every = sizes.select("dim", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    first = sizes.withColumn("place", F.row_number().over(top)).where("place = 1").select("dim", "class", "longest", F.lit(1).cast("long").alias("parts"))
     none = F.lit(None).cast("double").alias("least")
-    start = searched(c.join(F.broadcast(first), ["dim", "class", "part"], "left_semi"), q.select("*", none), first)
+    of_first = c.join(F.broadcast(first.select("dim", "class", F.lit(0).cast("long").alias("part"))), ["dim", "class", "part"], "left_semi")
+    start = searched(of_first, q.select("*", none), first)
     least = start.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
     least = least.select("query_id", F.when(F.size("s") >= k, F.element_at("s", F.least(F.size("s"), F.lit(k)))).cast("double").alias("least"))
-    found = searched(c, q.join(least, "query_id", "left"), every)
+    found = searched(c, q.join(least, "query_id", "left"), sizes.drop("rows"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
