@@ -106,7 +106,7 @@ def test_suffixes(docs, empty, spark, monkeypatch, group, parts):
         assert suffix_dedup.dedup(empty).count() == 0
         assert suffix_dedup.dedup(docs).count() == docs.count()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
 
 
 def test_merge_is_a_sort():
