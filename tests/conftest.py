@@ -8,7 +8,9 @@ from pyspark.sql import SparkSession
 def spark():
     made = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.default.parallelism", "2")
+        .config("spark.sql.codegen.wholeStage", "false")  # compiling takes longer than these tables do
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
