@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, read, stored, texts
+from .common import by_batch, read, small_side, stored, texts
 from .components import components
 
 BITS = 64
@@ -27,6 +27,7 @@ PIVOTS = tuple(xxhash.xxh64_intdigest(bytes([i]), 0) for i in range(16))
 #: A block of more fingerprints is split further.
 BLOCK_ROWS = 1024
 MAX_SPLITS = 6
+NULL_ID = (1 << 63) - 1
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -259,17 +260,20 @@ def _near_pairs(words: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.n
     return cat(left), cat(right), cat(far)
 
 
-def near_groups(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``df`` with ``group_id``: the least id of the rows that a chain of pairs joins whose shingle sets have this Jaccard similarity.
+def keyed_rows(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``tag``, a hash of its text: with the id it tells rows apart, except equal ones."""
+    return df.withColumn("tag", F.coalesce(F.xxhash64(text), F.lit(0)))
+
+
+def near_labels(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, tag, group_id, n_rows) of the rows of ``df``, without their texts; see near_groups.
 
     Such pairs differ in too many bits for the exact blocks of ``links``: at 0.8, in 15 of a hundred. So fingerprints of
     256 bits meet in tables of randomly chosen bits; their number follows from MISS, the chance that a pair at the
     threshold meets in none, and the bits of each from the number of fingerprints. A block too large is split by
     further bits. In a block, pivot distances discard pairs, survivors are verified by their distance, and pairs in doubt
-    by their shingles. Copies (equal fingerprints) always join. Texts that are null or have no words form one group. Ids
-    are integers; rows with a null id get a hash of their text as group when nothing smaller is joined to them.
+    by their shingles.
     """
-    spark = df.sparkSession
     names = [f"f{i}" for i in range(WIDE // 64)]
     sure = int(WIDE * expected_distance(min(0.97, (1 + similarity) / 2)))
     share = expected_distance(similarity)
@@ -280,8 +284,7 @@ def near_groups(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE,
             fps = np.array([wide_fingerprint(shingle_hashes(t, n)) for t in texts(batch.column(text))], np.uint64).reshape(batch.num_rows, len(names)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), batch.column("tag"), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(len(names)))], names=["id", "tag", *names])
 
-    base = df.drop("group_id")
-    keyed = base.withColumn("tag", F.coalesce(F.xxhash64(text), F.lit(0)))
+    keyed = keyed_rows(df.select(id_col, text), text)
     rows = stored(by_batch(keyed.select(id_col, "tag", text), "id long, tag long, " + ", ".join(f"{c} long" for c in names), prints), "wide-prints")
     nodes = rows.groupBy(*names).agg(F.coalesce(F.min("id"), F.min("tag")).alias("node"))
     nodes = stored(nodes, "wide-nodes")
@@ -323,6 +326,7 @@ def near_groups(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE,
         large = at.groupBy("key").count().where(F.col("count") > BLOCK_ROWS).select("key").checkpoint()
         if large.isEmpty():
             break
+        large = small_side(large)
         small = at.join(large, "key", "left_anti").select("key", "t", "node", *names)
         done = small if done is None else done.union(small)
         at = stored(by_batch(at.join(large, "key", "left_semi").select("t", "node", *names), schema, tabled(level, True)), "split-blocks")
@@ -358,7 +362,7 @@ def near_groups(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE,
     found = by_batch(made.select("key", "node", *names), "u long, v long, far int", body)
     edges = stored(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "far").where("u <> v").distinct(), "near-links")
     doubtful = edges.where(F.col("far") > sure).select("u", "v")
-    ends = doubtful.select(F.col("u").alias("node")).union(doubtful.select(F.col("v").alias("node"))).distinct()
+    ends = small_side(doubtful.select(F.col("u").alias("node")).union(doubtful.select(F.col("v").alias("node"))).distinct())
     # One text stands for a node: the one of its least id, or of its least hash where ids are null.
     by_key = keyed.select(F.coalesce(F.col(id_col).cast("long"), F.col("tag")).alias("node"), "tag", text).join(ends, "node", "left_semi")
 
@@ -373,9 +377,37 @@ def near_groups(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE,
     verified = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v")
     roots = components(edges.where(F.col("far") <= sure).select("u", "v").union(verified))
     named = nodes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("group_id"))
-    labels = rows.join(named, names).select("id", "tag", "group_id").distinct()
-    out = keyed.join(labels, keyed[id_col].eqNullSafe(labels["id"]) & (keyed["tag"] == labels["tag"]), "left")
-    return out.select(*(keyed[c] for c in base.columns), "group_id")
+    return rows.join(named, names).groupBy("id", "tag", "group_id").agg(F.count("*").alias("n_rows"))
+
+
+def near_groups(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``df`` with ``group_id``: the least id of the rows that a chain of pairs joins whose shingle sets have this Jaccard similarity.
+
+    Copies (equal fingerprints) always join. Texts that are null or have no words form one group. Ids are integers; rows
+    with a null id get a hash of their text as group when nothing smaller is joined to them. A column named group_id is
+    replaced.
+    """
+    base = df.drop("group_id")
+    keyed = base.withColumn("_tag", F.coalesce(F.xxhash64(text), F.lit(0)))
+    labels = near_labels(base, similarity, n, text, id_col).select("id", F.col("tag").alias("_of"), "group_id")
+    out = keyed.join(labels, keyed[id_col].eqNullSafe(labels["id"]) & (keyed["_tag"] == labels["_of"]), "left")
+    return out.select(*base.columns, "group_id")
+
+
+def near_distinct(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row of ``df`` for each group of near copies: the one of the least id (null ids last), of the least text hash among those.
+
+    Groups are settled on labels alone; the texts then meet their keys in one join.
+    """
+    labels = stored(near_labels(df, similarity, n, text, id_col), "near-labels")
+    first = labels.groupBy("group_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("k"))
+    keep = first.select(F.coalesce("k.id", F.lit(NULL_ID)).alias("_id"), F.col("k.tag").alias("_tag"))
+    keyed = df.withColumn("_tag", F.coalesce(F.xxhash64(text), F.lit(0)))
+    keyed = keyed.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
+    out = keyed.join(keep, ["_id", "_tag"], "left_semi")
+    if not labels.where("n_rows > 1").isEmpty():
+        out = out.dropDuplicates(["_id", "_tag"])
+    return out.select(*df.columns)
 
 
 def hex64(column: str):
