@@ -23,6 +23,8 @@ from .common import by_batch, read, stored
 WINDOW = 13
 #: Items shorter than a window are matched as a whole from this many tokens on; shorter ones are not looked for.
 SHORTEST = 8
+#: Share of a benchmark window that must be words: a row of numbers or names alone says too little.
+LITERAL = 0.5
 #: Most windows of the benchmark whose hashes are handed to every task as a filter (8 bytes each).
 MAX_FILTER = 2_000_000
 VOCABULARY = 400_000
@@ -93,7 +95,7 @@ def _described(canon: Canon, words: list[bytes], kinds: np.ndarray, at: int, siz
 def template_windows(df: DataFrame, sizes: tuple[int, ...], wanted: np.ndarray | None, whole: bool = False) -> DataFrame:
     """(id, text) -> rows of _ROWS: windows of each size, only those whose hash is in ``wanted`` (sorted; None: all).
 
-    whole: sizes under WINDOW only where the window is the whole text (for items).
+    whole: sizes under WINDOW only where the window is the whole text, and only windows of enough words (for items).
     """
     share = None
     if wanted is not None:
@@ -111,7 +113,8 @@ def template_windows(df: DataFrame, sizes: tuple[int, ...], wanted: np.ndarray |
                         continue
                     h = gram_hashes(hashes, size)
                     if share is None:
-                        hit = range(len(h))
+                        plain = np.convolve(kinds == WORD, np.ones(size, np.int64), "valid")
+                        hit = np.flatnonzero(plain >= LITERAL * size).tolist() if whole else range(len(h))
                     else:
                         near = np.flatnonzero(share[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
                         place = np.searchsorted(wanted, h[near])
@@ -132,7 +135,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text) and (item_id, text) -> doc_id, item_id, n_windows, n_slots of the best alignment that agrees.
 
     A document is contaminated by an item if it has one row here. Null ids and texts match nothing; items of fewer than
-    SHORTEST tokens are not looked for. Repeated items give a row each; documents that repeat an id count as one. The
+    SHORTEST tokens are not looked for, nor windows of an item that are mostly slots. Repeated items give a row each; documents that repeat an id count as one. The
     hashes of the benchmark's windows filter the documents' windows in each task while there are at most MAX_FILTER;
     beyond that all windows take part in the join.
     """

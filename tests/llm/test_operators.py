@@ -173,13 +173,13 @@ def test_decontamination(spark, words):
     other = item.replace("Karan", "Loranel").replace("12", "31").replace("5 kg", "9 lb").replace("Velon", "Sudor")
     torn = other.replace("does Loranel", "does Temil")
     plain = make(30)
-    items = spark.createDataFrame([(0, item), (1, plain), (2, None), (3, ""), (4, make(9)), (5, plain), (None, make(20))], "item_id long, text string")
+    items = spark.createDataFrame([(0, item), (1, plain), (2, None), (3, ""), (4, make(9)), (5, plain), (None, make(20)), (6, " ".join(map(str, range(20))))], "item_id long, text string")
     nine = items.where("item_id = 4").first()["text"]
-    rows = [(0, make(20) + " " + item + " " + make(9)), (1, make(40) + ". " + other), (2, torn), (3, make(400)), (4, plain.upper()), (5, None), (6, ""), (7, make(3) + " " + nine + " " + make(3)), (8, " ".join(plain.split()[:13])), (9, " ".join(plain.split()[:12])), (None, item), (0, make(20) + " " + item)]
+    rows = [(0, make(20) + " " + item + " " + make(9)), (1, make(40) + ". " + other), (2, torn), (3, make(400)), (4, plain.upper()), (5, None), (6, ""), (7, make(3) + " " + nine + " " + make(3)), (8, " ".join(plain.split()[:13])), (9, " ".join(plain.split()[:12])), (10, " ".join(map(str, range(50, 90)))), (None, item), (0, make(20) + " " + item)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, h int")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, items).collect()}
     assert got == {(0, 0), (1, 0), (4, 1), (4, 5), (7, 4), (8, 1), (8, 5)}
-    assert sorted(str(r["doc_id"]) for r in decontaminate.clean(df, items).collect()) == sorted(map(str, (2, 3, 5, 6, 9, None)))
+    assert sorted(str(r["doc_id"]) for r in decontaminate.clean(df, items).collect()) == sorted(map(str, (2, 3, 5, 6, 9, 10, None)))
     assert decontaminate.matches(df.where("false"), items).count() == decontaminate.matches(df, items.where("false")).count() == 0
     before, decontaminate.MAX_FILTER = decontaminate.MAX_FILTER, 0
     try:
