@@ -30,17 +30,21 @@ _INNER_SPACE = re.compile(r"\s \s")
 
 
 class _Cache(dict):
-    """Computes what is missing; starts anew beyond ``most`` entries, so that memory stays bounded."""
+    """Computes what is missing, in two generations: when the young one is full it becomes the old one, from which what
+    is asked for again comes back. Frequent keys stay, and memory is bounded."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        if len(key) <= 64:
+        if len(key) <= 48:
             self[key] = value
         return value
 
@@ -48,12 +52,13 @@ class _Cache(dict):
 class RankQueueBpe:
     """Encoder and decoder for a vocabulary of byte strings with ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 450_000):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks {len(missing)} of the 256 single bytes")
         self.ranks = ranks
         self.longest = max(map(len, ranks))
+        self.n_words = (max(ranks.values()) >> WORD) + 1
         self.tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -67,27 +72,26 @@ class RankQueueBpe:
         if (whole := get(piece)) is not None:
             return [whole]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n  # the rank of the pair that starts here now; -1: none
+        pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # the rank of the pair that starts here now; -1: none
+        pair.append(-1)
         buckets: dict[int, list[int]] = {}
-        words: dict[int, int] = {}
+        words = [0] * self.n_words
         summary = 0
-        for i in range(n - 1):
-            r = get(piece[i : i + 2])
-            if r is not None:
-                pair[i] = r
+        for i, r in enumerate(pair):
+            if r >= 0:
                 if r in buckets:
                     buckets[r].append(i)
                 else:
                     buckets[r] = [i]
                     w = r >> WORD
-                    words[w] = words.get(w, 0) | 1 << (r & 255)
+                    words[w] |= 1 << (r & 255)
                     summary |= 1 << w
         while summary:
             w = (summary & -summary).bit_length() - 1
             bits = words[w]
             rank = w << WORD | (bits & -bits).bit_length() - 1
             bucket = buckets[rank]
-            at = heapq.heappop(bucket)
+            at = heapq.heappop(bucket) if len(bucket) > 1 else bucket.pop()
             if not bucket:
                 del buckets[rank]
                 words[w] = bits = bits & (bits - 1)
@@ -99,25 +103,31 @@ class RankQueueBpe:
             end = after[gone]
             after[at] = end
             pair[gone] = pair[at] = -1
-            changed = []
             if end < n:
                 before[end] = at
-                changed.append((at, after[end]))
+                stop = after[end]
+                r = get(piece[at:stop]) if stop - at <= longest else None
+                if r is not None:
+                    pair[at] = r
+                    if r in buckets:
+                        heapq.heappush(buckets[r], at)
+                    else:
+                        buckets[r] = [at]
+                        w = r >> WORD
+                        words[w] |= 1 << (r & 255)
+                        summary |= 1 << w
             if (left := before[at]) >= 0:
                 pair[left] = -1
-                changed.append((left, end))
-            for start, stop in changed:
-                r = get(piece[start:stop]) if stop - start <= longest else None
-                if r is None:
-                    continue
-                pair[start] = r
-                if r in buckets:
-                    heapq.heappush(buckets[r], start)
-                else:
-                    buckets[r] = [start]
-                    w = r >> WORD
-                    words[w] = words.get(w, 0) | 1 << (r & 255)
-                    summary |= 1 << w
+                r = get(piece[left:end]) if end - left <= longest else None
+                if r is not None:
+                    pair[left] = r
+                    if r in buckets:
+                        heapq.heappush(buckets[r], left)
+                    else:
+                        buckets[r] = [left]
+                        w = r >> WORD
+                        words[w] |= 1 << (r & 255)
+                        summary |= 1 << w
         ids, i = [], 0
         while i < n:
             ids.append(self.ranks[piece[i : after[i]]])
