@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import read, small_batches
 
+#: Fixed value: the pattern under which a space between two non-spaces always starts a pre-token.
+SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD = 8  # bits of a rank that pick a bit within a bitmap word
 #: A space with white space on both sides: only there does cutting at spaces differ from the pattern.
 _INNER_SPACE = re.compile(r"\s \s")
@@ -64,7 +66,8 @@ class RankQueueBpe:
             self.tokens[rank] = token
         self.split = regex.compile(pattern).findall
         self.pieces = _Cache(lambda piece: np.array(self.merge(piece.encode()), "<u4").tobytes(), cache)
-        self.spaced = _Cache(lambda word: self._cut(" " + word), cache)
+        self.spaced = _Cache(self._spaced, cache)
+        self.cuts_at_spaces = pattern == SPACED_PATTERN
 
     def merge(self, piece: bytes) -> list[int]:
         """Token ids of one pre-token: lowest rank first, leftmost first among equals."""
@@ -137,13 +140,18 @@ class RankQueueBpe:
     def _cut(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
+    def _spaced(self, word: str) -> bytes:
+        """The ids of a space and a word; of letters alone it is one pre-token."""
+        return self.pieces[" " + word] if word.isalpha() else self._cut(" " + word)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
 
-        Every space between two non-spaces starts a pre-token, so the text may be cut there and each part be looked up
-        as a whole; where white space surrounds a space, the pattern itself goes over the text.
+        Under SPACED_PATTERN every space between two non-spaces starts a pre-token, so the text may be cut there and each
+        part be looked up as a whole; where white space surrounds a space, and for any other pattern, the pattern itself
+        goes over the text.
         """
-        if _INNER_SPACE.search(text):
+        if not self.cuts_at_spaces or _INNER_SPACE.search(text):
             return self._cut(text)
         first, *rest = text.split(" ")
         return (self._cut(first) if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
