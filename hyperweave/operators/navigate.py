@@ -31,7 +31,7 @@ def hosts(space: Space, addrs: DataFrame) -> DataFrame:
 
 def member_hosts(space: Space, addrs: DataFrame, extra: list[str] = ()) -> DataFrame:
     """Hosts that have one of ``addrs`` as a member; ``extra`` columns ride along."""
-    members = space.pos.where("role = 'member'").select("host", F.col("child").alias("addr"))
+    members = space.role("member").select("host", F.col("child").alias("addr"))
     if not extra:
         return members.join(addrs, "addr", "left_semi").select(F.col("host").alias("addr")).distinct()
     return members.join(addrs, "addr").select(F.col("host").alias("addr"), *extra).distinct()
@@ -47,7 +47,7 @@ def sub_exprs(space: Space, addrs: DataFrame, paths, strict: bool = False) -> Da
         at = addrs.select(F.col("addr").alias("host"), "addr", *extra)
         for step in path:
             name, ix = role_of(step)
-            p = space.pos.where((F.col("role") == name) & (F.col("ix") == ix)).select(F.col("host").alias("addr"), F.col("child").alias("_next"))
+            p = space.role(name).where(F.col("ix") == ix).select(F.col("host").alias("addr"), F.col("child").alias("_next"))
             at = at.join(p, "addr").select("host", F.col("_next").alias("addr"), *extra)
         if strict and not addrs.join(at.select(F.col("host").alias("addr")), "addr", "left_anti").isEmpty():
             raise LookupError(f"path {path} is missing in some expression")
@@ -72,7 +72,7 @@ def unnest(space: Space, addrs: DataFrame, max_depth: int = 64) -> DataFrame:
 def with_depth(space: Space, max_depth: int = 64) -> DataFrame:
     """(addr, depth) of all expressions: phrases and templates 0, relationships one more than their deepest member."""
     known = settled(space.expr.where("kind <> 'rel'").select("addr", F.lit(0).alias("depth")))
-    members = space.pos.where("role = 'member'").select("host", F.col("child").alias("addr"))
+    members = space.role("member").select("host", F.col("child").alias("addr"))
     arity = space.expr.where("kind = 'rel'").select(F.col("addr").alias("host"), "arity")
     for _ in range(max_depth):
         todo = members.join(known.select(F.col("addr").alias("host")), "host", "left_anti")

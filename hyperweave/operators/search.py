@@ -351,7 +351,7 @@ class Compiler:
         out = None
         for role, child in of.items():
             name, ix = role_of(role)
-            rows = self.space.pos.where((F.col("role") == name) & (F.col("ix") == ix))
+            rows = self.space.role(name).where(F.col("ix") == ix)
             if tplt is not None and name == "member":
                 known = tplt.withColumnRenamed("addr", "tplt")
                 rows = rows.join(known, "tplt") if _vars(tplt) else rows.join(known, "tplt", "left_semi")

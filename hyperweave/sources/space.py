@@ -7,7 +7,6 @@ structure: ``key`` is a digest of the nested content, so that a nested expressio
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,20 +59,24 @@ def template_key(text: str) -> str:
     return tplt_key(left and phrase_key(left), [*map(phrase_key, seps)], right and phrase_key(right))
 
 
-def positions(expr: DataFrame) -> DataFrame:
-    """One row for each child: host, host_kind, role, ix (0 where roles aren't numbered, else from 1), child, template of the host."""
-    base = ["addr", "kind"]
+#: Where the children in each role are: kind of the host, column, and whether it is a list.
+ROLES = {"member": ("rel", "members", True), "tplt": ("rel", "tplt", False), "sep": ("tplt", "seps", True), "cap_left": ("tplt", "cap_left", False), "cap_right": ("tplt", "cap_right", False)}
 
-    def listed(kind: str, role: str, column: str):
-        rows = expr.where(F.col("kind") == kind).select(*base, F.posexplode(column).alias("i", "child"), F.col("tplt").alias("t"))
+
+def role_rows(expr: DataFrame, role: str) -> DataFrame:
+    """The rows of positions for one role."""
+    kind, column, many = ROLES[role]
+    rows = expr.where((F.col("kind") == kind) & F.col(column).isNotNull())
+    if many:
+        rows = rows.select("addr", "kind", F.posexplode(column).alias("i", "child"), F.col("tplt").alias("t"))
         return rows.select(F.col("addr").alias("host"), F.col("kind").alias("host_kind"), F.lit(role).alias("role"), (F.col("i") + 1).alias("ix"), "child", F.col("t").alias("tplt"))
+    return rows.select(F.col("addr").alias("host"), F.col("kind").alias("host_kind"), F.lit(role).alias("role"), F.lit(0).alias("ix"), F.col(column).alias("child"), "tplt")
 
-    def single(kind: str, role: str, column: str):
-        rows = expr.where((F.col("kind") == kind) & F.col(column).isNotNull())
-        return rows.select(F.col("addr").alias("host"), F.col("kind").alias("host_kind"), F.lit(role).alias("role"), F.lit(0).alias("ix"), F.col(column).alias("child"), "tplt")
 
-    out = listed("rel", "member", "members")
-    for part in (single("rel", "tplt", "tplt"), listed("tplt", "sep", "seps"), single("tplt", "cap_left", "cap_left"), single("tplt", "cap_right", "cap_right")):
+def positions(expr: DataFrame) -> DataFrame:
+    """One row for each child: host, host_kind, role, ix (0 where roles aren't numbered, else from 1), child, template of the host."""
+    out, *rest = (role_rows(expr, role) for role in ROLES)
+    for part in rest:
         out = out.unionByName(part)
     return out
 
@@ -106,17 +109,20 @@ def with_keys(expr: DataFrame) -> DataFrame:
     return expr.drop("key").join(known.union(bare).dropDuplicates(["addr"]), "addr", "left").select(*(c.split()[0] for c in EXPR.split(", ")))
 
 
-@dataclass
 class Space:
-    """expr: one row for each expression; pos: one for each child in each role."""
+    """expr: one row for each expression; pos: one for each child in each role, made from expr unless given."""
+
+    def __init__(self, expr: DataFrame, pos: DataFrame | None = None, strict: bool = False):
+        self.expr, self.strict = expr, strict
+        self._pos = pos
 
-    expr: DataFrame
-    pos: DataFrame = field(default=None)
-    strict: bool = False
+    @property
+    def pos(self) -> DataFrame:
+        return positions(self.expr) if self._pos is None else self._pos
 
-    def __post_init__(self):
-        if self.pos is None:
-            self.pos = positions(self.expr)
+    def role(self, name: str) -> DataFrame:
+        """The rows of pos for one role; the plan has only what that role needs."""
+        return role_rows(self.expr, name) if self._pos is None else self._pos.where(F.col("role") == name)
 
     @property
     def spark(self) -> SparkSession:
