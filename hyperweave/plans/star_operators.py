@@ -38,7 +38,7 @@ def search_bind(spark, d):
 
 @query("SELECT '_ in _' AS name")
 def search_template_text(spark, d):
-    s = hashed_space(star.nation_in_region(spark, d), star.supplies(spark, d))
+    s = hashed_space(star.nation_in_region(spark, d), star.supplies(spark, d)).cached()
     return text.render(s, _t(s, "_ in _")).select(F.col("text").alias("name"))
 
 

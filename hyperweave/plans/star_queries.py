@@ -118,20 +118,20 @@ def search_diff(spark, d):
 
 @query(f"WITH {_IN} SELECT a || ' #in ' || b AS fact FROM in_ WHERE a = 'NATION_2' OR b = 'NATION_2'")
 def search_member_of(spark, d):
-    s = star.places(spark, d)
+    s = star.places(spark, d).cached()
     return search.find_text(s, search.member_of(phrase("NATION_2"))).select(F.col("text").alias("fact"))
 
 
 @query("""SELECT 'order:' || o_orderkey || ' #placed by customer:5' AS fact FROM orders WHERE o_custkey = 5
 UNION SELECT 'order:' || o_orderkey || ' #placed by customer:5 ##on ' || strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_custkey = 5""")
 def search_involves(spark, d):
-    s = hashed_space(star.placed_on(spark, d))
+    s = hashed_space(star.placed_on(spark, d)).cached()
     return search.find_text(s, search.involves(phrase("customer:5"), 2)).select(F.col("text").alias("fact"))
 
 
 @query("SELECT * FROM (VALUES ('_ in _'), ('_ supplies _')) AS t(name)")
 def search_templates(spark, d):
-    s = hashed_space(star.nation_in_region(spark, d), star.supplies(spark, d))
+    s = hashed_space(star.nation_in_region(spark, d), star.supplies(spark, d)).cached()
     return text.render(s, find(s, search.templates())).select(F.col("text").alias("name"))
 
 
