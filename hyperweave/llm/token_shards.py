@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.fs
 import tiktoken
 import xxhash
+import zstandard
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from .common import by_batch, read, shared_dir, stored
 
 SEQUENCE, SHARD_ROWS, ROUNDS = 2048, 2048, 6
 _MASK = (1 << 64) - 1
+_PLACE = np.dtype([("none", "?"), ("doc", "<i8"), ("sequence", "<i8"), ("slot", "<i8"), ("start", "<i4"), ("n", "<i4")])
 
 
 class FastCoder(RankQueueBpe):
@@ -39,6 +41,9 @@ class FastCoder(RankQueueBpe):
         super().__init__(ranks, pattern)
         self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def _spaced(self, word: str) -> bytes:
+        return self._cut(" " + word)
+
     def _cut(self, text: str) -> bytes:
         ids = self.library.encode_ordinary(text)
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -72,6 +77,15 @@ def permute(numbers: np.ndarray, count: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _planes(ids: bytes, width: int) -> bytes:
+    """The bytes of ids by their place in the id: all first ones, then all second ones, and so on. Compresses better."""
+    return np.frombuffer(ids, np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _ids(planes: bytes, width: int) -> bytes:
+    return np.frombuffer(planes, np.uint8).reshape(width, -1).T.tobytes()
+
+
 def _kind(largest: int) -> str:
     return "<u2" if largest < 1 << 16 else "<u4"
 
@@ -100,7 +114,7 @@ def materialise(docs: DataFrame, out: str, vocabulary: str, pattern: str, key: i
             at = places.pop()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([task] * len(n), pa.int32()), pa.array(places, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "task", "at", "n", "ids"])
 
-    tokens = stored(by_batch(docs.select("doc_id", "text"), "doc_id long, task int, at long, n long, ids binary", tokenise), "tokens", compression="zstd")
+    tokens = stored(by_batch(docs.select("doc_id", "text"), "doc_id long, task int, at long, n long, ids binary", tokenise), "tokens", compression="zstd", **{"parquet.compression.codec.zstd.level": "6"})
     # One row for each input partition; the driver plans those one by one anyway.
     sizes = sorted((r["task"], r["n"]) for r in tokens.groupBy("task").agg(F.sum("n").alias("n")).collect())
     base = dict(zip((t for t, _ in sizes), accumulate((n for _, n in sizes), initial=0), strict=False))
@@ -108,6 +122,8 @@ def materialise(docs: DataFrame, out: str, vocabulary: str, pattern: str, key: i
     count = -(-total // sequence)
 
     def pieces(batches):
+        """For each batch and shard one compressed blob: what goes where, then the ids."""
+        press = zstandard.ZstdCompressor(3).compress
         for batch in batches:
             rows: list[tuple] = []
             for d, t, a, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "task", "at", "ids")), strict=True):
@@ -115,36 +131,48 @@ def materialise(docs: DataFrame, out: str, vocabulary: str, pattern: str, key: i
                 while done < n:
                     s, start = divmod(at + done, sequence)
                     take = min(n - done, sequence - start)
-                    rows.append((d, s, start, take, ids[done * width : (done + take) * width]))
+                    rows.append((d is None, d or 0, s, 0, start, take, ids[done * width : (done + take) * width]))
                     done += take
-            s = np.array([r[1] for r in rows], np.int64)
-            slot = permute(s, count, key)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(s), pa.array(slot), pa.array(slot // shard_rows), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4] for r in rows], pa.binary())], names=["doc_id", "sequence", "slot", "shard", "start", "n_tokens", "ids"])
+            meta = np.array([r[:6] for r in rows], _PLACE)
+            meta["slot"] = permute(meta["sequence"], count, key)
+            shard = meta["slot"] // shard_rows
+            order = np.argsort(shard, kind="stable")
+            cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+            made = []
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                some = order[i:j]
+                made.append((int(shard[some[0]]), j - i, press(meta[some].tobytes() + _planes(b"".join(rows[k][6] for k in some.tolist()), width))))
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.binary())], names=["shard", "n", "blob"])
 
     def write(batches):
+        """Blobs sorted by shard: one shard is put together in memory at a time."""
         fs, folder = pyarrow.fs.FileSystem.from_uri(out)
-        now, sink, temporary, filled = None, None, "", 0
+        unpress = zstandard.ZstdDecompressor().decompress
+        now, body = None, None
 
         def close():
-            if sink is not None:
-                rows = min(shard_rows, count - now * shard_rows)
-                sink.write(np.full(rows * sequence - filled, end, kind).tobytes())
-                sink.close()
-                fs.move(temporary, f"{folder}/shard-{now:08d}.bin")
+            if body is None:
+                return
+            temporary, final = f"{folder}/.{now:08d}-{uuid.uuid4().hex}", f"{folder}/shard-{now:08d}.bin"
+            with fs.open_output_stream(temporary) as f:
+                f.write(body.tobytes())
+            if fs.get_file_info(final).type != pyarrow.fs.FileType.NotFound:  # of a task that was lost after its move
+                fs.delete_file(final)
+            fs.move(temporary, final)
 
         for batch in batches:
-            for slot, shard, start, n, ids in zip(*(batch.column(c).to_pylist() for c in ("slot", "shard", "start", "n_tokens", "ids")), strict=True):
+            for shard, n, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "blob")), strict=True):
                 if shard != now:
                     close()
-                    now, filled = shard, 0
-                    temporary = f"{folder}/.{shard:08d}-{uuid.uuid4().hex}"
-                    sink = fs.open_output_stream(temporary)
-                at = (slot - shard * shard_rows) * sequence + start
-                if at > filled:  # only the last sequence ends early
-                    sink.write(np.full(at - filled, end, kind).tobytes())
-                sink.write(ids)
-                filled = at + n
-            yield batch.select(["doc_id", "sequence", "slot", "shard", "start", "n_tokens"])
+                    now, body = shard, np.full(min(shard_rows, count - shard * shard_rows) * sequence, end, kind)
+                data = unpress(blob)
+                meta = np.frombuffer(data, _PLACE, n)
+                ids = np.frombuffer(_ids(data[n * _PLACE.itemsize :], width), kind)
+                at = (meta["slot"] - shard * shard_rows) * sequence + meta["start"]
+                for a, b, c in zip(at.tolist(), np.cumsum(meta["n"]).tolist(), meta["n"].tolist(), strict=True):
+                    body[a : a + c] = ids[b - c : b]
+                doc = pa.array(meta["doc"].astype(np.int64), mask=meta["none"].astype(bool))
+                yield pa.RecordBatch.from_arrays([doc, *(pa.array(meta[c].astype(t)) for c, t in (("sequence", np.int64), ("slot", np.int64))), pa.array(np.full(n, shard, np.int64)), pa.array(meta["start"].astype(np.int32)), pa.array(meta["n"].astype(np.int32))], names=["doc_id", "sequence", "slot", "shard", "start", "n_tokens"])
         close()
 
     fs, folder = pyarrow.fs.FileSystem.from_uri(out)
@@ -152,9 +180,9 @@ def materialise(docs: DataFrame, out: str, vocabulary: str, pattern: str, key: i
     with fs.open_output_stream(f"{folder}/meta.json") as f:
         f.write(json.dumps({"sequences": count, "tokens": total, "sequence": sequence, "shard_rows": shard_rows, "dtype": kind, "end": end, "key": key}).encode())
     schema = "doc_id long, sequence long, slot long, shard long, start int, n_tokens int"
-    cut = by_batch(tokens, schema + ", ids binary", pieces)
+    cut = by_batch(tokens, "shard long, n int, blob binary", pieces)
     shards = max(1, -(-count // shard_rows))
-    dealt = cut.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "slot", "start")
+    dealt = cut.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard")
     return stored(by_batch(dealt, schema, write), "places")
 
 
