@@ -11,6 +11,8 @@ are left, until blocks are small: no link is lost, nothing is capped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -231,9 +233,10 @@ def expected_distance(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def _near_pairs(words: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near_pairs(words: np.ndarray, group: np.ndarray, radius: int, apart: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index pairs within one group and ``radius`` bits, with their distances. The references are the first and the
-    farthest fingerprint of each group; pairs whose distances to either differ by more than the radius are discarded."""
+    farthest fingerprint of each group; pairs whose distances to either differ by more than the radius are discarded,
+    and so are those of which ``apart`` says no."""
     order = np.argsort(group, kind="stable")
     words, group = words[order], group[order]
     first = np.searchsorted(group, group)
@@ -250,6 +253,7 @@ def _near_pairs(words: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.n
         near = (group[rows] == group[rows + lag]) & (one[rows + lag] - one[rows] <= radius)
         rows = rows[near]
         a = rows[np.abs(two[rows] - two[rows + lag]) <= radius]
+        a = a if apart is None else a[apart(order[a], order[a + lag])]
         d = np.bitwise_count(words[a] ^ words[a + lag]).sum(axis=1, dtype=np.int64)
         ok = d <= radius
         left.append(order[a[ok]])
@@ -265,14 +269,53 @@ def keyed_rows(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("tag", F.coalesce(F.xxhash64(text), F.lit(0)))
 
 
+def pieces(rows: DataFrame) -> DataFrame:
+    """Rows (key, node, root, ...) with ``side``, and with a new key where a key has more than BLOCK_ROWS rows.
+
+    Such a block is cut into pieces of about half that, which meet in pairs: any two rows of different roots share a new key,
+    on different sides or, in the block of one piece, on side 0. A root with very many rows has pieces of its own, which do
+    not meet each other; so a large group that is settled costs as many rows as others have pieces.
+    """
+    half = max(1, BLOCK_ROWS // 2)
+    large = rows.groupBy("key").count().where(F.col("count") > BLOCK_ROWS).select("key").checkpoint()
+    if large.isEmpty():
+        return rows.withColumn("side", F.lit(0))
+    large = small_side(large)
+    small = rows.join(large, "key", "left_anti").withColumn("side", F.lit(0)).select(*rows.columns, "side")
+    inside = stored(rows.join(large, "key", "left_semi").select(*rows.columns), "large-blocks")
+    sizes = inside.groupBy("key", "root").count()
+    own = small_side(sizes.where(F.col("count") > half).select("key", "root", F.lit(True).alias("own")).checkpoint())
+    # Without a root of its own, a piece has the null root.
+    whose = F.when(F.col("own"), F.col("root"))
+    parts = sizes.join(own, ["key", "root"], "left").groupBy("key", whose.alias("whose")).agg(F.ceil(F.sum("count") / half).alias("n")).checkpoint()
+    number = F.xxhash64(F.col("whose").isNull(), F.coalesce("whose", F.lit(0)), "i")
+    cut = parts.select("key", "whose", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select("key", "whose", number.alias("piece"))
+    mixed = cut.where("whose IS NULL").select("key", F.col("piece").alias("a"))
+    settled = cut.where("whose IS NOT NULL")
+    with_mixed = mixed.join(cut.select("key", F.col("piece").alias("b")), "key")
+    with_settled = settled.select("key", F.col("piece").alias("a"), "whose").join(settled.select("key", F.col("piece").alias("b"), F.col("whose").alias("other")), "key").where("whose <> other").select("key", "a", "b")
+    meet = with_mixed.union(with_settled).select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    meet = meet.withColumn("block", F.xxhash64("key", "a", "b"))
+    first = meet.select("key", F.col("a").alias("piece"), "block", F.when(F.col("a") == F.col("b"), 0).otherwise(1).alias("side"))
+    second = meet.where("a <> b").select("key", F.col("b").alias("piece"), "block", F.lit(2).alias("side"))
+    met = small_side(first.union(second).checkpoint())
+    dealt = inside.join(own, ["key", "root"], "left").withColumn("whose", whose).drop("own")
+    n_of = small_side(parts.select("key", F.col("whose").alias("of"), "n"))
+    dealt = dealt.join(n_of, (dealt["key"] == n_of["key"]) & F.col("whose").eqNullSafe(F.col("of"))).drop(n_of["key"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("n"))).withColumn("piece", number)
+    return small.union(dealt.join(met, ["key", "piece"]).withColumn("key", F.col("block")).select(*rows.columns, "side"))
+
+
 def near_labels(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, tag, group_id, n_rows) of the rows of ``df``, without their texts; see near_groups.
 
     Such pairs differ in too many bits for the exact blocks of ``links``: at 0.8, in 15 of a hundred. So fingerprints of
     256 bits meet in tables of randomly chosen bits; their number follows from MISS, the chance that a pair at the
-    threshold meets in none, and the bits of each from the number of fingerprints. A block too large is split by
-    further bits. In a block, pivot distances discard pairs, survivors are verified by their distance, and pairs in doubt
-    by their shingles.
+    threshold meets in none, and the bits of each from the number of fingerprints. In a block, pivot distances
+    discard pairs, survivors are verified by their distance, and pairs in doubt by their shingles.
+
+    This takes two passes. The first finds most groups cheaply: it splits a block too large by further bits, and looks at a
+    spanning forest of each block's pairs. The second loses nothing that shares a block: it compares all rows of a block
+    that the first left in different groups, a block too large in pieces that meet each other (see ``pieces``).
     """
     names = [f"f{i}" for i in range(WIDE // 64)]
     sure = int(WIDE * expected_distance(min(0.97, (1 + similarity) / 2)))
@@ -361,22 +404,68 @@ def near_labels(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE,
 
     found = by_batch(made.select("key", "node", *names), "u long, v long, far int", body)
     edges = stored(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "far").where("u <> v").distinct(), "near-links")
-    doubtful = edges.where(F.col("far") > sure).select("u", "v")
-    ends = small_side(doubtful.select(F.col("u").alias("node")).union(doubtful.select(F.col("v").alias("node"))).distinct())
-    # One text stands for a node: the one of its least id, or of its least hash where ids are null.
-    by_key = keyed.select(F.coalesce(F.col(id_col).cast("long"), F.col("tag")).alias("node"), "tag", text).join(ends, "node", "left_semi")
 
     def sets(batches):
         for batch in batches:
             some = [np.unique(shingle_hashes(t, n)).view(np.int64) for t in texts(batch.column(text))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("tag"), pa.array(some, pa.list_(pa.int64()))], names=["node", "tag", "hashes"])
 
-    shingles = by_batch(by_key, "node long, tag long, hashes array<long>", sets).dropDuplicates(["node"])
-    both = doubtful.join(shingles.select(F.col("node").alias("u"), F.col("hashes").alias("x")), "u").join(shingles.select(F.col("node").alias("v"), F.col("hashes").alias("y")), "v")
-    common = F.size(F.array_intersect("x", "y"))
-    verified = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v")
-    roots = components(edges.where(F.col("far") <= sure).select("u", "v").union(verified))
-    named = nodes.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("group_id"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The rows of ``pairs`` (u, v, ...) whose texts have the similarity."""
+        ends = small_side(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct())
+        # One text stands for a node: the one of its least id, or of its least hash where ids are null.
+        by_key = keyed.select(F.coalesce(F.col(id_col).cast("long"), F.col("tag")).alias("node"), "tag", text).join(ends, "node", "left_semi")
+        shingles = by_batch(by_key, "node long, tag long, hashes array<long>", sets).dropDuplicates(["node"])
+        both = pairs.join(shingles.select(F.col("node").alias("u"), F.col("hashes").alias("x")), "u").join(shingles.select(F.col("node").alias("v"), F.col("hashes").alias("y")), "v")
+        common = F.size(F.array_intersect("x", "y"))
+        return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select(*pairs.columns)
+
+    roots = components(edges.where(F.col("far") <= sure).select("u", "v").union(verified(edges.where(F.col("far") > sure).select("u", "v"))))
+    named = stored(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *names), "wide-groups")
+    carried = ["node", "root", *names]
+
+    def rekeyed(batches):
+        for batch in batches:
+            words = np.stack([batch.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
+            for t in range(tables) if batch.num_rows else ():
+                yield pa.RecordBatch.from_arrays([pa.array(keys_of(words, t, bits)), *(batch.column(c) for c in carried)], names=["key", *carried])
+
+    made = pieces(by_batch(named, "key long, node long, root long, " + ", ".join(f"{c} long" for c in names), rekeyed))
+    made = made.repartition("key").sortWithinPartitions("key")
+
+    def crossed(rows: pd.DataFrame) -> pa.RecordBatch:
+        words = rows[names].to_numpy(np.int64).view(np.uint64)
+        node, root, side = (rows[c].to_numpy(np.int64) for c in ("node", "root", "side"))
+        a, b, far = _near_pairs(words, np.cumsum(rows["key"].diff().ne(0).to_numpy()), radius, lambda x, y: (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == 0)))
+        order = np.argsort(far, kind="stable")
+        a, b, far = a[order], b[order], far[order]
+        at = {(x, y): i for i, (x, y) in reversed(list(enumerate(zip(root[a].tolist(), root[b].tolist(), strict=True))))}
+        kept = np.array([at[x] for x in _forest(root[a], root[b])], np.int64)
+        a, b, far = a[kept], b[kept], far[kept]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], root[a], root[b], far <= sure)], names=["u", "v", "ru", "rv", "sure"])
+
+    def crossing(batches):
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch.to_pandas()
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            if not len(rows):
+                continue
+            starts = np.flatnonzero(rows["key"].diff().ne(0).to_numpy())
+            # Some whole blocks at a time, as each can give many pairs.
+            begin = 0
+            for i, stop in enumerate(starts[1:].tolist(), 1):
+                if i == len(starts) - 1 or starts[i + 1] - begin > 4 * BLOCK_ROWS:
+                    yield crossed(rows.iloc[begin:stop].reset_index(drop=True))
+                    begin = stop
+            held = rows.iloc[begin:].reset_index(drop=True)
+        if held is not None:
+            yield crossed(held)
+
+    found = by_batch(made.select("key", "side", "node", "root", *names), "u long, v long, ru long, rv long, sure boolean", crossing)
+    more = stored(found.distinct(), "cross-links")
+    joined = components(more.where("sure").select("ru", "rv").union(verified(more.where("NOT sure").select("u", "v", "ru", "rv")).select("ru", "rv")).toDF("u", "v"))
+    named = named.join(joined.select(F.col("node").alias("root"), F.col("root").alias("least")), "root", "left").select(*names, F.coalesce("least", "root").alias("group_id"))
     return rows.join(named, names).groupBy("id", "tag", "group_id").agg(F.count("*").alias("n_rows"))
 
 
