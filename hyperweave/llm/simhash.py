@@ -437,12 +437,12 @@ def near_labels(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE,
         words = rows[names].to_numpy(np.int64).view(np.uint64)
         node, root, side = (rows[c].to_numpy(np.int64) for c in ("node", "root", "side"))
         a, b, far = _near_pairs(words, np.cumsum(rows["key"].diff().ne(0).to_numpy()), radius, lambda x, y: (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == 0)))
-        order = np.argsort(far, kind="stable")
-        a, b, far = a[order], b[order], far[order]
-        at = {(x, y): i for i, (x, y) in reversed(list(enumerate(zip(root[a].tolist(), root[b].tolist(), strict=True))))}
-        kept = np.array([at[x] for x in _forest(root[a], root[b])], np.int64)
-        a, b, far = a[kept], b[kept], far[kept]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], root[a], root[b], far <= sure)], names=["u", "v", "ru", "rv", "sure"])
+        near = far <= sure
+        ru, rv = np.array(_forest(root[a[near]], root[b[near]]), np.int64).reshape(-1, 2).T
+        # Every pair in doubt stays: one that fails must not stand for one that holds.
+        a, b = a[~near], b[~near]
+        both = [(ru, node[a]), (rv, node[b]), (ru, root[a]), (rv, root[b]), (np.ones(len(ru), bool), np.zeros(len(a), bool))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in both], names=["u", "v", "ru", "rv", "sure"])
 
     def crossing(batches):
         held: pd.DataFrame | None = None
