@@ -11,6 +11,7 @@ are left, until blocks are small: no link is lost, nothing is capped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -204,8 +205,11 @@ def classes(df: DataFrame, radius: int = 2, fp: str = "fp", id_col: str = "doc_i
 
 
 WIDE = 256
-#: Chance that a pair at the threshold shares no band, and the fingerprints that a band's block should hold by chance.
+#: Chance that a pair at the threshold is lost, as it lies beyond the radius or shares no table's block; and the
+#: fingerprints that a block should hold by chance.
 MISS, BY_CHANCE = 0.02, 32
+#: Standard deviations of the distance from its mean to the radius.
+DEVIATIONS = 4
 SIMILARITY, SHINGLE = 0.8, 5
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -233,6 +237,14 @@ def expected_distance(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def chance_of_loss(share: float, radius: int, bits: int, tables: int) -> float:
+    """Chance that fingerprints whose bits differ with chance ``share`` lie beyond the radius, or agree on the chosen bits of no table."""
+    far = np.arange(WIDE + 1)
+    chance = np.array([math.comb(WIDE, d) * share**d * (1 - share) ** (WIDE - d) for d in far.tolist()])
+    agree = np.prod([np.maximum(WIDE - far - i, 0) / (WIDE - i) for i in range(bits)], axis=0)
+    return float(np.where(far <= radius, chance * (1 - agree) ** tables, chance).sum())
+
+
 def _near_pairs(words: np.ndarray, group: np.ndarray, radius: int, apart: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index pairs within one group and ``radius`` bits, with their distances. The references are the first and the
     farthest fingerprint of each group; pairs whose distances to either differ by more than the radius are discarded,
@@ -310,7 +322,7 @@ def near_labels(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE,
 
     Such pairs differ in too many bits for the exact blocks of ``links``: at 0.8, in 15 of a hundred. So fingerprints of
     256 bits meet in tables of randomly chosen bits; their number follows from MISS, the chance that a pair at the
-    threshold meets in none, and the bits of each from the number of fingerprints. In a block, pivot distances
+    threshold is lost, and the bits of each from the number of fingerprints. In a block, pivot distances
     discard pairs, survivors are verified by their distance, and pairs in doubt by their shingles.
 
     This takes two passes. The first finds most groups cheaply: it splits a block too large by further bits, and looks at a
@@ -320,11 +332,11 @@ def near_labels(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE,
     names = [f"f{i}" for i in range(WIDE // 64)]
     sure = int(WIDE * expected_distance(min(0.97, (1 + similarity) / 2)))
     share = expected_distance(similarity)
-    radius = int(WIDE * share + 1.5 * np.sqrt(WIDE * share * (1 - share)))
+    radius = int(WIDE * share + DEVIATIONS * np.sqrt(WIDE * share * (1 - share)))
 
     def prints(batches):
         for batch in batches:
-            fps = np.array([wide_fingerprint(shingle_hashes(t, n)) for t in texts(batch.column(text))], np.uint64).reshape(batch.num_rows, len(names)).view(np.int64)
+            fps = np.array([wide_fingerprint(np.unique(shingle_hashes(t, n))) for t in texts(batch.column(text))], np.uint64).reshape(batch.num_rows, len(names)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), batch.column("tag"), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(len(names)))], names=["id", "tag", *names])
 
     keyed = keyed_rows(df.select(id_col, text), text)
@@ -334,6 +346,8 @@ def near_labels(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE,
     count = max(2, nodes.count())
     bits = int(np.clip(np.ceil(np.log2(count / BY_CHANCE)), 8, 48))
     tables = int(np.ceil(np.log(MISS) / np.log1p(-((1 - share) ** bits))))
+    while chance_of_loss(share, radius, bits, tables) > MISS:
+        tables += 1
     chosen = [np.random.default_rng([t, WIDE]).permutation(WIDE) for t in range(tables)]
 
     def keys_of(words: np.ndarray, t: int, k: int) -> np.ndarray:
