@@ -384,6 +384,33 @@ def test_digests_of_queries(docs):
     assert isinstance(out, pd.DataFrame)
 
 
+def changed(rng, text, places, word):
+    """``text`` with new words at this many places that share no shingle."""
+    out = list(text)
+    for k in rng.sample(range(5, len(text) - 5, 10), places):
+        out[k] = f"{word}x{k}"
+    return out
+
+
+def near_misses(spark, words, most):
+    """Rows that are not joined to their family: each has 25 texts at 0.9 to its base, below 0.82 to each other, and 8 at 0.82 to the base alone."""
+    rng = random.Random(12)
+    texts = {}
+    for f in range(12):
+        base = [rng.choice(words) for _ in range(500)]
+        family = [base, *(changed(rng, base, 5, f"v{f}y{i}") for i in range(25)), *(changed(rng, base, 10, f"w{f}y{i}") for i in range(8))]
+        texts |= {100 * f + i: " ".join(x) for i, x in enumerate(family)}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(simhash, "BLOCK_ROWS", most)
+        got = simhash.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    return sum(r["group_id"] != r["doc_id"] // 100 * 100 for r in got)
+
+
+def test_near_groups_of_large_blocks(spark, words):
+    """Blocks that are too large lose no link that smaller ones would keep."""
+    assert near_misses(spark, words, 6) <= near_misses(spark, words, 1024)
+
+
 def test_near_groups_verify_all_in_doubt(spark, words):
     """A pair in doubt that fails its check does not stand for one that holds: of 396 rows few are lost to chance."""
     assert near_misses(spark, words, 1024) <= 4
