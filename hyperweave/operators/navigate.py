@@ -91,12 +91,16 @@ def flatten_phrases(space: Space, addrs: DataFrame) -> DataFrame:
     return leaves.where("kind = 'phrase'").join(bad, "root", "left_anti").groupBy("root").agg(F.transform(F.sort_array(F.collect_list(F.struct("path", "phrase"))), lambda x: x["phrase"]).alias("phrases"))
 
 
-def host_groups(space: Space, addrs: DataFrame) -> DataFrame:
-    """(addr, group, ix, tplt, hosts): relationships that hold the address by role and template; templates that hold it are one group."""
+def host_rows(space: Space, addrs: DataFrame) -> DataFrame:
+    """(addr, group, ix, tplt, host): relationships that hold the address, with their role and template; templates that hold it are one group."""
     h = addrs.select("addr").join(space.pos.withColumnRenamed("child", "addr"), "addr")
     in_tplt = F.col("host_kind") == "tplt"
-    keyed = h.select("addr", F.when(in_tplt, "in_template").otherwise(F.col("role")).alias("group"), F.when(in_tplt, 0).otherwise(F.col("ix")).alias("ix"), F.when(~in_tplt, F.col("tplt")).alias("tplt"), "host")
-    return keyed.groupBy("addr", "group", "ix", "tplt").agg(F.sort_array(F.collect_set("host")).alias("hosts"))
+    return h.select("addr", F.when(in_tplt, "in_template").otherwise(F.col("role")).alias("group"), F.when(in_tplt, 0).otherwise(F.col("ix")).alias("ix"), F.when(~in_tplt, F.col("tplt")).alias("tplt"), "host").distinct()
+
+
+def host_groups(space: Space, addrs: DataFrame) -> DataFrame:
+    """(addr, group, ix, tplt, hosts): host_rows with a list for each group; for groups of moderate size."""
+    return host_rows(space, addrs).groupBy("addr", "group", "ix", "tplt").agg(F.sort_array(F.collect_set("host")).alias("hosts"))
 
 
 def members_and_template(space: Space, addrs: DataFrame) -> DataFrame:
@@ -123,7 +127,7 @@ def graph_parents(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def inverted(edges: DataFrame) -> DataFrame:
-    """child -> its parents, as a sorted list."""
+    """child -> its parents, as a sorted list; for children of moderately many parents."""
     return edges.groupBy("child").agg(F.sort_array(F.collect_set("parent")).alias("parents"))
 
 

@@ -87,7 +87,7 @@ def navigate_members_and_template(spark, d):
 
 @query("SELECT o_custkey AS parent, o_orderkey AS child FROM orders WHERE o_orderkey <= 40")
 def graph_parents(spark, d):
-    o = star.table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderkey").alias("children")).withColumnRenamed("o_custkey", "parent")
+    o = star.table(spark, d, "orders").select(F.col("o_custkey").alias("parent"), F.array("o_orderkey").alias("children"))
     edges, nodes = space.graph_from_adjacency(o)
     return navigate.graph_parents(edges, nodes.where("node <= 40"))
 

@@ -193,7 +193,7 @@ def navigate_host_groups(spark, d):
     """Facts that hold a nation as second member, grouped by role and template."""
     s = star.places(spark, d)
     nations = s.expr.where("phrase LIKE 'NATION%'").select("addr")
-    g = navigate.host_groups(s, nations).where("group = 'member' AND ix = 2").select("addr", F.explode("hosts").alias("host"))
+    g = navigate.host_rows(s, nations).where("group = 'member' AND ix = 2").select("addr", "host")
     left = s.pos.where("role = 'member' AND ix = 1").select("host", "child")
     named = _texts(s, g.join(left, "host").select("addr", "child"), name="addr", who="child")
     return named.groupBy("name").agg(F.min("who").alias("first"), F.count_distinct("who").cast("int").alias("n"))
@@ -239,12 +239,12 @@ def navigate_using_template(spark, d):
 def graph_inverted(spark, d):
     n = star.table(spark, d, "nation").select(F.col("n_nationkey").alias("parent"), F.array("n_regionkey").alias("children"))
     edges, _ = space.graph_from_adjacency(n)
-    return navigate.inverted(edges).select(F.col("child").alias("child_key"), F.element_at("parents", 1).alias("first"), F.size("parents").alias("n"))
+    return edges.groupBy(F.col("child").alias("child_key")).agg(F.min("parent").alias("first"), F.count("*").cast("int").alias("n"))
 
 
 @query("SELECT o_custkey AS parent, o_orderkey AS child FROM orders WHERE o_custkey <= 50")
 def graph_children(spark, d):
-    o = star.table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderkey").alias("children")).withColumnRenamed("o_custkey", "parent")
+    o = star.table(spark, d, "orders").select(F.col("o_custkey").alias("parent"), F.array("o_orderkey").alias("children"))
     edges, nodes = space.graph_from_adjacency(o)
     return navigate.graph_children(edges, nodes.where("node <= 50")).where("parent <= 50").distinct()
 
