@@ -188,16 +188,30 @@ def test_decontamination(spark, words):
         decontaminate.MAX_FILTER = before
 
 
-def test_licences(spark):
+def test_licences(spark, monkeypatch):
     t = license_scan.default_templates(spark)
+    mit = dict(license_scan.FULL_TEXTS[::-1])["MIT"]
     rows = [
         (0, "words\nReleased under the MIT License.\nmore words here"), (1, "licensed UNDER the apache license version 2.0"), (2, None), (3, ""), (4, "MIT"), (5, "This is not a licence at all, just a long line of text that says nothing"),
-        (6, "This work is licensed under\nthe GNU General Public License, version 3."), (7, "x " * 9000), (0, "words\nReleased under the MIT License.\nmore words here"),
+        (6, "Some words come first.\nThis work is licensed under\nthe GNU General Public License, version 3.\nAnd more words"), (7, "x " * 9000), (0, "words\nReleased under the MIT License.\nmore words here"),
+        (8, "Long line before it. Released under the MIT License. And after it."), (9, "a b c\n" + mit.replace(", ", ",\n") + "\nd e f"), (10, "This work is distributed under the GNU General Public License, version 2."),
+        (11, "Released under the License."), (None, "Licensed under CC BY 4.0.\n" * 3), (0, "Released under the BSD 2-Clause License."), (12, "Released under the MIT License. " * 400),
     ]
     df = spark.createDataFrame([(i, x, "l") for i, x in rows], "doc_id long, text string, license string")
-    got = sorted(tuple(r) for r in license_scan.scan(df, t).collect())
-    assert [(a, b, c) for a, b, c, _ in got] == [(0, 1, "MIT"), (1, 0, "Apache-2.0"), (6, -1, "GPL-3.0")] and all(d == 1 for *_, d in got)
+    got = sorted((tuple(r) for r in license_scan.scan(df, t).collect()), key=str)
+    many = [x for x in got if x[0] == 12]
+    assert len(many) == 400 and {x[1] for x in many} == {"MIT"}
+    got = [x for x in got if x[0] != 12]
+    lines = len(mit.replace(", ", ",\n").split("\n"))
+    want = [(0, "BSD-2-Clause", 0, 0), (0, "MIT", 1, 1), (1, "Apache-2.0", 0, 0), (6, "GPL-3.0", 1, 2), (8, "MIT", 0, 0), (9, "MIT", 1, lines), (10, "GPL-2.0", 0, 0), *((None, "CC-BY-4.0", i, i) for i in range(3))]
+    assert [x[:4] for x in got] == sorted(want, key=str)
+    assert {x[0]: x[5] for x in got} == {i: 1.0 for i in (0, 1, 6, 8, 9, None)} | {10: 20 / 24}
+    tied = spark.createDataFrame([("b", "one two three four five"), ("a", "one two three four six"), ("c", "one two three four five"), (None, "one two"), ("d", None), ("e", "word")], "license string, text string")
+    four = spark.createDataFrame([(1, "one two three four"), (2, "one two three"), (3, "one one two three four five five")], "doc_id long, text string")
+    assert sorted(tuple(r)[:2] for r in license_scan.scan(four, tied).collect()) == [(1, "a"), (3, "b")]
     assert license_scan.scan(df.where("false"), t).count() == license_scan.scan(df, t.where("false")).count() == 0
+    monkeypatch.setattr(license_scan, "MAX_TEMPLATES", 2)
+    assert sorted((tuple(r) for r in license_scan.scan(df.where("doc_id < 12 OR doc_id IS NULL"), t).collect()), key=str) == got
 
 
 def test_urls(spark):
