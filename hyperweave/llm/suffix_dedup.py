@@ -35,18 +35,19 @@ WINDOW, GRAM = 100, 20
 RUN_BYTES = 40 << 20
 #: Bytes of records that a part should have; the number of parts follows from the input.
 PART_BYTES = 64 << 20
-CHUNK = 1024
+CHUNK, LEVEL = 2048, 3
 #: A group of more differing records that share an anchor is exchanged by window hash.
 GROUP_RECORDS = 2048
-SAMPLE_DOCS, SPLITTERS_OF = 2000, 40_000
+#: Sampled records for each part, by which the parts are cut.
+SAMPLES = 64
 NULL_ID = (1 << 63) - 1
 _META = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("lcp", "u1"), ("tail", "u1")])
-_ROWS = "kind byte, part int, run long, seq int, doc long, tag long, at long, stop long, h1 long, h2 long, blob binary"
+_ROWS = "kind byte, deal int, part int, run long, seq int, doc long, tag long, at long, stop long, h1 long, h2 long, blob binary"
 
 
 def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
     """n rows of _ROWS; columns not given are null."""
-    types = {"kind": pa.int8(), "part": pa.int32(), "run": pa.int64(), "seq": pa.int32(), "blob": pa.binary()}
+    types = {"kind": pa.int8(), "deal": pa.int32(), "part": pa.int32(), "run": pa.int64(), "seq": pa.int32(), "blob": pa.binary()}
     arrays = {}
     for name in (c.split()[0] for c in _ROWS.split(", ")):
         t = types.get(name, pa.int64())
@@ -88,7 +89,7 @@ def encode_run(recs: list[bytes], doc: list[int], tag: list[int], at: list[int],
         meta["doc"], meta["tag"], meta["at"], meta["lcp"] = doc[i:j], tag[i:j], at[i:j], shared
         tails = [r[c:] for r, c in zip(recs[i:j], shared.tolist(), strict=True)]
         meta["tail"] = [*map(len, tails)]
-        packed = zstandard.compress(meta.tobytes() + b"".join(tails), 1)
+        packed = zstandard.compress(meta.tobytes() + b"".join(tails), LEVEL)
         out.append(struct.pack("<IIB", len(packed), j - i, int(lcp[i]) if i else 0) + packed)
     return b"".join(out)
 
@@ -178,38 +179,51 @@ def _near(group: list, window: int):
             yield i, body[j : j + window], at + j
 
 
-def _runs_of(places: list[tuple[int, int, int]], window: int):
-    """Sorted (doc, tag, start) as (doc, tag, start, stop) of the bytes covered."""
+def joined(ranges: list[tuple[int, int, int, int]]) -> list[list[int]]:
+    """(doc, tag, at, stop) in any order as the fewest sorted ranges that cover the same bytes."""
     out: list[list[int]] = []
-    for d, t, p in sorted(places):
-        if out and out[-1][0] == d and out[-1][1] == t and p <= out[-1][3]:
-            out[-1][3] = p + window
+    for d, t, a, b in sorted(ranges):
+        if out and out[-1][0] == d and out[-1][1] == t and a <= out[-1][3]:
+            out[-1][3] = max(out[-1][3], b)
         else:
-            out.append([d, t, p, p + window])
+            out.append([d, t, a, b])
     return out
 
 
+def even_keys(spark: SparkSession, parts: int) -> np.ndarray:
+    """For each of ``parts`` a key that repartition(parts, key) sends to a partition of its own."""
+    slot = F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("slot")
+    keys = np.arange(parts, dtype=np.int32)
+    for r in spark.range(16 * parts).select(slot, F.col("id").cast("int").alias("key")).groupBy("slot").agg(F.min("key").alias("key")).collect():
+        keys[r["slot"]] = r["key"]
+    return keys
+
+
 def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc, tag, at, stop): byte ranges to remove from (doc, tag, text); see dedup."""
     spark = df.sparkSession
     if window - gram < 1 or window > 120:
         raise ValueError("windows of gram + 1 to 120 bytes fit the record format")
-    n = max(1, df.count())
-    sampled = df.where(F.pmod(F.xxhash64("doc", "tag"), F.lit(1 << 20)) < F.lit(max(1, int(min(1.0, SAMPLE_DOCS / n) * (1 << 20)))))
+    size = df.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    # A span has (window - gram + 2) / 2 windows on average; its record, those and the rest of the last window.
+    n_records = max(1, 2 * size // (window - gram + 2))
+    raw = size + n_records * (window - 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), raw // PART_BYTES + 1)
+    share = min(1.0, SAMPLES * parts / n_records)
+    of_texts = min(1.0, 8 * share)
+    among = int(min(1.0, share / of_texts) * (1 << 32))
+    sampled = df.where(F.shiftrightunsigned(F.xxhash64("doc", "tag"), 32) < F.lit(int(of_texts * (1 << 32))))
 
     def sample(batches):
         for batch in batches:
             for t in batch.column("text").cast(pa.binary()).to_pylist():
-                recs = [r for r, _ in records(t or b"", window, gram)]
-                keep = [r for r in recs if xxhash.xxh64_intdigest(r) % 8 == 0]
-                yield pa.RecordBatch.from_pydict({"rec": pa.array(keep, pa.binary()), "bytes": pa.array([sum(map(len, recs)) if i == 0 else 0 for i in range(len(keep))], pa.int64())})
-
-    # A bounded sample, for balance alone: no result depends on the splitters.
-    found = by_batch(sampled.select("text"), "rec binary, bytes long", sample).limit(SPLITTERS_OF).toPandas()
-    raw = int(found["bytes"].sum()) * max(1.0, n / SAMPLE_DOCS)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(raw / PART_BYTES) + 1)
-    known = sorted(map(bytes, found["rec"]))
+                keep = {r for r, _ in records(t or b"", window, gram) if xxhash.xxh64_intdigest(r) >> 32 < among}
+                yield pa.RecordBatch.from_pydict({"rec": pa.array(sorted(keep), pa.binary())})
+
+    # Some SAMPLES records a part, for balance alone: no result depends on the splitters.
+    known = sorted(bytes(r[0]) for r in by_batch(sampled.select("text"), "rec binary", sample).distinct().orderBy(F.xxhash64("rec")).limit(4 * SAMPLES * parts).collect())
     splitters = sorted({known[len(known) * i // parts] for i in range(1, parts)}) if known else []
+    deal = even_keys(spark, parts)
 
     def map_side(batches):
         held: list[tuple[bytes, int, int, int]] = []
@@ -229,8 +243,8 @@ def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
                     keep.append(i)
                     last = rec
             if gone:
-                d, t, a, b = (np.array(x, np.int64) for x in zip(*gone, strict=True))
-                yield _rows(0, len(gone), part=_spread(d, t, parts), doc=d, tag=t, at=a, stop=b)
+                d, t, a, b = zip(*joined(gone), strict=True)
+                yield _rows(0, len(d), deal=deal[np.array(a) % parts], doc=d, tag=t, at=a, stop=b)
             recs = [held[i][0] for i in keep]
             lcp = shared_prefixes(recs)
             cuts = [0, *(bisect_left(recs, s) for s in splitters), len(recs)]
@@ -238,7 +252,7 @@ def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
                 if i < j:
                     some = [held[x] for x in keep[i:j]]
                     blob = encode_run(recs[i:j], [x[1] for x in some], [x[2] for x in some], [x[3] for x in some], lcp[i:j])
-                    yield _rows(1, 1, part=part, run=task + run, seq=0, blob=[blob])
+                    yield _rows(1, 1, deal=deal[part], part=part, run=task + run, seq=0, blob=[blob])
             held, size, run = [], 0, run + 1
 
         for batch in batches:
@@ -251,11 +265,14 @@ def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
         yield from flush()
 
     def reduce_side(batches):
+        def ranges(gone):
+            d, t, a, b = zip(*joined(gone), strict=True)
+            return _rows(0, len(d), doc=d, tag=t, at=a, stop=b)
+
         def merged(part: int, blobs: dict[int, list[bytes]]):
             low = splitters[part - 1][:gram] if part and part <= len(splitters) else None
             high = splitters[part][:gram] if part < len(splitters) else None
             gone: list[tuple[int, int, int, int]] = []
-            shared_out: list[tuple[int, int, int]] = []
             hot: list[tuple[int, int, int, int, int]] = []
             group: list[list] = []
             large = False
@@ -275,7 +292,8 @@ def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
                         if (other := best.setdefault(w, here)) != here:
                             if here < other:
                                 best[w] = here
-                            shared_out.append(max(here, other))
+                            d, t, p = max(here, other)
+                            gone.append((d, t, p, p + window))
                 large = not last
                 group = []
 
@@ -304,12 +322,8 @@ def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
                             # a gram, unless the group is cut by the part's border.
                             group = [[rec, window if rec[:gram] == low else 0, d, t, a]]
                 if len(gone) > 50_000:
-                    yield _rows(0, len(gone), doc=[x[0] for x in gone], tag=[x[1] for x in gone], at=[x[2] for x in gone], stop=[x[3] for x in gone])
-                    gone.clear()
-                if len(shared_out) > 50_000:
-                    ranges = _runs_of(shared_out, window)
-                    yield _rows(0, len(ranges), doc=[x[0] for x in ranges], tag=[x[1] for x in ranges], at=[x[2] for x in ranges], stop=[x[3] for x in ranges])
-                    shared_out.clear()
+                    yield ranges(gone)
+                    gone = []
                 if len(hot) > 50_000:
                     yield _rows(2, len(hot), h1=[x[0] for x in hot], h2=[x[1] for x in hot], doc=[x[2] for x in hot], tag=[x[3] for x in hot], at=[x[4] for x in hot])
                     hot.clear()
@@ -318,10 +332,7 @@ def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
                     group[-1][1] = window
                 close(True)
             if gone:
-                yield _rows(0, len(gone), doc=[x[0] for x in gone], tag=[x[1] for x in gone], at=[x[2] for x in gone], stop=[x[3] for x in gone])
-            if shared_out:
-                ranges = _runs_of(shared_out, window)
-                yield _rows(0, len(ranges), doc=[x[0] for x in ranges], tag=[x[1] for x in ranges], at=[x[2] for x in ranges], stop=[x[3] for x in ranges])
+                yield ranges(gone)
             if hot:
                 yield _rows(2, len(hot), h1=[x[0] for x in hot], h2=[x[1] for x in hot], doc=[x[2] for x in hot], tag=[x[3] for x in hot], at=[x[4] for x in hot])
 
@@ -342,19 +353,14 @@ def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
             yield from merged(now, blobs)
 
     sent = by_batch(df.select("doc", "tag", "text"), _ROWS, map_side)
-    dealt = sent.repartition(parts, "part").sortWithinPartitions("part", "run", "seq")
-    out = stored(by_batch(dealt, _ROWS, reduce_side), "suffixes")
+    dealt = sent.repartition(parts, "deal").sortWithinPartitions("part", "run", "seq")
+    out = stored(by_batch(dealt, _ROWS, reduce_side).select("kind", "h1", "h2", "doc", "tag", "at", "stop"), "suffixes", compression="zstd")
     hot = out.where("kind = 2").select("h1", "h2", F.struct("doc", "tag", "at").alias("place"))
     first = hot.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     later = hot.join(first, ["h1", "h2"]).where("place <> first").select("place.*").withColumn("stop", F.col("at") + window)
     return out.where("kind = 0").select("doc", "tag", "at", "stop").union(later)
 
 
-def _spread(d: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ t.astype(np.uint64)) >> np.uint64(33)).astype(np.int64) % n
-
-
 def keep_outside(df: DataFrame, ranges: DataFrame) -> DataFrame:
     """df (doc, tag, doc_id, text) less ranges (doc, tag, at, stop): doc_id, n_bytes, n_removed, n_spans, kept (binary)."""
     per_doc = ranges.groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "stop")).alias("ranges"))
@@ -386,12 +392,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     their texts; rows equal in both are one document, and each gets its result. ``kept`` is bytes: a removed range may cut
     a character.
     """
-    keyed = docs.select("doc_id", "text").withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "tag": F.xxhash64("text")})
-    one = keyed.select("doc", "tag", "text")
-    twice = one.groupBy("doc", "tag").count().where("count > 1").limit(1)
-    if not twice.isEmpty():
-        one = one.dropDuplicates(["doc", "tag"])
-    return keep_outside(keyed, repeated(one, window, gram))
+    keyed = docs.select("doc_id", "text").withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    if keyed.groupBy("doc").count().where("count > 1").isEmpty():
+        return keep_outside(keyed.withColumn("tag", F.lit(0).cast("long")), repeated(keyed.select("doc", F.lit(0).cast("long").alias("tag"), "text"), window, gram))
+    keyed = keyed.withColumn("tag", F.xxhash64("text"))
+    return keep_outside(keyed, repeated(keyed.select("doc", "tag", "text").dropDuplicates(["doc", "tag"]), window, gram))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,4 +405,20 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_suffix_dedup": op8_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+f AS (SELECT k, min((doc_id, i)) AS first FROM w GROUP BY k HAVING count(*) > 1),
+r AS (SELECT doc_id, i FROM w JOIN f USING (k) WHERE (doc_id, i) <> first),
+b AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM b) GROUP BY doc_id, g),
+p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM g),
+k AS (
+  SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept
+  FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+}
