@@ -244,7 +244,7 @@ def repeated(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
                     last = rec
             if gone:
                 d, t, a, b = zip(*joined(gone), strict=True)
-                yield _rows(0, len(d), deal=deal[np.array(a) % parts], doc=d, tag=t, at=a, stop=b)
+                yield _rows(0, len(d), deal=deal[(np.array(d) * 1000003 + np.array(a)) % parts], doc=d, tag=t, at=a, stop=b)
             recs = [held[i][0] for i in keep]
             lcp = shared_prefixes(recs)
             cuts = [0, *(bisect_left(recs, s) for s in splitters), len(recs)]
