@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of one Arrow batch: documents can be long, so that the session's limit of rows alone would not bound it.
 BATCH_BYTES = 4 << 20
@@ -54,11 +55,16 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def packed(df: DataFrame, *without: str):
+    """The columns of ``df`` as one struct ``row``, so that no name of theirs meets a name of ours."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in without)).alias("row")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def by_batch(df: DataFrame, schema: str, body: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+def by_batch(df: DataFrame, schema: str | StructType, body: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """mapInArrow under a small batch size."""
     small_batches(df.sparkSession)
     return df.mapInArrow(body, schema)

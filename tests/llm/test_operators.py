@@ -72,13 +72,84 @@ def brute_rlz(rows, window=35):
     return sorted(out, key=str)
 
 
-def test_rlz(docs, empty):
+def brute_later(rows, window=35):
+    """Words covered by windows that also start earlier; rows in order of id."""
+    seen, out = set(), []
+    for i, t in rows:
+        w = (t or "").encode().split()
+        gone = set()
+        for k in range(len(w) - window + 1):
+            if tuple(w[k : k + window]) in seen:
+                gone.update(range(k, k + window))
+            seen.add(tuple(w[k : k + window]))
+        out.append((i, b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
+    return out
+
+
+@pytest.mark.parametrize(("block", "share"), [(20_000, 0.9), (0, 0.9), (3, 0.0)])
+def test_rlz(docs, empty, monkeypatch, block, share):
+    """Also with blocks so small that windows meet by hash, and with all anchors taken as frequent."""
+    monkeypatch.setattr(rlz_dedup, "BLOCK_PHRASES", block)
+    monkeypatch.setattr(rlz_dedup, "HOT_SHARE", share)
+    monkeypatch.setattr(rlz_dedup, "HOT_TEXTS", 30 if share else 1)
     got = sorted((tuple(r) for r in rlz_dedup.dedup(docs).select("doc_id", "n_words", "n_removed", "kept").collect()), key=str)
     assert got == brute_rlz([(r["doc_id"], r["text"]) for r in docs.collect()])
-    assert {"score", "verdict"} <= set(rlz_dedup.dedup(docs).columns)
+    one = docs.select("doc_id", "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    kept = sorted(tuple(r) for r in rlz_dedup.dedup(one, keep_first=True).select("doc_id", "kept").collect())
+    assert kept == brute_later(sorted(tuple(r) for r in one.collect()))
     assert rlz_dedup.dedup(empty).count() == 0
 
 
+def test_rlz_keeps_clashing_columns(docs):
+    names = ("id", "ranges", "range_start", "doc", "tag", "start", "n", "row", "first", "a.b")
+    df = docs.select("doc_id", "text", *(F.lit(k).alias(c) for k, c in enumerate(names)))
+    rows = rlz_dedup.dedup(df).collect()
+    assert len(rows) == docs.count() and all(r[c] == k for r in rows for k, c in enumerate(names))
+
+
+def test_rlz_tells_rows_without_id_apart(spark, words):
+    """Two texts without ids whose 32-bit hashes are equal: the one that shares nothing loses nothing."""
+    rng = random.Random(3)
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared, n = make(40), 400_000
+    tails = spark.createDataFrame([(make(30), make(30))], "a string, b string")
+    ids = spark.range(n)
+    left = ids.crossJoin(tails).select(F.concat_ws(" ", F.lit(shared), F.col("id").cast("string"), "a").alias("x"))
+    right = ids.crossJoin(tails).select(F.concat_ws(" ", "b", F.col("id").cast("string"), "a").alias("y"))
+    met = left.withColumn("h", F.hash("x")).join(right.withColumn("h", F.hash("y")), "h").select("x", "y").first()
+    df = spark.createDataFrame([(None, met["x"]), (None, met["y"]), (1, shared), (2, None), (2**63 - 1, "x " * 20)], "doc_id long, text string")
+    got = {r["kept"]: r["n_removed"] for r in rlz_dedup.dedup(df).collect()}
+    assert got[met["y"]] == 0 and got[met["x"][len(shared) + 1 :]] == 40
+
+
+def test_rlz_factors(spark, words):
+    """Factors are the longest copies, from the source's own place, and end where text and source part."""
+    rng = random.Random(9)
+    make = lambda n: [rng.choice(words) + rng.choice(words) for _ in range(n)]
+    source, x, y = make(300), make(70), make(80)
+    texts = {0: source, 1: [*x, *source[20:140], *y, *source[150:190], *source[200:290]], 2: [*source[100:134], *make(5)], 3: [*source[60:95], *make(40)]}
+    df = spark.createDataFrame([(i, 0, " ".join(w)) for i, w in texts.items()], "doc long, tag long, text string")
+    windows = {}
+    for i, w in texts.items():
+        for k in range(len(w) - 34):
+            windows.setdefault(tuple(w[k : k + 35]), []).append((i, k))
+    got = rlz_dedup.factors(df).collect()
+    told = {(r["doc"], r["start"] + k) for r in got for k in range(r["n"])}
+    assert told == {p for places in windows.values() if len(places) > 1 for p in places}
+    for r in got:
+        a, b = texts[r["doc"]][r["start"] : r["start"] + r["n"] + 34], texts[r["src_doc"]][r["src_start"] : r["src_start"] + r["n"] + 34]
+        assert a == b and len(a) == r["n"] + 34 and (r["doc"], r["start"]) != (r["src_doc"], r["src_start"])
+    later = [(r["start"], r["n"] + 34, r["src_start"]) for r in got if r["doc"] == 1 and not r["first"]]
+    joined = []
+    for s, n, src in sorted(later):
+        if joined and joined[-1][0] - joined[-1][2] == s - src and s <= joined[-1][0] + joined[-1][1] - 34:
+            joined[-1] = (joined[-1][0], max(joined[-1][1], s + n - joined[-1][0]), joined[-1][2])
+        else:
+            joined.append((s, n, src))
+    assert joined == [(70, 120, 20), (270, 40, 150), (310, 90, 200)]
+    assert {r["doc"] for r in got} == {0, 1, 3}
+
+
 def brute_suffix(rows, window):
     seen, out = set(), []
     for i, t in rows:
