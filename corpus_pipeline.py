@@ -28,16 +28,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 35 words that they share with others or repeat; documents left empty by that go.
-
-    A text that loses nothing stays as it is, white space included. n_chars is that of the new text.
+    """Texts without the passages of 35 words that start earlier, too (in a smaller doc_id, or in the same text): the first of the
+    copies stays. Documents left empty by that go; a text that loses nothing stays as it is, white space included.
+    n_chars is that of the new text.
     """
-    out = rlz_dedup.dedup(docs.withColumn("whole", F.col("text")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("whole"))
-    out = out.where("NOT (n_removed > 0 AND kept = '')").withColumn("text", text)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    out = rlz_dedup.dedup(docs.select("doc_id", "text", row), keep_first=True).where("NOT (n_removed > 0 AND kept = '')")
+    changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("whole.text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("whole.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(changed.get(c, F.col(f"whole.`{c}`")).alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
