@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, read, small_side, stored, texts
+from .common import by_batch, packed, read, small_side, stored, texts
 from .components import components
 
 BITS = 64
@@ -30,7 +30,6 @@ PIVOTS = tuple(xxhash.xxh64_intdigest(bytes([i]), 0) for i in range(16))
 #: A block of more fingerprints is split further.
 BLOCK_ROWS = 1024
 MAX_SPLITS = 6
-NULL_ID = (1 << 63) - 1
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -195,21 +194,24 @@ def classes(df: DataFrame, radius: int = 2, fp: str = "fp", id_col: str = "doc_i
     Equal fingerprints always join. A null fingerprint is joined to nothing and gets a null component_id, as does a
     component without ids. Copies are collapsed before any pair is looked at.
     """
-    rows = stored(df.drop("component_id"), "fingerprints")
-    nodes = stored(rows.where(F.col(fp).isNotNull()).groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("least")), "nodes")
+    df = df.drop("component_id")
+    rows = stored(df.select(packed(df), F.col(fp).alias("fp"), F.col(id_col).alias("id")), "fingerprints")
+    nodes = stored(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), radius))
     labelled = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(least, "root").select(F.col("fp").alias("node_fp"), "component_id")
-    return rows.join(by_fp, rows[fp] == F.col("node_fp"), "left").drop("node_fp")
+    by_fp = labelled.join(least, "root").select("fp", "component_id")
+    return rows.join(by_fp, "fp", "left").select("row.*", "component_id")
 
 
 WIDE = 256
 #: Chance that a pair at the threshold is lost, as it lies beyond the radius or shares no table's block; and the
 #: fingerprints that a block should hold by chance.
 MISS, BY_CHANCE = 0.02, 32
-#: Standard deviations of the distance from its mean to the radius.
+#: Standard deviations of the distance from its mean to the radius, and below it to the distance that needs no check.
 DEVIATIONS = 4
+#: Texts whose shingles a task holds at once to check pairs: two buckets of so many.
+BUCKET_NODES, BUCKET_BYTES = 500, 16 << 20
 SIMILARITY, SHINGLE = 0.8, 5
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -330,9 +332,9 @@ def near_labels(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE,
     that the first left in different groups, a block too large in pieces that meet each other (see ``pieces``).
     """
     names = [f"f{i}" for i in range(WIDE // 64)]
-    sure = int(WIDE * expected_distance(min(0.97, (1 + similarity) / 2)))
     share = expected_distance(similarity)
-    radius = int(WIDE * share + DEVIATIONS * np.sqrt(WIDE * share * (1 - share)))
+    deviation = DEVIATIONS * np.sqrt(WIDE * share * (1 - share))
+    radius, sure = int(WIDE * share + deviation), int(max(0, WIDE * share - deviation))
 
     def prints(batches):
         for batch in batches:
@@ -425,14 +427,47 @@ def near_labels(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE,
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("tag"), pa.array(some, pa.list_(pa.int64()))], names=["node", "tag", "hashes"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The rows of ``pairs`` (u, v, ...) whose texts have the similarity."""
+        """The rows of ``pairs`` (u, v and other longs) whose texts have the similarity.
+
+        Nodes fall into buckets. The pairs of two buckets are checked together, where the shingles of each node come
+        once for all of its pairs there.
+        """
         ends = small_side(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct())
         # One text stands for a node: the one of its least id, or of its least hash where ids are null.
         by_key = keyed.select(F.coalesce(F.col(id_col).cast("long"), F.col("tag")).alias("node"), "tag", text).join(ends, "node", "left_semi")
-        shingles = by_batch(by_key, "node long, tag long, hashes array<long>", sets).dropDuplicates(["node"])
-        both = pairs.join(shingles.select(F.col("node").alias("u"), F.col("hashes").alias("x")), "u").join(shingles.select(F.col("node").alias("v"), F.col("hashes").alias("y")), "v")
-        common = F.size(F.array_intersect("x", "y"))
-        return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select(*pairs.columns)
+        shingles = stored(by_batch(by_key, "node long, tag long, hashes array<long>", sets).dropDuplicates(["node"]), "shingles", compression="zstd")
+        size = shingles.agg(F.count("*").alias("n"), F.sum(F.size("hashes")).alias("hashes")).first()
+        n_buckets = max(1, size["n"] // BUCKET_NODES + 1, 8 * (size["hashes"] or 0) // BUCKET_BYTES + 1)
+        bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(n_buckets))
+        celled = pairs.select(F.least(bucket("u"), bucket("v")).alias("a"), F.greatest(bucket("u"), bucket("v")).alias("b"), *pairs.columns)
+        needed = celled.select("a", "b", F.col("u").alias("node")).union(celled.select("a", "b", F.col("v").alias("node"))).distinct()
+        others = [F.lit(None).cast("long").alias(c) for c in pairs.columns]
+        brought = needed.join(shingles.select("node", "hashes"), "node").select("a", "b", "node", "hashes", *others)
+        asked = celled.select("a", "b", F.lit(None).cast("long").alias("node"), F.lit(None).cast("array<long>").alias("hashes"), *pairs.columns)
+
+        def check(batches):
+            cell, known = None, {}
+            for batch in batches:
+                cells = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
+                nodes, us, vs = (batch.column(c).to_pylist() for c in ("node", "u", "v"))
+                hashes = batch.column("hashes")
+                good = []
+                for i, here in enumerate(cells):
+                    if here != cell:
+                        cell, known = here, {}
+                    if nodes[i] is not None:
+                        known[nodes[i]] = hashes[i].values.to_numpy().view(np.uint64)
+                        continue
+                    x, y = sorted((known.get(us[i], ()), known.get(vs[i], ())), key=len)
+                    if len(x) and len(x) >= similarity * len(y):
+                        common = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+                        if common >= similarity * (len(x) + len(y) - common):
+                            good.append(i)
+                yield batch.take(pa.array(good, pa.int64())).select(pairs_columns)
+
+        pairs_columns = pairs.columns
+        both = brought.union(asked).repartition("a", "b").sortWithinPartitions("a", "b", F.col("node").isNull())
+        return by_batch(both, ", ".join(f"{c} long" for c in pairs.columns), check)
 
     roots = components(edges.where(F.col("far") <= sure).select("u", "v").union(verified(edges.where(F.col("far") > sure).select("u", "v"))))
     named = stored(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *names), "wide-groups")
@@ -491,10 +526,10 @@ def near_groups(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE,
     replaced.
     """
     base = df.drop("group_id")
-    keyed = base.withColumn("_tag", F.coalesce(F.xxhash64(text), F.lit(0)))
-    labels = near_labels(base, similarity, n, text, id_col).select("id", F.col("tag").alias("_of"), "group_id")
-    out = keyed.join(labels, keyed[id_col].eqNullSafe(labels["id"]) & (keyed["_tag"] == labels["_of"]), "left")
-    return out.select(*base.columns, "group_id")
+    keyed = base.select(packed(base), F.col(id_col).alias("key"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("of"))
+    labels = near_labels(base.select(id_col, text), similarity, n, text, id_col).select("id", "tag", "group_id")
+    out = keyed.join(labels, F.col("key").eqNullSafe(F.col("id")) & (F.col("of") == F.col("tag")), "left")
+    return out.select("row.*", "group_id")
 
 
 def near_distinct(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -502,15 +537,15 @@ def near_distinct(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGL
 
     Groups are settled on labels alone; the texts then meet their keys in one join.
     """
-    labels = stored(near_labels(df, similarity, n, text, id_col), "near-labels")
+    labels = stored(near_labels(df.select(id_col, text), similarity, n, text, id_col), "near-labels")
     first = labels.groupBy("group_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("k"))
-    keep = first.select(F.coalesce("k.id", F.lit(NULL_ID)).alias("_id"), F.col("k.tag").alias("_tag"))
-    keyed = df.withColumn("_tag", F.coalesce(F.xxhash64(text), F.lit(0)))
-    keyed = keyed.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
-    out = keyed.join(keep, ["_id", "_tag"], "left_semi")
+    keep = first.select(F.col("k.none").alias("none"), F.coalesce("k.id", F.lit(0)).alias("id"), F.col("k.tag").alias("tag"))
+    key = F.col(id_col).cast("long")
+    out = df.select(packed(df), key.isNull().alias("none"), F.coalesce(key, F.lit(0)).alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tag"))
+    out = out.join(keep, ["none", "id", "tag"], "left_semi")
     if not labels.where("n_rows > 1").isEmpty():
-        out = out.dropDuplicates(["_id", "_tag"])
-    return out.select(*df.columns)
+        out = out.dropDuplicates(["none", "id", "tag"])
+    return out.select("row.*")
 
 
 def hex64(column: str):

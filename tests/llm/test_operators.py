@@ -517,3 +517,30 @@ def test_near_groups_of_far_fingerprints(spark, words):
     assert sum(r["group_id"] != r["doc_id"] // 10 * 10 for r in got) <= 3
     share = simhash.expected_distance(0.8)
     assert simhash.chance_of_loss(share, 47, 15, 45) > 0.09 and simhash.chance_of_loss(share, 61, 15, 62) <= simhash.MISS
+
+
+@pytest.mark.parametrize("most", [1024, 64])
+def test_near_groups_within_boilerplate(spark, words, monkeypatch, most):
+    """Texts that share boilerplate (similarity 0.71) hide no pair at 0.84, and are not joined themselves."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", most)
+    rng = random.Random(5)
+    make = lambda n: [rng.choice(words) + rng.choice(words) for _ in range(n)]
+    boilerplate = make(330)
+    rows = {i: boilerplate + make(66) for i in range(250)}
+    for k in range(60):
+        x = boilerplate + make(66)
+        y = list(x)
+        for p in range(340, 375, 5):
+            y[p] = rng.choice(words) + "zz"
+        rows |= {5000 + 2 * k: x, 5001 + 2 * k: y}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_groups(df).collect()}
+    assert sum(got[5000 + 2 * k] == got[5001 + 2 * k] for k in range(60)) >= 57
+    assert all(got[i] == i for i in range(250))
+
+
+def test_near_duplicates_keep_clashing_columns(docs):
+    names = ("id", "tag", "_tag", "_id", "none", "node", "node_fp", "row", "key", "of", "a.b")
+    df = docs.select("doc_id", "text", *(F.lit(k).alias(c) for k, c in enumerate(names)))
+    for out in (simhash.near_groups(df), simhash.near_distinct(df), simhash.classes(simhash.with_fingerprint(df.drop("a.b"), out="fp2"), fp="fp2")):
+        assert {tuple(r[c] for c in names if c in out.columns) for r in out.collect()} == {tuple(k for k, c in enumerate(names) if c in out.columns)}
