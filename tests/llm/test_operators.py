@@ -237,26 +237,93 @@ def test_pairs_matter():
     assert np.mean((quality_gam.fit_arrays(x, y).score(x) > 0.5) == (y > 0)) > 0.95
 
 
-def test_decontamination(spark, words):
+def brute_matches(docs, items):
+    """(doc_id, item_id, n_windows) by comparing every window of a document with every window of an item, token by token."""
+    canon, out = decontaminate.Canon(), set()
+    word, name, size = decontaminate.WORD, decontaminate.NAME, decontaminate.WINDOW
+
+    def read(text):
+        words, kinds, opens, common, _ = canon(text.encode())
+        return [w.strip(decontaminate._EDGE).decode().lower() for w in words], kinds.tolist(), opens.tolist(), common.tolist()
+
+    for d, text in docs:
+        w, kinds, opens, common = read(text or "")
+        readings = [[name if o and not c else k for k, o, c in zip(kinds, opens, common, strict=True)], kinds, [name if o else k for k, o in zip(kinds, opens, strict=True)]]
+        for m, item in items:
+            v, vk, vo, _ = read(item or "")
+            n = min(size, len(v))
+            best = 0
+            for shift in range(-len(v), len(w)) if n else ():
+                for ks in readings:
+                    own, other, place = set(), set(), set()
+                    for j in range(len(v) - n + 1):
+                        i = j + shift
+                        if i < 0 or i + n > len(w) or n < decontaminate.WITHIN and len(w) != n:
+                            continue
+                        # The item's reading is that of the text where its word is an opener.
+                        as_read = [k if o and k in (word, name) else x for k, x, o in zip(ks[i : i + n], vk[j : j + n], vo[j : j + n], strict=True)]
+                        if as_read != ks[i : i + n] or any(k == word and x != y for k, x, y in zip(as_read, w[i : i + n], v[j : j + n], strict=True)):
+                            continue
+                        plain = as_read.count(word)
+                        slots = [(k, x, y) for k, x, y in zip(as_read, w[i : i + n], v[j : j + n], strict=True) if k != word]
+                        if all(x == y for _, x, y in slots):
+                            own.add(i)
+                        if plain >= decontaminate.LITERAL * n and plain >= decontaminate.LEAST_WORDS:
+                            other.add(i)
+                            place |= set(slots)
+                    torn = len({(k, x) for k, x, _ in place}) < len(place) or len({(k, y) for k, _, y in place}) < len(place)
+                    best = max(best, len(own if torn else own | other))
+            if best:
+                out.add((d, m, best))
+    return out
+
+
+def test_decontamination(spark, words, monkeypatch):
     rng = random.Random(4)
     make = lambda n: " ".join(rng.choice(words) for _ in range(n))
     item = "If Karan has 12 apples and gives 5 kg of them to Velon then how many apples does Karan have left after that day"
     other = item.replace("Karan", "Loranel").replace("12", "31").replace("5 kg", "9 lb").replace("Velon", "Sudor")
-    torn = other.replace("does Loranel", "does Temil")
+    torn = other.replace("does Loranel", "does Temil").replace("5 kg", "7 kg")
     plain = make(30)
-    items = spark.createDataFrame([(0, item), (1, plain), (2, None), (3, ""), (4, make(9)), (5, plain), (None, make(20)), (6, " ".join(map(str, range(20))))], "item_id long, text string")
-    nine = items.where("item_id = 4").first()["text"]
+    short = "Karan has 12 apples and gives away 5 of them each day"
+    items = [(0, item), (1, plain), (2, None), (3, ""), (4, make(9)), (5, plain), (None, make(20)), (6, " ".join(map(str, range(20)))), (7, "How many moons does Mars have"), (8, short), (9, "Lovel")]
+    nine = items[4][1]
     rows = [(0, make(20) + " " + item + " " + make(9)), (1, make(40) + ". " + other), (2, torn), (3, make(400)), (4, plain.upper()), (5, None), (6, ""), (7, make(3) + " " + nine + " " + make(3)), (8, " ".join(plain.split()[:13])), (9, " ".join(plain.split()[:12])), (10, " ".join(map(str, range(50, 90)))), (None, item), (0, make(20) + " " + item)]
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, h int")
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, items).collect()}
-    assert got == {(0, 0), (1, 0), (4, 1), (4, 5), (7, 4), (8, 1), (8, 5)}
-    assert sorted(str(r["doc_id"]) for r in decontaminate.clean(df, items).collect()) == sorted(map(str, (2, 3, 5, 6, 9, 10, None)))
-    assert decontaminate.matches(df.where("false"), items).count() == decontaminate.matches(df, items.where("false")).count() == 0
-    before, decontaminate.MAX_FILTER = decontaminate.MAX_FILTER, 0
-    try:
-        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, items).collect()} == got
-    finally:
-        decontaminate.MAX_FILTER = before
+    rows += [(11, "How many moons does Mars have"), (12, make(9) + "\nso " + short.replace("Karan", "Velon").replace("12", "31").replace("5", "9")), (13, short.replace("Karan", "Velon").replace("12", "31")), (14, "1 2 " + items[7][1] + " 3"), (15, "lovel"), (16, "a lovel"), (17, make(9000) + " " + item + " " + make(9000))]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, h int, id int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, bench).collect()}
+    assert got == {(0, 0), (1, 0), (4, 1), (4, 5), (7, 4), (8, 1), (8, 5), (11, 7), (12, 8), (13, 8), (14, 6), (15, 9), (17, 0)}
+    kept = decontaminate.clean(df, bench).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(map(str, (2, 3, 5, 6, 9, 10, 16, None))) and {(r["h"], r["id"]) for r in kept} == {(1, 2)}
+    assert decontaminate.matches(df.where("false"), bench).count() == decontaminate.matches(df, bench.where("false")).count() == 0
+    monkeypatch.setattr(decontaminate, "MAX_FILTER", 0)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 1 << 12)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, bench).collect()} == got
+
+
+def test_decontamination_by_brute_force(spark, words):
+    """Random templates whose slots are filled anew, rightly or not, in texts that open sentences with names, common words and others."""
+    rng = random.Random(23)
+    names = [w.capitalize() for w in words[:12]]
+
+    def sentence():
+        out = [rng.choice(["How", "If", "Then", rng.choice(names), rng.choice(words).capitalize()])]
+        for _ in range(rng.randint(3, 9)):
+            out.append(rng.choice([rng.choice(words[:30]), rng.choice(words[:30]), rng.choice(names), str(rng.randint(1, 9)), "5 kg"]))
+        return " ".join(out) + rng.choice([".", "?", ","])
+
+    items = [(i, " ".join(sentence() for _ in range(rng.randint(1, 4)))) for i in range(25)]
+    docs = []
+    for d in range(120):
+        text = rng.choice(items)[1]
+        change = {n: rng.choice(names) for n in names} if d % 3 else dict(zip(names, rng.sample(names, len(names)), strict=True))
+        body = " ".join(change.get(w.strip(".?,"), w.strip(".?,")) + w[len(w.rstrip(".?,")) :] for w in text.split())
+        if d % 4 == 0:
+            body = rng.choice(["so ", "So ", "thus. "]) + body[0].lower() * (d % 8 == 0) + body[d % 8 == 0 :]
+        docs.append((d, rng.choice(["", sentence() + " "]) + body + rng.choice(["", " " + sentence()])))
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, m) for d, m, _ in brute_matches(docs, items)} and len(got) > 40
 
 
 def test_licences(spark, monkeypatch):
