@@ -204,12 +204,12 @@ def classes(df: DataFrame, radius: int = 2, fp: str = "fp", id_col: str = "doc_i
     return rows.join(by_fp, "fp", "left").select("row.*", "component_id")
 
 
-WIDE = 256
+WIDE = 512
 #: Chance that a pair at the threshold is lost, as it lies beyond the radius or shares no table's block; and the
 #: fingerprints that a block should hold by chance.
 MISS, BY_CHANCE = 0.02, 32
 #: Standard deviations of the distance from its mean to the radius, and below it to the distance that needs no check.
-DEVIATIONS = 4
+DEVIATIONS = 3
 #: Texts whose shingles a task holds at once to check pairs: two buckets of so many.
 BUCKET_NODES, BUCKET_BYTES = 500, 16 << 20
 SIMILARITY, SHINGLE = 0.8, 5
@@ -323,7 +323,7 @@ def near_labels(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE,
     """(id, tag, group_id, n_rows) of the rows of ``df``, without their texts; see near_groups.
 
     Such pairs differ in too many bits for the exact blocks of ``links``: at 0.8, in 15 of a hundred. So fingerprints of
-    256 bits meet in tables of randomly chosen bits; their number follows from MISS, the chance that a pair at the
+    WIDE bits meet in tables of randomly chosen bits; their number follows from MISS, the chance that a pair at the
     threshold is lost, and the bits of each from the number of fingerprints. In a block, pivot distances
     discard pairs, survivors are verified by their distance, and pairs in doubt by their shingles.
 
@@ -477,15 +477,26 @@ def near_labels(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE,
         for batch in batches:
             words = np.stack([batch.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
             for t in range(tables) if batch.num_rows else ():
-                yield pa.RecordBatch.from_arrays([pa.array(keys_of(words, t, bits)), *(batch.column(c) for c in carried)], names=["key", *carried])
+                yield pa.RecordBatch.from_arrays([pa.array(keys_of(words, t, bits)), pa.array(np.full(batch.num_rows, t)), *(batch.column(c) for c in carried)], names=["key", "t", *carried])
 
-    made = pieces(by_batch(named, "key long, node long, root long, " + ", ".join(f"{c} long" for c in names), rekeyed))
+    made = pieces(by_batch(named, "key long, t long, node long, root long, " + ", ".join(f"{c} long" for c in names), rekeyed))
     made = made.repartition("key").sortWithinPartitions("key")
 
+    masks = np.zeros((tables, WIDE // 64), np.uint64)
+    for t, places in enumerate(chosen):
+        masks[t] = np.packbits(np.isin(np.arange(WIDE), places[:bits]), bitorder="little").view(np.uint64)
+
     def crossed(rows: pd.DataFrame) -> pa.RecordBatch:
+        """A pair is told of in the first table that it shares a block of."""
         words = rows[names].to_numpy(np.int64).view(np.uint64)
         node, root, side = (rows[c].to_numpy(np.int64) for c in ("node", "root", "side"))
         a, b, far = _near_pairs(words, np.cumsum(rows["key"].diff().ne(0).to_numpy()), radius, lambda x, y: (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == 0)))
+        table = rows["t"].to_numpy(np.int64)[a]
+        differ = words[a] ^ words[b]
+        new = np.ones(len(a), bool)
+        for t in range(int(table.max(initial=0))):
+            new &= (table <= t) | (differ & masks[t]).any(axis=1)
+        a, b, far = a[new], b[new], far[new]
         near = far <= sure
         ru, rv = np.array(_forest(root[a[near]], root[b[near]]), np.int64).reshape(-1, 2).T
         # Every pair in doubt stays: one that fails must not stand for one that holds.
@@ -511,7 +522,7 @@ def near_labels(df: DataFrame, similarity: float = SIMILARITY, n: int = SHINGLE,
         if held is not None:
             yield crossed(held)
 
-    found = by_batch(made.select("key", "side", "node", "root", *names), "u long, v long, ru long, rv long, sure boolean", crossing)
+    found = by_batch(made.select("key", "t", "side", "node", "root", *names), "u long, v long, ru long, rv long, sure boolean", crossing)
     more = stored(found.distinct(), "cross-links")
     joined = components(more.where("sure").select("ru", "rv").union(verified(more.where("NOT sure").select("u", "v", "ru", "rv")).select("ru", "rv")).toDF("u", "v"))
     named = named.join(joined.select(F.col("node").alias("root"), F.col("root").alias("least")), "root", "left").select(*names, F.coalesce("least", "root").alias("group_id"))
