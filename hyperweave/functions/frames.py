@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a new temporary folder (for tests on one machine)."""
     context = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(where)
     return where

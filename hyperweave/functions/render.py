@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,22 @@ def replaced(items: Column, ix: int, value: Column) -> Column:
     return F.transform(items, lambda x, i: F.when(i + 1 == ix, value).otherwise(x))
 
 
+def split_around(items: Column, holds: Callable[[Column], Column]) -> Column:
+    """An array as (before, during, after) around its one run of elements for which ``holds``; null if there are several runs."""
+    marks = F.transform(items, lambda x: F.coalesce(holds(x), F.lit(False)))
+    n = F.size(items)
+    first = F.coalesce(F.nullif(F.array_position(marks, True), F.lit(0)), n + 1).cast("int")
+    length = F.size(F.filter(marks, lambda m: m))
+    during = F.slice(items, first, length)
+    whole = F.struct(F.slice(items, F.lit(1), first - 1).alias("before"), during.alias("during"), F.slice(items, first + length, F.greatest(n - first - length + 1, F.lit(0))).alias("after"))
+    return F.when(F.forall(F.slice(marks, first, length), lambda m: m), whole)
+
+
+def substituted(text: Column, pattern: str, replacement: str) -> Column:
+    """``text`` with every match of the regular expression replaced; as it is where nothing matches."""
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_replace(text, pattern, replacement)).otherwise(text)
+
+
 def render(space: Space, addrs: DataFrame, max_depth: int | None = None, as_addr: DataFrame | None = None) -> DataFrame:
     """(addr, text). Separators carry one # for each level of nesting; max_depth: relationships at least so deep go in
     parentheses, where the count starts anew. Addresses in as_addr are shown as @n. Expressions with absent parts get no row.

@@ -69,19 +69,23 @@ def unnest(space: Space, addrs: DataFrame, max_depth: int = 64) -> DataFrame:
     raise RecursionError(f"deeper than {max_depth}, or an expression that holds itself")
 
 
-def with_depth(space: Space, max_depth: int = 64) -> DataFrame:
-    """(addr, depth) of all expressions: phrases and templates 0, relationships one more than their deepest member."""
-    known = settled(space.expr.where("kind <> 'rel'").select("addr", F.lit(0).alias("depth")))
+def with_depth(space: Space) -> DataFrame:
+    """(addr, depth) of all expressions: phrases and templates 0, relationships one more than their deepest member.
+
+    One round for each level, however many there are. Relationships that hold themselves, or an absent member, at any
+    distance have no depth and no row.
+    """
     members = space.role("member").select("host", F.col("child").alias("addr"))
-    arity = space.expr.where("kind = 'rel'").select(F.col("addr").alias("host"), "arity")
-    for _ in range(max_depth):
-        todo = members.join(known.select(F.col("addr").alias("host")), "host", "left_anti")
-        ready = todo.join(known, "addr").groupBy("host").agg(F.count("*").alias("n"), F.max("depth").alias("d")).join(arity, "host").where("n = arity")
-        new = settled(ready.select(F.col("host").alias("addr"), (F.col("d") + 1).alias("depth")))
-        if new.isEmpty():
-            break
-        known = known.union(new)
-    return known
+    out = frontier = space.expr.where("kind <> 'rel'").select("addr", F.lit(0).alias("depth"))
+    waiting = space.expr.where("kind = 'rel'").select(F.col("addr").alias("host"), F.col("arity").alias("missing"), F.lit(0).alias("depth"))
+    while True:
+        reached = members.join(frontier, "addr").groupBy("host").agg(F.count("*").alias("n"), F.max("depth").alias("d"))
+        left = F.col("missing") - F.coalesce("n", F.lit(0))
+        told = settled(waiting.join(reached, "host", "left").select("host", left.alias("missing"), F.greatest("depth", "d").alias("depth")))
+        frontier = told.where("missing = 0").select(F.col("host").alias("addr"), (F.col("depth") + 1).alias("depth"))
+        if frontier.isEmpty():
+            return out
+        out, waiting = out.union(frontier), told.where("missing > 0")
 
 
 def flatten_phrases(space: Space, addrs: DataFrame) -> DataFrame:

@@ -21,6 +21,16 @@ def intersection(r: DataFrame, s: DataFrame) -> DataFrame:
     return r.intersect(s)
 
 
+def intersections(*sets: DataFrame) -> DataFrame:
+    """What is in all of the sets, as rows of equal columns; at least one set."""
+    return reduce(DataFrame.intersect, sets).distinct()
+
+
+def union_by_key(*maps: DataFrame, key: str = "key", items: str = "items") -> DataFrame:
+    """Maps from a key to a set (an array): (key, item), the union of the sets of each key. Null and empty sets add nothing."""
+    return reduce(DataFrame.union, (m.select(F.col(key).alias("key"), F.explode(items).alias("item")) for m in maps)).distinct()
+
+
 def insert(r: DataFrame, pairs: DataFrame) -> DataFrame:
     return union(r, pairs.select("a", "b"))
 

@@ -294,3 +294,32 @@ def relation_map_ran(spark, d):
 @query(f"WITH {_PAIRS} SELECT a, b FROM r WHERE a <= 2")
 def relation_to_list(spark, d):
     return relation.to_list(_pairs(spark, d).where("a <= 2"))
+
+
+@query("SELECT DISTINCT l_partkey AS b FROM lineitem WHERE l_linenumber = 1 INTERSECT SELECT l_partkey FROM lineitem WHERE l_linenumber = 2 INTERSECT SELECT l_partkey FROM lineitem WHERE l_linenumber = 3")
+def relation_intersections(spark, d):
+    lines = star.table(spark, d, "lineitem")
+    return relation.intersections(*(lines.where(f"l_linenumber = {k}").select(F.col("l_partkey").alias("b")) for k in (1, 2, 3)))
+
+
+@query("SELECT o_custkey AS key, count(*) AS n FROM (SELECT o_custkey, o_orderdate AS item FROM orders UNION SELECT o_custkey, l_shipdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY o_custkey")
+def relation_union_by_key(spark, d):
+    """The days of each customer: those of orders and those of their lines."""
+    orders, lines = star.table(spark, d, "orders"), star.table(spark, d, "lineitem")
+    ordered = orders.select(F.col("o_custkey").alias("key"), F.array("o_orderdate").alias("items"))
+    shipped = orders.join(lines, F.expr("o_orderkey = l_orderkey")).select(F.col("o_custkey").alias("key"), F.array("l_shipdate").alias("items"))
+    return relation.union_by_key(ordered, shipped).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, regexp_replace(c_name, '#', ' no. ') AS name FROM customer")
+def render_substituted(spark, d):
+    return star.table(spark, d, "customer").select("c_custkey", text.substituted(F.col("c_name"), "#", " no. ").alias("name"))
+
+
+@query("""SELECT c_custkey, regexp_extract(c_name, '^[^0-9]*') AS before, regexp_extract(c_name, '[0-9]+') AS during, regexp_extract(c_name, '^[^0-9]*[0-9]*(.*)$', 1) AS after
+FROM customer WHERE NOT regexp_matches(c_name, '[0-9][^0-9]+[0-9]')""")
+def render_split_around(spark, d):
+    """The characters of a name around its one run of digits."""
+    parts = text.split_around(F.split("c_name", ""), lambda x: x.rlike("^[0-9]$"))
+    out = star.table(spark, d, "customer").select("c_custkey", parts.alias("p")).where("p IS NOT NULL")
+    return out.select("c_custkey", *(F.array_join(f"p.{c}", "").alias(c) for c in ("before", "during", "after")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import settled
@@ -184,6 +184,30 @@ def write_space(space: Space, path: str) -> None:
     space.expr.write.mode("overwrite").parquet(path)
 
 
+#: Names of control characters in quoted strings, by their numbers.
+CONTROL = ["NUL", "SOH", "STX", "ETX", "EOT", "ENQ", "ACK", "BEL", "BS", "HT", "LF", "VT", "FF", "CR", "SO", "SI", "DLE", "DC1", "DC2", "DC3", "DC4", "NAK", "SYN", "ETB", "CAN", "EM", "SUB", "ESC", "FS", "GS", "RS", "US", "SP"]
+#: Escapes of one letter.
+LETTERS = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, '"': 34, "'": 39, "\\": 92}
+
+
+def unquoted(text: Column) -> Column:
+    """The inside of a quoted string with its escapes resolved: letters, decimal, octal (o) and hexadecimal (x) numbers, control names,
+    ``^A`` and the empty ``&``."""
+    named = {name: i for i, name in enumerate(CONTROL)} | {"DEL": 127} | LETTERS | {f"^{chr(64 + i)}": i for i in range(32)}
+    names = "|".join(sorted(CONTROL, key=len, reverse=True))
+    token = rf"\\(?:[0-9]+|x[0-9a-fA-F]+|o[0-7]+|{names}|DEL|\^[@-_]|.)|[^\\]+"
+    known = F.create_map(*(F.lit(x) for pair in named.items() for x in pair))
+
+    def resolved(t: Column) -> Column:
+        body = F.substring(t, 2, 12)
+        number = F.when(body.rlike("^[0-9]"), F.conv(body, 10, 10)).when(body.rlike("^x[0-9a-fA-F]"), F.conv(F.substring(body, 2, 12), 16, 10)).when(body.rlike("^o[0-7]"), F.conv(F.substring(body, 2, 12), 8, 10))
+        code = F.coalesce(number.cast("long"), F.try_element_at(known, body).cast("long"))
+        whole = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(~t.startswith("\\"), t).when(body == "&", "").otherwise(F.coalesce(whole, body))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)" + token), F.lit(0)), resolved), "")
+
+
 def read_rslt(spark: SparkSession, folder: str) -> Space:
     """A folder of ``<addr>.rslt`` text files, top level only; other files are ignored."""
     files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.rslt").text(folder)
@@ -194,7 +218,7 @@ def read_rslt(spark: SparkSession, folder: str) -> Space:
     cap = lambda i: number(F.regexp_extract(F.regexp_extract(body, tplt, i), r"(-?\d+)", 1))
     rel = r"^r \[([^\]]*)\] \(?(-?\d+)"
     quoted = F.regexp_extract(body, r'(?s)^p "(.*)"', 1)
-    text = F.from_json(F.concat(F.lit('{"x":"'), quoted, F.lit('"}')), "x string")["x"]
+    text = unquoted(quoted)
     kind = F.when(body.startswith("p "), "phrase").when(body.startswith("t "), "tplt").otherwise("rel")
     rows = files.select(F.regexp_extract("_metadata.file_name", r"(-?\d+)\.rslt$", 1).cast("long").alias("addr"), kind.alias("kind"), text.alias("phrase"), cap(1).alias("cap_left"), ints(F.regexp_extract(body, tplt, 2)).alias("seps"), cap(3).alias("cap_right"), ints(F.regexp_extract(body, rel, 1)).alias("members"), number(F.regexp_extract(body, rel, 2)).alias("tplt"))
     is_ = lambda k, c: F.when(F.col("kind") == k, F.col(c))

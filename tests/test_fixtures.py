@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from hyperweave.functions import render as text
 from hyperweave.functions.render import render
-from hyperweave.operators import check, edit, navigate, order, search, transitive
+from hyperweave.operators import check, edit, navigate, order, relation, search, transitive
 from hyperweave.operators.search import ANY, IT, addr, eval_, find, frame, involves, it, phrase, rel, roles, template
 from hyperweave.sources import facts
 from hyperweave.sources.facts import R
@@ -107,6 +108,32 @@ def test_paths_into_sub_expressions(make):
     assert (depth[1], depth[4], depth[5], depth[6]) == (0, 0, 1, 2)
 
 
+def test_depth_of_deep_chains(make):
+    s = make([(0, P, "a"), (1, P, "is"), (2, T, (None, [1], None)), (3, REL, ([0, 0], 2)), *((i, REL, ([i - 1, 0], 2)) for i in range(4, 73)), (100, REL, ([100, 0], 2))])
+    depth = dict(rows(navigate.with_depth(s)))
+    assert depth[72] == 70 and max(depth.values()) == 70 and 100 not in depth
+
+
+def test_quoted_text(spark, tmp_path):
+    quoted = {"caf\\233": "caf\u00e9", "\\1076\\1072": "\u0434\u0430", "\\1234\\&5": "\u04d25", "a\\\"b\\\\c\\nd": 'a"b\\c\nd', "\\SO\\&H\\SOH": "\x0eH\x01", "\\x41\\o102\\DEL": "AB\x7f", "\\128512": "\U0001f600", "": "", "\\\\n": "\\n"}
+    for i, body in enumerate(quoted):
+        (tmp_path / f"{i}.rslt").write_text(f'p "{body}"\n')
+    got = {r["addr"]: r["phrase"] for r in read_rslt(spark, str(tmp_path)).expr.collect()}
+    assert [got[i] for i in range(len(quoted))] == list(quoted.values())
+
+
+def test_sets_and_lists(spark):
+    one = lambda *x: spark.createDataFrame([(v,) for v in x], "b long")
+    assert got(relation.intersections(one(1, 2, 3), one(2, 3, 3), one(3, 4))) == [3] and got(relation.intersections(one(1, 1))) == [1]
+    maps = [spark.createDataFrame(x, "key long, items array<long>") for x in ([(1, [1, 2]), (2, [])], [(1, [2, 3]), (3, None), (2, [5])])]
+    assert rows(relation.union_by_key(*maps)) == [(1, 1), (1, 2), (1, 3), (2, 5)]
+    lists = spark.createDataFrame([(0, [1, 5, 6, 2]), (1, [1, 2]), (2, [5, 1, 6]), (3, []), (4, [7, 8]), (5, None)], "k long, x array<long>")
+    split = {r["k"]: r["s"] and tuple(r["s"]) for r in lists.select("k", text.split_around(F.col("x"), lambda v: v >= 5).alias("s")).collect()}
+    assert split == {0: ([1], [5, 6], [2]), 1: ([1, 2], [], []), 2: None, 3: ([], [], []), 4: ([], [7, 8], []), 5: None}
+    words = spark.createDataFrame([("a1b2",), ("none",), (None,)], "x string").select(text.substituted(F.col("x"), "[0-9]", "-")).collect()
+    assert [r[0] for r in words] == ["a-b-", "none", None]
+
+
 def test_integrity(make):
     bad = make([*F1, (1001, REL, ([1, 2], 5)), (1002, REL, ([1, 2], -1000))])
     assert got(check.misfit_rels(bad)) == [1001, 1002]
