@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 
-MAX_ROUNDS = 60
-
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round over (u, v) with u > v: every node hands its neighbours (large: the greater ones) to its least neighbour.
@@ -30,16 +28,15 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (u, v) of long, in any direction -> (node, root): the least node of each component, for all nodes but the roots themselves.
 
     Self-links, repeated links and nulls are ignored; no edges give no rows. Each round is written to the checkpoint
-    folder, so that lineage stays short and a lost executor costs one round at most.
+    folder, so that lineage stays short and a lost executor costs one round at most. Rounds grow with the logarithm of the nodes.
     """
     shared_dir(edges.sparkSession)
     e = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     before = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         e = _star(_star(e, large=True), large=False).checkpoint()
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -174,12 +174,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     """The model for (doc_id, text) and (doc_id, ``label`` 0 or 1), from about ``most`` labelled rows at the most.
 
     The sample is by hash of doc_id, so it does not depend on how rows are dealt. Null ids and labels other than 0 and
-    1 are left out; a document labelled twice counts twice. No labels at all give a model that scores 0.5.
+    1 are left out; a document labelled both ways counts once for each. Of rows that repeat an id the least text counts, so
+    that no id brings more than two rows. No labels at all give a model that scores 0.5.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("double").alias("label_value"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("double").alias("label_value")).distinct()
     share = min(1.0, most / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    rows = with_features(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")).select("features", "label_value").toPandas()
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "label_value").agg(F.min("text").alias("text"))
+    rows = with_features(found).select("features", "label_value").toPandas()
     rows = rows.assign(key=rows["features"].map(tuple)).sort_values(["key", "label_value"])  # the order of arrival doesn't matter
     x = np.array(rows["features"].tolist(), float).reshape(len(rows), len(FEATURES))
     return fit_arrays(x, rows["label_value"].to_numpy(float))

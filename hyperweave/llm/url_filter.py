@@ -8,6 +8,7 @@ path length that the rules have, whatever their number.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 from functools import lru_cache
@@ -127,6 +128,7 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", default
     spark = df.sparkSession
     fd, local = tempfile.mkstemp(prefix="digests-", suffix=".dga")
     os.close(fd)
+    atexit.register(os.unlink, local)  # executors may fetch it as long as the session lasts
     write_digest_array(rules, local)
     spark.sparkContext.addFile(local)
     name = os.path.basename(local)
@@ -151,23 +153,26 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", default
     return by_batch(split, schema, body)
 
 
-def judge_joined(df: DataFrame, rules: DataFrame, key: str, url: str = "url", default: str = "allow") -> DataFrame:
+def judge_joined(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """As ``judge``, for rule tables (verdict, rule) of any size: probes meet rules by digest in a shuffled join.
 
-    key: a column that identifies a row of ``df``; rows with a null or repeated key share one judgement.
+    Each different host and path is judged once. Probes are made for the lengths that paths of rules have, of which a
+    table has few.
     """
     split = host_and_path(df.drop("rule", "verdict"), url)
-    rule_set = rules.groupBy("rule").agg(F.max("verdict").alias("verdict"))  # block > allow
+    rule_set = rules.where("rule IS NOT NULL").groupBy("rule").agg(F.max("verdict").alias("verdict"))  # block > allow
     rule_set = rule_set.withColumn("digest", F.xxhash64("rule"))
+    lengths = [r["n"] for r in rule_set.select((F.length("rule") - F.instr("rule", "/") + 1).alias("n")).distinct().collect()]
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    probes = split.select(key, "host", "path", F.explode(suffixes).alias("suffix")).where("suffix <> ''")
-    probes = probes.withColumn("n", F.explode(F.sequence(F.lit(0), F.length("path"))))
-    probes = probes.select(key, F.concat("suffix", F.expr("substr(path, 1, n)")).alias("probe")).withColumn("digest", F.xxhash64("probe"))
+    urls = split.select("host", "path").distinct()
+    probes = urls.select("host", "path", F.explode(suffixes).alias("suffix")).where("suffix <> ''")
+    probes = probes.withColumn("n", F.explode(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"))).where("n <= length(path)")
+    probes = probes.select("host", "path", F.concat("suffix", F.expr("substr(path, 1, n)")).alias("probe")).withColumn("digest", F.xxhash64("probe"))
     hit = probes.join(rule_set, "digest").where("probe = rule")
-    best = hit.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), F.col("rule"))).alias("best"))
-    out = split.join(best, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-    return out.withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))}).drop("best")
+    best = hit.groupBy("host", "path").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), F.col("rule"))).alias("best"))
+    best = best.select("host", "path", "best.rule", "best.verdict")
+    return split.join(best, ["host", "path"], "left").select(*split.columns, "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

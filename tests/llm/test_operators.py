@@ -225,6 +225,9 @@ def test_quality(spark, words):
     assert np.mean([(out[i] >= 0.5) == bool(y) for i, y in held]) > 0.97
     again = quality_gam.fit(df.repartition(5), labels.where("doc_id % 3 <> 1").repartition(2))
     assert np.allclose(again.score(np.ones((3, len(quality_gam.FEATURES)))), model.score(np.ones((3, len(quality_gam.FEATURES)))))
+    many = df.where("doc_id < 2000").union(df.where("doc_id = 3")).union(df.where("doc_id = 3"))
+    twice = quality_gam.fit(many, labels.where("doc_id % 3 <> 1").union(labels.where("doc_id = 3")))
+    assert np.allclose(twice.score(np.ones((3, len(quality_gam.FEATURES)))), model.score(np.ones((3, len(quality_gam.FEATURES)))))
     blank = quality_gam.fit(df, labels.where("false"))
     assert blank.score(np.zeros((1, len(quality_gam.FEATURES))))[0] == 0.5
     assert quality_gam.score(df.where("false"), model).count() == 0
@@ -372,7 +375,8 @@ def test_urls(spark):
         return i, host, path, rule, verdict
 
     assert got == {want(r["page_id"], r["url"]) for r in df.collect()}
-    joined = url_filter.judge_joined(df, spark.createDataFrame(url_filter.RULES, "verdict string, rule string"), "page_id")
+    assert df.count() == len(url_filter.judge(df, url_filter.RULES).collect())
+    joined = url_filter.judge_joined(df, spark.createDataFrame(url_filter.RULES, "verdict string, rule string"))
     assert {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in joined.collect()} == got
     assert url_filter.judge(df.where("false"), url_filter.RULES).count() == 0
     assert {r["verdict"] for r in url_filter.judge(df, []).collect()} == {"allow"}
