@@ -69,27 +69,40 @@ def _postorder(pattern) -> list[tuple]:
 _NODE = ["key", "kind", "arity", "phrase", "tplt_key", "member_keys", "left_key", "sep_keys", "right_key"]
 
 
+_NODE_TYPE = "struct<key:string,kind:string,arity:int,phrase:string,tplt_key:string,member_keys:array<string>,left_key:string,sep_keys:array<string>,right_key:string,step:int>"
+
+
+def _node(step: int, kind: str, key, x) -> Column:
+    """One sub-expression as a struct of _NODE_TYPE."""
+    lit = lambda k: F.lit(k) if isinstance(k, str | None) else k
+    arity, phrase, tplt, members, left, seps, right = 0, None, None, None, None, None, None
+    if kind == "phrase":
+        phrase = x.column()
+    elif kind == "tplt":
+        cap = lambda c: None if c is None else phrase_key(c)
+        arity, left, right = len(x[1]) + 1, cap(x[0]), cap(x[2])
+        seps = F.array(*(F.lit(phrase_key(s)) for s in x[1]))
+    else:
+        arity, tplt, members = len(x.members), template_key(x.template), F.array(*(lit(m.key()) for m in x.members))
+    return F.struct(*(lit(v) if not isinstance(v, int) else F.lit(v) for v in (key, kind, arity, phrase, tplt, members, left, seps, right, step))).cast(_NODE_TYPE)
+
+
 def nodes(df: DataFrame, pattern, order: Column | None = None) -> DataFrame:
-    """Every sub-expression of every statement, not yet merged, with ``stmt`` and ``step``, its place in the order of insertion."""
-    null = lambda t: F.lit(None).cast(t)
-    lit = lambda k: F.lit(k) if isinstance(k, str) else k
+    """Every sub-expression of every statement, not yet merged, with ``stmt`` and ``step``, its place in the order of insertion.
+
+    One scan of the table yields all nodes of its rows. Constant ones come from its first row alone, unless an order is given.
+    """
     base = df.withColumn("_stmt", order.cast("long") if order is not None else F.monotonically_increasing_id())
-    out = None
-    for step, (kind, key, x) in enumerate(_postorder(pattern)):
-        if kind == "phrase":
-            cols = (F.lit(0), x.column(), null("string"), null("array<string>"), null("string"), null("array<string>"), null("string"))
-        elif kind == "tplt":
-            left, seps, right = x
-            cap = lambda c: null("string") if c is None else F.lit(phrase_key(c))
-            cols = (F.lit(len(seps) + 1), null("string"), null("string"), null("array<string>"), cap(left), F.array(*(F.lit(phrase_key(s)) for s in seps)).cast("array<string>"), cap(right))
-        else:
-            cols = (F.lit(len(x.members)), null("string"), F.lit(template_key(x.template)), F.array(*(lit(m.key()) for m in x.members)), null("string"), null("array<string>"), null("string"))
-        constant = isinstance(key, str)
-        part = (base.limit(1) if constant and order is None else base).select(lit(key).alias("key"), F.lit(kind).alias("kind"), *(c.alias(n) for c, n in zip(cols, _NODE[2:], strict=True)), "_stmt", F.lit(step).alias("step")).withColumnRenamed("_stmt", "stmt")
-        if not constant:
-            part = part.where("key IS NOT NULL")
-        out = part if out is None else out.unionByName(part)
-    return out
+    steps = [(isinstance(key, str), _node(step, kind, key, x)) for step, (kind, key, x) in enumerate(_postorder(pattern))]
+
+    def exploded(rows: DataFrame, found: list[Column]) -> DataFrame:
+        return rows.select("_stmt", F.explode(F.array(*found)).alias("_n")).where("_n.key IS NOT NULL").select(*(F.col(f"_n.{c}").alias(c) for c in _NODE), F.col("_stmt").alias("stmt"), F.col("_n.step").alias("step"))
+
+    if order is not None:
+        return exploded(base, [n for _, n in steps])
+    constant, varying = [n for c, n in steps if c], [n for c, n in steps if not c]
+    parts = [exploded(rows, found) for rows, found in ((base, varying), (base.limit(1), constant)) if found]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def _merged(parts: DataFrame) -> DataFrame:
