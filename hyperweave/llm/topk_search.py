@@ -19,6 +19,8 @@ from .common import read, stored
 
 BUCKET_ROWS = 4096
 QUERY_BLOCK_ROWS = 1024
+#: Into so many bands of the length that they ask of a candidate queries are sorted, at the most, before they are dealt into blocks.
+BANDS = 64
 #: From this local cosine threshold on, coordinate pruning takes the place of length pruning.
 COORDINATE_FROM = 0.35
 FOCUS = 4
@@ -95,6 +97,21 @@ def _search(queries: pd.DataFrame, bucket: pd.DataFrame, k: int) -> pd.DataFrame
     return pd.DataFrame({"query_id": cat(0), "vec_id": cat(1), "score": cat(2)})
 
 
+def _blocked(qs: DataFrame, bands: int) -> DataFrame:
+    """``qs`` (dim, least, q_norm) with ``reach``, the length below which no candidate can reach the threshold, and ``block``:
+    queries of like reach together, in blocks of about QUERY_BLOCK_ROWS."""
+    qs = qs.withColumn("reach", F.when(F.col("least") > 0, F.col("least") / F.col("q_norm")).otherwise(0.0))
+    if bands > 1:
+        cuts = qs.groupBy("dim").agg(F.percentile_approx("reach", [i / bands for i in range(1, bands)]).alias("cuts"))
+        above = F.aggregate("cuts", F.lit(0), lambda n, cut: n + (cut <= F.col("reach")).cast("int"))
+        qs = qs.join(F.broadcast(cuts), "dim").withColumn("band", above).drop("cuts")
+    else:
+        qs = qs.withColumn("band", F.lit(0))
+    parts = qs.groupBy("dim", "band").agg(F.ceil(F.count("*") / QUERY_BLOCK_ROWS).alias("q_parts"))  # BANDS rows for each dimension
+    deal = F.pmod(F.xxhash64("query_id"), F.col("q_parts"))
+    return qs.join(F.broadcast(parts), ["dim", "band"]).withColumn("block", F.col("band").cast("long") * (1 << 40) + deal).drop("band", "q_parts")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "v") -> DataFrame:
     """The k vectors of greatest inner product for each query, as query_id, rank, vec_id, score.
 
@@ -102,7 +119,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "v"
     candidate; ties go to the smaller vec_id. Vectors of another dimension than the query's are not compared with it.
     Repeated rows of vectors each count; of a repeated query_id the least vector is searched. Rows with a null id or
     vector take no part. No bound on either table: buckets hold about BUCKET_ROWS vectors, and are dealt by hash
-    within a length class, so that many vectors of one length spread; queries come in blocks of QUERY_BLOCK_ROWS.
+    within a length class, so that many vectors of one length spread; queries come in blocks of QUERY_BLOCK_ROWS, and a
+    vector goes to those blocks alone that hold a query for which it is long enough.
     """
     c = vectors.select("vec_id", F.col(vector).alias("c")).where("vec_id IS NOT NULL AND c IS NOT NULL AND size(c) > 0")
     norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -117,14 +135,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "v"
     c = c.join(F.broadcast(sizes.drop("rows")), ["dim", "class"])  # bounded: a few hundred length classes for each dimension
     c = c.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).drop("parts")
     n_q = q.count()
-    blocks = max(1, -(-n_q // QUERY_BLOCK_ROWS))
-    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-
+    bands = max(1, min(BANDS, n_q // QUERY_BLOCK_ROWS))
     q = q.withColumn("q_norm", F.sqrt(F.aggregate("q", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))))
 
     keys = ["dim", "class", "part", "block"]
     schema = "query_id long, vec_id long, score long"
-    block_ids = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
 
     def searched(cands: DataFrame, qs: DataFrame, classes: DataFrame) -> DataFrame:
         """Queries meet the buckets of these classes (dim, class, longest, parts), but for those whose longest vector is too short for them."""
@@ -132,7 +147,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "v"
         met = met.where(F.col("least").isNull() | (F.col("least") <= 0) | (F.col("least") <= F.col("q_norm") * F.col("longest") * (1 + SLACK)))
         met = met.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         left = met.select(*(F.col(x).alias(f"q_{x}") for x in keys), "query_id", "q", "least")
-        right = cands.withColumn("block", block_ids).select(*keys, "vec_id", "c")
+        blocks = qs.groupBy("dim", "block").agg(F.min("reach").alias("reach"))  # a row for each block of queries
+        right = cands.join(F.broadcast(blocks), "dim").where(F.col("norm") >= F.col("reach") * (1 - SLACK)).select(*keys, "vec_id", "c")
         pairs = left.groupBy(*(f"q_{x}" for x in keys)).cogroup(right.groupBy(*keys))
         return pairs.applyInPandas(lambda a, b: _search(a, b, k), schema)
 
@@ -141,10 +157,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "v"
     first = sizes.withColumn("place", F.row_number().over(top)).where("place = 1").select("dim", "class", "longest", F.lit(1).cast("long").alias("parts"))
     none = F.lit(None).cast("double").alias("least")
     of_first = c.join(F.broadcast(first.select("dim", "class", F.lit(0).cast("long").alias("part"))), ["dim", "class", "part"], "left_semi")
-    start = searched(of_first, q.select("*", none), first)
+    start = searched(of_first, _blocked(q.select("*", none), 1), first)
     least = start.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
     least = least.select("query_id", F.when(F.size("s") >= k, F.element_at("s", F.least(F.size("s"), F.lit(k)))).cast("double").alias("least"))
-    found = searched(c, q.join(least, "query_id", "left"), sizes.drop("rows"))
+    told = stored(q.join(least, "query_id", "left"), "topk-queries")
+    found = searched(c, _blocked(told, bands), sizes.drop("rows"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

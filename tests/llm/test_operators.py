@@ -190,19 +190,23 @@ def test_merge_is_a_sort():
         assert shared == len(a) if a == b else b[:shared] == a[:shared] and (shared == len(a) or a[shared] != b[shared])
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(7)
     v = [(i, [float(x) for x in rng.normal(size=6) * (1 + i % 5)]) for i in range(600)]
     v += [(600, v[3][1]), (601, v[3][1]), (602, None), (603, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (604, [float("nan")] * 6), (605, [float("inf")] * 6), (606, [0.0] * 6), (607, [1.0, 2.0]), (None, [1.0] * 6)]
     df = spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(3)
     q = topk_search.quantise(df, "embedding", "v")
-    got = [tuple(r) for r in topk_search.top_k(q, q.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")).orderBy("query_id", "rank").collect()]
+    top = lambda: [tuple(r) for r in topk_search.top_k(q, q.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")).orderBy("query_id", "rank").collect()]
+    got = top()
     ok = {i: [int(np.floor(1024 * y)) for y in x] for i, x in v if i is not None and x and all(y is not None and np.isfinite(y) for y in x)}
     want = []
     for i in sorted(k for k in ok if k % 50 == 0):
         best = sorted(((-sum(a * b for a, b in zip(ok[i], c, strict=True)), j) for j, c in ok.items() if j != i and len(c) == len(ok[i])))[:10]
         want += [(i, k, j, -s) for k, (s, j) in enumerate(best, 1)]
     assert got == want
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK_ROWS", 2)
+    monkeypatch.setattr(topk_search, "BUCKET_ROWS", 32)
+    assert top() == want
     none = q.where("vec_id < 0")
     assert topk_search.top_k(none, none.withColumnRenamed("vec_id", "query_id")).count() == 0
     big = np.array([[2**40, 1]])
