@@ -53,17 +53,15 @@ def _lengths(m: np.ndarray) -> np.ndarray:
     return np.sqrt((m.astype(float) ** 2).sum(axis=1))
 
 
-def _survivors(q: np.ndarray, q_len: float, m: np.ndarray, lens: np.ndarray, unit: np.ndarray, least: float) -> np.ndarray:
-    """Rows of a bucket (longest first) that may reach the score ``least`` with q."""
-    if not len(m):
-        return np.empty(0, np.int64)
-    if least <= 0 or q_len == 0:
-        return np.arange(len(m))
+def _survivors(q: np.ndarray, q_len: float, m: np.ndarray, lens: np.ndarray, unit: np.ndarray, least: float) -> np.ndarray | slice:
+    """Rows of a bucket (longest first) that may reach the score ``least`` with q; a slice where they are the longest ones."""
+    if not len(m) or least <= 0 or q_len == 0:
+        return slice(len(m))
     local = least / (q_len * lens[0]) if lens[0] else np.inf
     if local > 1 + SLACK:
-        return np.empty(0, np.int64)
+        return slice(0)
     if local < COORDINATE_FROM:
-        return np.arange(np.searchsorted(-lens, -(least / q_len) * (1 - SLACK), side="right"))
+        return slice(int(np.searchsorted(-lens, -(least / q_len) * (1 - SLACK), side="right")))
     q_unit = q / q_len
     t = min(local, 1.0)
     keep = np.ones(len(m), bool)
@@ -86,13 +84,21 @@ def _search(queries: pd.DataFrame, bucket: pd.DataFrame, k: int) -> pd.DataFrame
         order = np.lexsort((ids, -lens))
         m, ids, lens = m[order], ids[order], lens[order]
         unit = m / np.where(lens > 0, lens, 1)[:, None]
+        as_float, most = m.astype(float), float(np.abs(m.astype(float)).max()) * dim
         for i, (qid, least) in enumerate(zip(queries["query_id"].to_numpy(np.int64), queries["least"].to_numpy(float), strict=True)):
-            q = qs[i]
+            q = qs[i].astype(float)
             rows = _survivors(q, float(_lengths(q[None])[0]), m, lens, unit, -np.inf if np.isnan(least) else least)
-            rows = rows[ids[rows] != qid]
-            score = _products(q[None], m[rows])[0]
-            best = np.lexsort((ids[rows], -score))[:k]
-            out.append((np.full(len(best), qid), ids[rows][best], score[best]))
+            if most * float(np.abs(q).max()) < EXACT:
+                score = np.rint(as_float[rows] @ q).astype(np.int64)
+            else:
+                score = _products(qs[i : i + 1], m[rows])[0]
+            other = ids[rows] != qid
+            near, score = ids[rows][other], score[other]
+            if len(score) > k:  # ties with the k-th best stay
+                high = score >= np.partition(score, len(score) - k)[len(score) - k]
+                near, score = near[high], score[high]
+            best = np.lexsort((near, -score))[:k]
+            out.append((np.full(len(best), qid), near[best], score[best]))
     cat = lambda j: np.concatenate([x[j] for x in out]) if out else np.empty(0, np.int64)
     return pd.DataFrame({"query_id": cat(0), "vec_id": cat(1), "score": cat(2)})
 
