@@ -29,6 +29,36 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a few numbers that may be broadcast: some tens of MB.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A settled table of a few numeric columns, counted, as a side of a join: broadcast up to BROADCAST_ROWS, else shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def followed(links: DataFrame, compose: Callable[[Callable, Callable], dict]) -> tuple[DataFrame, DataFrame]:
+    """links (node, up, ...): each pointer moved on to the first ``up`` that is no node, by doubling: rounds go with the logarithm of the way.
+
+    compose(mine, next) gives the other columns of a pointer that goes on with another one; both are functions from column
+    name to Column. Returns the links that have ended, and those that never do, as they lead into a circle.
+    """
+    rest = [c for c in links.columns if c not in ("node", "up")]
+    at, waiting = settled(links), None
+    while True:
+        on = at.select(*(F.col(c).alias(f"_{c}") for c in at.columns if c != "_open"))
+        both = at.join(on, at["up"] == on["_node"], "left")
+        goes = F.col("_node").isNotNull()
+        new = compose(lambda c: F.col(c), lambda c: F.col(f"_{c}"))
+        moved = [F.when(goes, new[c]).otherwise(F.col(c)).alias(c) for c in rest]
+        at = settled(both.select("node", F.when(goes, F.col("_up")).otherwise(F.col("up")).alias("up"), *moved, goes.alias("_open")))
+        count = at.where("_open").count()
+        if count == 0 or count == waiting:  # a round in which nobody came to an end: all that is left goes in circles
+            return at.where("NOT _open").drop("_open"), at.where("_open").drop("_open")
+        waiting = count
+
+
 def dense_ids(df: DataFrame, order: list[str], out: str, start) -> DataFrame:
     """``df`` with ``out`` = start, start + 1, ... in the given order, without bringing the rows to one task.
 

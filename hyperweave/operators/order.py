@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import settled
+from ..functions.frames import followed, settled
 from ..sources.space import Space
 
 from .search import IT, eval_, find, rel, templates
@@ -27,20 +27,36 @@ def _pairs(space: Space, tplts: DataFrame, earlier: str) -> DataFrame:
 def levels(pairs: DataFrame) -> DataFrame:
     """(addr, level) of all nodes of (before, after): 0 for those that nothing precedes, else one more than the last before it.
 
-    One round for each level: all tops are peeled off together. A circle raises CycleError.
+    Each round peels all tops, and all nodes with a single predecessor left: those hang on the first node up the chain that has
+    none or several, which pointer doubling finds. What is known of a hanging node's level is a function of that one's:
+    the greater of a constant and its level plus a number. Chains and trees of any depth take a number of rounds that grows with the
+    logarithm of their size. A circle raises CycleError.
     """
-    left = settled(pairs)
-    todo = settled(left.select(F.col("before").alias("addr")).union(left.select("after")).distinct())
-    out, level = None, 0
-    while not todo.isEmpty():
-        tops = settled(todo.join(left.select(F.col("after").alias("addr")), "addr", "left_anti").withColumn("level", F.lit(level)))
-        if tops.isEmpty():
+    edges = settled(pairs.select("before", "after", F.lit(1).cast("long").alias("w")).distinct())
+    nodes = settled(edges.select(F.col("before").alias("addr")).union(edges.select("after")).distinct().select("addr", F.lit(0).cast("long").alias("least")))
+    known, hanging = nodes.where(F.lit(False)).select("addr", F.col("least").alias("level")), []
+    while not edges.isEmpty():
+        degree = settled(edges.groupBy("after").agg(F.count("*").alias("n"), F.first("before").alias("up"), F.first("w").alias("w")))
+        single = nodes.join(degree.where("n = 1"), nodes["addr"] == degree["after"]).select(F.col("addr").alias("node"), "up", "least", "w")
+        tops = settled(nodes.join(degree.select(F.col("after").alias("addr")), "addr", "left_anti").select("addr", F.col("least").alias("level")))
+        hung, circling = followed(single, lambda mine, on: {"least": F.greatest(mine("least"), on("least") + mine("w")), "w": mine("w") + on("w")})
+        if not circling.isEmpty() or (tops.isEmpty() and hung.isEmpty()):
             raise CycleError("the template has a cycle")
-        out = tops if out is None else out.union(tops)
-        todo = settled(todo.join(tops, "addr", "left_anti"))
-        left = settled(left.join(tops.select(F.col("addr").alias("before")), "before", "left_anti"))
-        level += 1
-    return out if out is not None else pairs.sparkSession.createDataFrame([], "addr long, level int")
+        known = settled(known.union(tops))
+        hanging.append(hung)
+        several = degree.where("n > 1").select("after")
+        via = hung.select(F.col("node").alias("before"), "up", "least", F.col("w").alias("more"))
+        moved = edges.join(several, "after", "left_semi").join(via, "before", "left")
+        moved = moved.select("after", F.coalesce("up", "before").alias("before"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), (F.col("least") + F.col("w")).alias("bound"))
+        moved = settled(moved.join(tops.withColumnRenamed("addr", "before"), "before", "left"))
+        bound = moved.groupBy("after").agg(F.max(F.greatest("bound", F.col("level") + F.col("w"))).alias("bound"))
+        nodes = settled(nodes.join(bound.withColumnRenamed("after", "addr"), "addr").select("addr", F.greatest("least", "bound").alias("least")))
+        edges = settled(moved.where("level IS NULL").groupBy("before", "after").agg(F.max("w").alias("w")))
+    known = settled(known.union(nodes.select("addr", F.col("least").alias("level"))).dropDuplicates(["addr"]))
+    for hung in reversed(hanging):
+        on = known.select(F.col("addr").alias("up"), "level")
+        known = settled(known.union(hung.join(on, "up").select(F.col("node").alias("addr"), F.greatest("least", F.col("level") + F.col("w")).alias("level"))))
+    return known.select("addr", F.col("level").cast("int").alias("level"))
 
 
 def has_cycle(space: Space, tplts: DataFrame) -> bool:

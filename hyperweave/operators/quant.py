@@ -1,8 +1,8 @@
 """Quantified queries that keep, for each answer, the variable bindings behind it.
 
-A query is evaluated for all bindings at once. ``env`` has one column for each variable that an enclosing quantifier binds, named
-``env_<v>`` in results; a result has these, ``elt``, and one column ``<v>`` for each variable that a leaf used (null: not
-used). Leaving a quantifier drops its env column; its binding column stays for for_some and goes for for_all.
+A query is evaluated for all bindings at once. Results have ``elt``, one column ``<v>`` for each variable that a leaf used (null: not
+used), and, inside quantifiers, ``env_<v>`` for those bound variables that they depend on. Leaving a quantifier drops its env
+column; its binding column stays for for_some and goes for for_all.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ class Test(Query):
 class VTest(Query):
     keep: Callable  # (env, results) -> the rows of env that pass
     uses: tuple
+    links: Callable | None = None  # results -> pairs of values of the used variables that can pass
 
 
 @dataclass(frozen=True)
@@ -76,7 +77,7 @@ def find(term: search.Term) -> Query:
     names = tuple(sorted(search.variables(term)))
 
     def make(space, env):
-        return search.find(space, term, env).withColumnRenamed("addr", "elt")
+        return search.find(space, term, env if names else None).withColumnRenamed("addr", "elt")
 
     return Find(make, names)
 
@@ -85,7 +86,8 @@ def find_values(values) -> Query:
     """Fixed elements: a list, or a DataFrame with the column elt."""
     if isinstance(values, DataFrame):
         return Find(lambda space, env: values.select("elt").distinct())
-    return Find(lambda space, env: env.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(values)], "elt long" if not values or isinstance(values[0], int) else "elt string"))
+    kind_of = "elt long" if not values or isinstance(values[0], int) else "elt string"
+    return Find(lambda space, env: getattr(space, "spark", getattr(space, "sparkSession", None)).createDataFrame([(v,) for v in dict.fromkeys(values)], kind_of))
 
 
 def find_with(make: Callable) -> Query:
@@ -114,13 +116,13 @@ def vtest(compare: Callable[[Column, Column], Column], a, b) -> Query:
 def led_to(inner: str, input_name: str, outer: str, output_name: str) -> Query:
     """Whether the value of variable ``inner`` is among those that, as ``input_name``, led to the value of ``outer`` in the result ``output_name``."""
 
-    def keep(env, results):
+    def links(results):
         known = results[output_name]
         if input_name not in known.columns:
             raise ValueError(f"{output_name} was not found by use of {input_name}")
-        return env.join(known.select(F.col(input_name).alias(inner), F.col("elt").alias(outer)).distinct(), [inner, outer], "left_semi")
+        return known.select(F.col(input_name).alias(inner), F.col("elt").alias(outer)).distinct()
 
-    return VTest(keep, (inner, outer))
+    return VTest(lambda env, results: env.join(links(results), [inner, outer], "left_semi"), (inner, outer), links)
 
 
 def and_(*parts: Query) -> Query:
@@ -220,60 +222,155 @@ def reconcile(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-class Runner:
-    def __init__(self, space, results: dict[str, DataFrame]):
-        self.space, self.results = space, results
+class Env:
+    """The bindings around a query: every combination of the rows of its factors, which are never paired unless a test compares them.
+
+    factors: DataFrames over disjoint sets of variables; guards: DataFrames without which (if empty) there is no binding at all.
+    """
 
-    def _named(self, env: DataFrame) -> DataFrame:
-        return env.select(*(F.col(c).alias(f"env_{c}") for c in env.columns if c != "_one"))
+    def __init__(self, factors: tuple = (), guards: tuple = ()):
+        self.factors, self.guards = factors, guards
+
+    def extended(self, name: str, values: DataFrame) -> Env:
+        return Env((*self.factors, values.select(F.col("elt").alias(name)).distinct()), self.guards)
+
+    def touching(self, names) -> list[DataFrame]:
+        return [f for f in self.factors if set(f.columns) & set(names)]
+
+    def of(self, names, links: DataFrame | None = None) -> DataFrame:
+        """The bindings of these variables, with those that theirs are tied to. links: pairs of values that are to be bound together."""
+        out, *rest = self.touching(names)
+        if links is not None:
+            out = out.join(links, [c for c in links.columns if c in out.columns])
+        for f in rest:
+            shared = [c for c in f.columns if c in out.columns]
+            out = out.join(f, shared) if shared else out.crossJoin(f)  # compared by a test: an equality makes this a hash join
+        return out
+
+    def replaced(self, rows: DataFrame) -> Env:
+        """Factors that share a variable with ``rows`` give way to it."""
+        old = self.touching(rows.columns)
+        return Env((*(f for f in self.factors if not any(f is o for o in old)), rows), self.guards)
+
+    def without(self, name: str) -> Env:
+        """One variable less: what is left of its factor's rows, or a guard that there are any."""
+        (own,) = self.touching([name])
+        others = tuple(f for f in self.factors if f is not own)
+        if own.columns == [name]:
+            return Env(others, (*self.guards, own))
+        return Env((*others, own.drop(name).distinct()), self.guards)
+
+    def kept(self, rows: DataFrame) -> DataFrame:
+        """``rows``, unless a guard is empty."""
+        for g in self.guards:
+            rows = rows.where(g.limit(1).exists())
+        return rows
 
-    def _extended(self, env: DataFrame, name: str, source: str) -> DataFrame:
-        return env.crossJoin(self.results[source].select(F.col("elt").alias(name)).distinct())
 
-    def found(self, q: Query, env: DataFrame) -> DataFrame:
-        """Rows of a findlike query for each row of env."""
-        names = [c for c in env.columns if c != "_one"]
+class Runner:
+    def __init__(self, space, results: dict[str, DataFrame], spark):
+        self.space, self.results, self.spark = space, results, spark
+
+    def _attached(self, rows: DataFrame, env: Env, names) -> DataFrame:
+        """``rows`` with env columns for these variables and those that theirs are tied to; rows that bind some of them meet their own values."""
+        for f in env.touching(names):
+            named = f.select(*(F.col(c).alias(f"env_{c}") for c in f.columns))
+            shared = [c for c in named.columns if c in rows.columns]
+            rows = rows.join(named, shared) if shared else rows.crossJoin(named)  # what a query does not use holds for every value
+        return rows
+
+    def _restricted(self, rows: DataFrame, env: Env, before: Env) -> DataFrame:
+        """``rows`` that agree with what tests have taken from ``before``."""
+        changed = [f for f in env.factors if not any(f is g for g in before.factors)]
+        for f in changed:
+            rows = self._attached(rows, env, f.columns)
+        return Env(guards=tuple(g for g in env.guards if not any(g is h for h in before.guards))).kept(rows)
+
+    def found(self, q: Query, env: Env) -> DataFrame:
+        """elt, the bindings, and env columns of the variables that the findings depend on: whatever else is bound, they are the same."""
         if isinstance(q, Find):
-            out = q.make(self.space, env)
-            named = env.select(*(F.col(c).alias(f"env_{c}") for c in names), *(F.col(u).alias(u) for u in q.uses)) if names else None
-            if named is None:
-                return out
-            return out.join(named, list(q.uses)) if q.uses else named.crossJoin(out)
+            if not q.uses:
+                return env.kept(q.make(self.space, env))
+            bound = env.of(q.uses)
+            out = q.make(self.space, bound)
+            if len(q.uses) > 1:
+                out = out.join(bound.select(*q.uses).distinct(), list(q.uses), "left_semi")
+            return env.kept(out.select("*", *(F.col(u).alias(f"env_{u}") for u in q.uses)))
         if isinstance(q, And):
-            for p in q.parts:
-                if kind(p) == "vtest":
-                    env = self.passing(p, env)
-            out = reconcile([self.found(p, env) for p in q.parts if kind(p) == "find"])
+            plain = [p for p in q.parts if isinstance(p, VTest) and p.uses and p.links is None]
+            inner = reduce(lambda e, p: self.passing(p, e), (p for p in q.parts if kind(p) == "vtest" and p not in plain), env)
+            out = reconcile(self._alike([self.found(p, inner) for p in q.parts if kind(p) == "find"]))
+            for p in plain:
+                columns = [f"env_{u}" for u in p.uses]
+                if set(columns) <= set(out.columns):  # what was found together is compared; the ranges are not paired
+                    met = out.select(*(F.col(f"env_{u}").alias(u) for u in p.uses)).distinct()
+                    out = out.join(p.keep(met, self.results).select(*(F.col(u).alias(f"env_{u}") for u in p.uses)), columns, "left_semi")
+                else:
+                    inner = self.passing(p, inner)
             for p in q.parts:
                 if kind(p) == "test":
-                    out = self.tested(p, out)
-            return out
+                    out = self.tested(p, out, inner)
+            return self._restricted(out, inner, env)
         if isinstance(q, Or):
-            parts = _aligned([self.found(p, env) for p in q.parts])
+            parts = [self.found(p, env) for p in q.parts]
+            names = sorted({c[4:] for p in parts for c in _envs(p)})
+            parts = _aligned([self._attached(p, env, [n for n in names if f"env_{n}" not in p.columns]) for p in parts])
             return reduce(DataFrame.unionByName, parts).distinct()
-        inner_env = self._extended(env, q.name, q.source)
+        inner = env.extended(q.name, self.results[q.source])
         column = f"env_{q.name}"
         if isinstance(q, ForSome):
-            return self.found(q.query, inner_env).drop(column).distinct()
+            got = self.found(q.query, inner)
+            if column not in got.columns:
+                got = Env(guards=(inner.factors[-1],)).kept(got)
+            return got.drop(column).distinct()
+        first = inner
         if q.condition is not None:
-            inner_env = self.passing(q.condition, inner_env)
-        got = self.found(q.query, inner_env)
-        return self._divided(got.drop(q.name) if q.name in _bindings(got) else got, inner_env, column, names)
-
-    def _divided(self, got: DataFrame, env: DataFrame, column: str, names: list[str]) -> DataFrame:
-        """Elements found for every value in ``column``, with the unions of their bindings that agree across all values."""
-        outer = [f"env_{n}" for n in names]
-        total = self._named(env).groupBy(*outer).agg(F.count_distinct(column).alias("_all"))
+            inner = self.passing(q.condition, inner)
+        got = self._restricted(self.found(q.query, inner), inner, first)
+        if column not in got.columns:
+            got = self._attached(got, inner, [q.name])
+        return self._divided(got.drop(q.name) if q.name in _bindings(got) else got, inner, q.name)
+
+    def _alike(self, frames: list[DataFrame]) -> list[DataFrame]:
+        """Findings of a conjunction with the same env columns: each meets the values with which the others found its elements."""
+        out = []
+        for i, f in enumerate(frames):
+            for j, g in enumerate(frames):
+                new = [c for c in _envs(g) if c not in f.columns]
+                if i != j and new:
+                    shared = [c for c in _envs(g) if c in f.columns]
+                    f = f.join(g.select("elt", *shared, *new).distinct(), ["elt", *shared])
+            out.append(f)
+        order = _envs(out[0])
+        return [f.select("elt", *order, *_bindings(f)) for f in out]
+
+    def _divided(self, got: DataFrame, env: Env, name: str) -> DataFrame:
+        """Elements found for every value of the variable, with the unions of their bindings that agree across all values.
+
+        Division by counts: an element stays if it was found for as many values as there are.
+        """
+        column = f"env_{name}"
+        (own,) = env.touching([name])
+        tied = [f"env_{c}" for c in own.columns if c != name]
+        total = own.select(*(F.col(c).alias(f"env_{c}") for c in own.columns))
+        if tied:
+            total = total.groupBy(*tied).agg(F.count_distinct(column).alias("_all"))
+        else:
+            total = total.agg(F.count_distinct(column).alias("_all"))
         got = got.distinct()
+        outer = [c for c in _envs(got) if c != column]
         bound = _bindings(got)
-        joined = (lambda d: d.join(total, outer)) if outer else (lambda d: d.crossJoin(total))
+
+        def whole(d: DataFrame) -> DataFrame:
+            return d.join(total, tied).where("_n = _all") if tied else d.where(F.col("_n") == total.scalar())
+
         if not bound:
             n = got.groupBy(*outer, "elt").agg(F.count_distinct(column).alias("_n"))
-            return joined(n).where("_n = _all").select(*outer, "elt")
+            return whole(n).select(*outer, "elt")
         b = F.struct(*bound)
         sets = got.groupBy(*outer, "elt", column).agg(F.sort_array(F.collect_set(b)).alias("_s"))
         per = sets.groupBy(*outer, "elt").agg(F.count("*").alias("_n"), F.collect_set("_s").alias("_sets"))
-        per = joined(per).where("_n = _all")
+        per = whole(per)
 
         def merged(x, y):
             agree = reduce(lambda p, q: p & q, (x[c].isNull() | y[c].isNull() | (x[c] == y[c]) for c in bound))
@@ -286,65 +383,89 @@ class Runner:
         )
         return per.select(*outer, "elt", F.explode(fold).alias("_b")).select(*outer, "elt", *(F.col(f"_b.{c}").alias(c) for c in bound)).distinct()
 
-    def tested(self, q: Query, rows: DataFrame) -> DataFrame:
+    def tested(self, q: Query, rows: DataFrame, env: Env) -> DataFrame:
         """Found rows that pass a testlike query, with the variables that it used as bindings."""
         if isinstance(q, Test):
             if not isinstance(q.bound, Ref):
                 return rows.where(q.compare(F.lit(q.bound), F.col("elt")))
-            return rows.where(q.compare(F.col(f"env_{q.bound.name}"), F.col("elt"))).withColumn(q.bound.name, F.col(f"env_{q.bound.name}"))
+            name, column = q.bound.name, f"env_{q.bound.name}"
+            rows = rows if column in rows.columns else self._attached(rows, env, [name])
+            return rows.where(q.compare(F.col(column), F.col("elt"))).withColumn(name, F.col(column))
         if isinstance(q, And):
+            inner = env
             for p in q.parts:
-                rows = self.tested(p, rows) if kind(p) == "test" else self._env_tested(p, rows)
-            return rows
+                if kind(p) == "test":
+                    rows = self.tested(p, rows, inner)
+                else:
+                    inner = self.passing(p, inner)
+            return self._restricted(rows, inner, env)
         if isinstance(q, Or):
-            return reduce(DataFrame.unionByName, _aligned([self.tested(p, rows) for p in q.parts])).distinct()
-        values = self.results[q.source].select(F.col("elt").alias(f"env_{q.name}")).distinct()
-        wide = rows.crossJoin(values)
+            parts = [self.tested(p, rows, env) for p in q.parts]
+            names = sorted({c[4:] for p in parts for c in _envs(p)})
+            return reduce(DataFrame.unionByName, _aligned([self._attached(p, env, [n for n in names if f"env_{n}" not in p.columns]) for p in parts])).distinct()
+        column = f"env_{q.name}"
+        first = env.extended(q.name, self.results[q.source])
         if isinstance(q, ForSome):
-            return self.tested(q.query, wide).drop(f"env_{q.name}").distinct()
-        if q.condition is not None:
-            wide = self._env_tested(q.condition, wide)
-        before = [*_envs(rows), "elt", *_bindings(rows)]
-        need = wide.groupBy(*before).agg(F.count_distinct(f"env_{q.name}").alias("_all"))
-        after = self.tested(q.query, wide)
+            got = self.tested(q.query, rows, first)
+            return (got if column in got.columns else self._attached(got, first, [q.name])).drop(column).distinct()
+        inner = first if q.condition is None else self.passing(q.condition, first)
+        wide = Env(guards=tuple(inner.guards[len(first.guards) :])).kept(self._attached(rows, inner, [q.name]))
+        before = [c for c in wide.columns if c != column]
+        need = wide.groupBy(*before).agg(F.count_distinct(column).alias("_all"))
+        after = self.tested(q.query, wide, inner)
         after = after.drop(q.name) if q.name in _bindings(after) else after
-        rest = [c for c in after.columns if c != f"env_{q.name}"]
-        have = after.groupBy(*rest).agg(F.count_distinct(f"env_{q.name}").alias("_n"))
+        rest = [c for c in after.columns if c != column]
+        have = after.groupBy(*rest).agg(F.count_distinct(column).alias("_n"))
         same = reduce(lambda a, b: a & b, (have[c].eqNullSafe(need[c]) for c in before if c in rest))
         return have.join(need, same).where("_n = _all").select(*(have[c] for c in rest))
 
-    def _env_tested(self, q: Query, rows: DataFrame) -> DataFrame:
-        env = rows.select(*(F.col(c).alias(c[4:]) for c in _envs(rows))).distinct()
-        return rows.join(self._named(self.passing(q, env)), _envs(rows), "left_semi")
-
-    def passing(self, q: Query, env: DataFrame) -> DataFrame:
-        """The rows of env that a variable test lets pass. for_all over nothing passes."""
+    def passing(self, q: Query, env: Env) -> Env:
+        """The bindings that a variable test lets pass. for_all over nothing passes."""
         if isinstance(q, VTest):
-            return q.keep(env, self.results)
+            if not q.uses:
+                return Env(env.factors, (*env.guards, q.keep(self.space_row(), self.results)))
+            links = q.links(self.results) if q.links else None
+            return env.replaced(q.keep(env.of(q.uses, links), self.results))
         if isinstance(q, And):
             return reduce(lambda e, p: self.passing(p, e), q.parts, env)
         if isinstance(q, Or):
-            return reduce(DataFrame.union, [self.passing(p, env) for p in q.parts]).distinct()
-        wide = self._extended(env, q.name, q.source)
+            parts = [self.passing(p, env) for p in q.parts]
+            names = sorted({c for p in parts for f in p.factors if not any(f is g for g in env.factors) for c in f.columns})
+            if not names:
+                return env if any(len(p.guards) == len(env.guards) for p in parts) else parts[0]
+            columns = [c for f in env.touching(names) for c in f.columns]
+            return env.replaced(reduce(DataFrame.union, [p.kept(p.of(columns)).select(*columns) for p in parts]).distinct())
+        wide = env.extended(q.name, self.results[q.source])
         if isinstance(q, ForSome):
-            return self.passing(q.query, wide).drop(q.name).distinct()
+            return self.passing(q.query, wide).without(q.name)
         if q.condition is not None:
             wide = self.passing(q.condition, wide)
-        failing = wide.join(self.passing(q.query, wide), wide.columns, "left_anti")
-        return env.join(failing, env.columns, "left_anti")
+        good = self.passing(q.query, wide)
+        changed = {c for f in good.factors if not any(f is g for g in wide.factors) for c in f.columns}
+        columns = [c for f in wide.touching({q.name, *changed}) for c in f.columns]
+        columns = [c for f in wide.touching(columns) for c in f.columns]
+        failing = wide.kept(wide.of(columns)).join(good.kept(good.of(columns)).select(*columns), columns, "left_anti")
+        outer = [c for c in columns if c != q.name]
+        if not outer:
+            return Env(env.factors, (*env.guards, self.space_row().where(~failing.limit(1).exists())))
+        return env.replaced(env.of(outer).join(failing.select(*outer).distinct(), outer, "left_anti"))
+
+    def space_row(self) -> DataFrame:
+        """One row without a variable."""
+        return self.spark.createDataFrame([(1,)], "_one int")
 
 
 def run_program(space, steps: list[tuple[str, Query]], spark=None) -> dict[str, DataFrame]:
     """Runs named steps in order; each can draw on the ones before. Each result has ``elt`` and the variables behind it.
 
-    A quantifier's range is the distinct elements of an earlier step, paired with every row of the bindings around it.
+    A quantifier's range is the distinct elements of an earlier step. Ranges are not paired with each other: a search meets the range
+    of the variables that it uses in a join by their values.
     """
     check(steps)
     spark = spark or space.spark
     results: dict[str, DataFrame] = {}
     for name, q in steps:
-        env = spark.createDataFrame([(1,)], "_one int")
-        results[name] = Runner(space, results).found(q, env).drop("_one").distinct()
+        results[name] = Runner(space, results, spark).found(q, Env()).distinct()
     return results
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import grown, settled
+from ..functions.frames import followed, grown, settled
 from ..sources.space import Space
 
 
@@ -55,42 +55,108 @@ def closure(space: Space, tplts: DataFrame, addrs: DataFrame, direction: str = "
     return reach_pairs(space, tplts, addrs, addrs, direction)
 
 
-def _walks(steps: DataFrame, starts: DataFrame, goals: DataFrame | None, max_len: int) -> DataFrame:
-    """starts: addr and label columns, which steps (at, to) have, too; goals None: each start is its own. Gives labels, start, path."""
-    labels = [c for c in starts.columns if c != "addr"]
-    at = settled(starts.select(*labels, F.col("addr").alias("start"), F.array("addr").alias("path"), "addr").distinct())
-    done = None
-    for _ in range(max_len):
-        far = at.withColumnRenamed("addr", "at").join(steps, ["at", *labels]).select(*labels, "start", "path", F.col("to").alias("addr"))
-        if goals is None:
-            hit, rest = far.where("addr = start"), far.where("addr <> start")
-        else:
-            hit, rest = far.join(goals, "addr", "left_semi"), far.join(goals, "addr", "left_anti")
-        hit = settled(hit.select(*labels, "start", F.array_append("path", F.col("addr")).alias("path")))
-        done = hit if done is None else done.union(hit)
-        at = settled(rest.where(~F.array_contains("path", F.col("addr"))).select(*labels, "start", F.array_append("path", F.col("addr")).alias("path"), "addr"))
-        if at.isEmpty():
-            return done
-    raise RecursionError(f"walks of more than {max_len} steps")
-
-
-def paths(space: Space, tplts: DataFrame, starts: DataFrame, ends: DataFrame, direction: str = "right", max_len: int = 50) -> DataFrame:
+def _contracted(links: DataFrame, fixed: DataFrame) -> DataFrame:
+    """links (at, to, inner) without the nodes that have one link in and one out, unless they are fixed: these go into ``inner``.
+
+    Pointer doubling finds where a chain begins. A circle of such nodes alone, without a fixed one, goes.
+    """
+    into = links.groupBy("to").agg(F.count("*").alias("n"), F.first("at").alias("up"), F.first("inner").alias("pre")).where("n = 1").withColumnRenamed("to", "node")
+    out = links.groupBy("at").agg(F.count("*").alias("n")).where("n = 1").select(F.col("at").alias("node"))
+    chain = settled(into.join(out, "node", "left_semi").join(fixed.select(F.col("addr").alias("node")), "node", "left_anti").select("node", "up", F.col("node").alias("first"), F.lit(1).cast("long").alias("far"), "pre"))
+    if chain.isEmpty():
+        return links
+    ended, _ = followed(chain, lambda mine, on: {"first": on("first"), "far": mine("far") + on("far"), "pre": mine("pre")})
+    row = F.sort_array(F.collect_list(F.struct("far", F.concat("pre", F.array("node")).alias("x"))))
+    runs = ended.groupBy("up", "first").agg(row.alias("row"), F.max_by("node", "far").alias("last"))
+    nodes = chain.select("node")
+    whole = runs.join(links, runs["last"] == links["at"]).select(F.col("up").alias("at"), "to", F.concat(F.flatten("row.x"), "inner").alias("inner"))
+    direct = links.join(nodes.withColumnRenamed("node", "at"), "at", "left_anti").join(nodes.withColumnRenamed("node", "to"), "to", "left_anti")
+    return settled(direct.select("at", "to", "inner").union(whole))
+
+
+def _bare(steps: DataFrame) -> DataFrame:
+    return settled(steps.select("at", "to", F.slice(F.array("at"), 1, 0).alias("inner")))
+
+
+def _onward(links: DataFrame, f: DataFrame, a: str = "at", b: str = "to") -> DataFrame:
+    """One step from a frontier (addr and labels)."""
+    return f.join(links.select(F.col(a).alias("addr"), F.col(b).alias("_to")), "addr").select(*(F.col("_to").alias("addr") if c == "addr" else c for c in f.columns))
+
+
+def _path_graph(steps: DataFrame, starts: DataFrame, goals: DataFrame) -> DataFrame:
+    """(at, to, inner) of the links that are on some way from a start to a goal; ways end at their first goal."""
+    fixed = settled(starts.union(goals).distinct())
+    ends_only = settled(goals.join(starts, "addr", "left_anti"))
+    links = _contracted(_bare(steps.join(ends_only.withColumnRenamed("addr", "at"), "at", "left_anti")), fixed)
+    reached = grown(starts, lambda f: _onward(links, f), ["addr"])
+    links = settled(links.join(reached.withColumnRenamed("addr", "at"), "at", "left_semi"))
+    leading = grown(goals, lambda f: _onward(links, f, "to", "at"), ["addr"])
+    links = settled(links.join(leading.withColumnRenamed("addr", "to"), "to", "left_semi").select("at", "to", "inner"))
+    return _contracted(links, fixed)
+
+
+def _unfolded(links: DataFrame, starts: DataFrame, hits, max_len: int | None) -> DataFrame:
+    """(start, path): walks over contracted links, until none goes on. hits(rows): those that have come to their goal, and the others."""
+    at = settled(starts.select(F.col("addr").alias("start"), F.array("addr").alias("path"), "addr").distinct())
+    done = at.where(F.lit(False)).select("start", "path")
+    rounds = 0
+    while not at.isEmpty():
+        far = at.withColumnRenamed("addr", "at").join(links, "at").select("start", F.concat("path", "inner").alias("path"), F.col("to").alias("addr"))
+        far = settled(far if max_len is None else far.where(F.size("path") <= max_len))
+        hit, rest = hits(far)
+        done = done.union(hit.select("start", F.array_append("path", F.col("addr")).alias("path")))
+        at = settled(rest.where(~F.array_contains("path", F.col("addr"))).select("start", F.array_append("path", F.col("addr")).alias("path"), "addr"))
+        rounds += 1
+        if rounds % 8 == 0:
+            done = settled(done)
+    return done
+
+
+def path_graph(space: Space, tplts: DataFrame, starts: DataFrame, ends: DataFrame, direction: str = "right") -> DataFrame:
+    """(at, to, inner): the graph of all walks from a start to an end, however many there are.
+
+    Only nodes that a start leads to and that lead to an end are in it; chains of nodes that no way leaves or joins are one link, with
+    the nodes in ``inner``, in order. Walks end at the first end they meet.
+    """
+    return _path_graph(settled(_steps(space, tplts, direction)), settled(starts.select("addr").distinct()), settled(ends.select("addr").distinct()))
+
+
+def paths(space: Space, tplts: DataFrame, starts: DataFrame, ends: DataFrame, direction: str = "right", max_len: int | None = None) -> DataFrame:
     """(start, path): all walks from a start to an end, each ending at the first end it meets; the start itself is no hit.
 
-    A walk that comes to a node it has been at, other than an end, is given up, so cycles end. Walks of more than max_len
-    steps raise an error.
+    A walk that comes to a node it has been at, other than an end, is given up, so cycles end. The walks are unfolded from
+    ``path_graph``, which has no dead ends, in one round for each of its links. max_len: list only walks of at most so many steps.
     """
-    return _walks(settled(_steps(space, tplts, direction)), starts.select("addr"), ends.select("addr").distinct(), max_len)
+    first, last = settled(starts.select("addr").distinct()), settled(ends.select("addr").distinct())
+    links = _path_graph(settled(_steps(space, tplts, direction)), first, last)
+    return _unfolded(links, first, lambda far: (far.join(last, "addr", "left_semi"), far.join(last, "addr", "left_anti")), max_len)
+
+
+def _cycles(steps: DataFrame, starts: DataFrame, max_len: int | None) -> DataFrame:
+    """(start, path): only nodes of a start's own strong component are walked: what it leads to and what leads to it."""
+    links = _path_graph(steps, starts, starts)
+    seed = starts.select(F.col("addr").alias("start"), "addr")
+    forth = grown(seed, lambda f: _onward(links, f), ["start", "addr"])
+    back = grown(seed, lambda f: _onward(links, f, "to", "at"), ["start", "addr"])
+    component = settled(forth.join(back, ["start", "addr"], "left_semi"))
+
+    def hits(far: DataFrame) -> tuple[DataFrame, DataFrame]:
+        inside = far.join(component, ["start", "addr"], "left_semi")
+        return inside.where("addr = start"), inside.where("addr <> start")
+
+    return _unfolded(links, starts, hits, max_len)
 
 
-def cycles(space: Space, tplts: DataFrame, addrs: DataFrame, direction: str = "right", max_len: int = 50) -> DataFrame:
-    """(start, path): the cycles through each address, in walking order, first equal to last."""
-    return _walks(settled(_steps(space, tplts, direction)), addrs.select("addr"), None, max_len)
+def cycles(space: Space, tplts: DataFrame, addrs: DataFrame, direction: str = "right", max_len: int | None = None) -> DataFrame:
+    """(start, path): the cycles through each address, in walking order, first equal to last. max_len: those of at most so many steps."""
+    return _cycles(settled(_steps(space, tplts, direction)), settled(addrs.select("addr").distinct()), max_len)
 
 
-def recheck_cycles(space: Space, kernels: DataFrame, direction: str = "right", max_len: int = 50) -> DataFrame:
+def recheck_cycles(space: Space, kernels: DataFrame, direction: str = "right", max_len: int | None = None) -> DataFrame:
     """(tplt, start, path) for kernels (tplt, addr): the cycles of each kernel along its own template, all in one loop."""
     a, b = ("src", "dst") if direction == "right" else ("dst", "src")
     of = kernels.select(F.col("tplt").alias("addr")).distinct()
-    steps = settled(edges(space, of).select("tplt", F.col(a).alias("at"), F.col(b).alias("to")).distinct())
-    return _walks(steps, kernels.select("tplt", "addr").distinct(), None, max_len)
+    node = lambda c: F.struct("tplt", F.col(c).alias("addr"))  # noqa: E731  a node is an address under a template
+    steps = settled(edges(space, of).select(node(a).alias("at"), node(b).alias("to")).distinct())
+    found = _cycles(steps, settled(kernels.select(node("addr").alias("addr")).distinct()), max_len)
+    return found.select("start.tplt", "start.addr", "path.addr").toDF("tplt", "start", "path")

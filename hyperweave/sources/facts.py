@@ -66,6 +66,9 @@ def _postorder(pattern) -> list[tuple]:
     return [*out, ("rel", pattern.key(), pattern)]
 
 
+#: Keys of one load that may be broadcast to the scan of what is there: some 20 MB.
+LOOKUP_KEYS = 200_000
+
 _NODE = ["key", "kind", "arity", "phrase", "tplt_key", "member_keys", "left_key", "sep_keys", "right_key"]
 
 
@@ -129,18 +132,20 @@ def hashed_space(*statements: tuple[DataFrame, object]) -> Space:
     return Space(one.select(hash_address("key").alias("addr"), "kind", "arity", "phrase", one_of("tplt_key").alias("tplt"), many("member_keys").alias("members"), one_of("left_key").alias("cap_left"), many("sep_keys").alias("seps"), one_of("right_key").alias("cap_right"), "key"))
 
 
-def load(space: Space, df: DataFrame, pattern, order: Column | None = None) -> tuple[Space, DataFrame]:
-    """Inserts the statements: the new space, and (stmt, addr, is_new) of every statement.
+def load_rows(expr: DataFrame, df: DataFrame, pattern, order: Column | None = None, start: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows that the statements add to ``expr``, and (stmt, addr, is_new) of every statement. See ``load``.
 
-    What is there already keeps its address; the rest is numbered on from the greatest one, in the order of statements and
-    within them templates first, then members, then the relationship. ``order``: a whole number for each row.
-    Statements with a null in them are left out.
+    Of ``expr`` only key and addr are read, and only the rows of the statements' own keys leave the scan. start: the first
+    free address, if it is known.
     """
     parts = settled(nodes(df, pattern, order))
-    merged = _merged(parts)
-    old = space.expr.where("key IS NOT NULL").groupBy("key").agg(F.max("addr").alias("addr"))
+    merged = settled(_merged(parts))
+    keys = merged.select("key")
+    keys = F.broadcast(keys) if keys.count() <= LOOKUP_KEYS else keys
+    old = settled(expr.where("key IS NOT NULL").select("key", "addr").join(keys, "key", "left_semi").groupBy("key").agg(F.max("addr").alias("addr")))
     new = merged.join(old, "key", "left_anti")
-    start = (space.expr.agg(F.max("addr")).first()[0] if not space.expr.isEmpty() else -1) + 1
+    if start is None:
+        start = (expr.agg(F.max("addr")).first()[0] if not expr.isEmpty() else -1) + 1
     numbered = settled(dense_ids(new, ["stmt", "step"], "addr", start))
     index = old.union(numbered.select("key", "addr"))
 
@@ -156,10 +161,20 @@ def load(space: Space, df: DataFrame, pattern, order: Column | None = None) -> t
         rows = resolved(rows, a, b)
     rows = rows.join(listed("member_keys", "members"), "addr", "left").join(listed("sep_keys", "seps"), "addr", "left")
     rows = rows.withColumn("seps", F.when(F.col("kind") == "tplt", F.coalesce("seps", F.array().cast("array<long>"))))
-    expr = space.expr.unionByName(rows.select(*(c.split()[0] for c in EXPR.split(", "))))
     roots = parts.where(F.col("step") == len(_postorder(pattern)) - 1).select("stmt", "key")
     report = roots.join(index, "key").select("stmt", "addr", (F.col("addr") >= start).alias("is_new"))
-    return Space(settled(expr), strict=space.strict), report
+    return settled(rows.select(*(c.split()[0] for c in EXPR.split(", ")))), report
+
+
+def load(space: Space, df: DataFrame, pattern, order: Column | None = None) -> tuple[Space, DataFrame]:
+    """Inserts the statements: the new space, and (stmt, addr, is_new) of every statement.
+
+    What is there already keeps its address; the rest is numbered on from the greatest one, in the order of statements and
+    within them templates first, then members, then the relationship. ``order``: a whole number for each row.
+    Statements with a null in them are left out.
+    """
+    rows, report = load_rows(space.expr, df, pattern, order)
+    return Space(settled(space.expr.unionByName(rows)), strict=space.strict), report
 
 
-__all__ = ["P", "R", "T", "hashed_space", "load", "nodes", "hash_address", "tplt_key"]
+__all__ = ["P", "R", "T", "hashed_space", "load", "load_rows", "nodes", "hash_address", "tplt_key"]

@@ -11,7 +11,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import settled
+from ..functions.frames import grown, settled, small_side
 
 EXPR = "addr long, kind string, arity int, phrase string, tplt long, members array<long>, cap_left long, seps array<long>, cap_right long, key string"
 POS = ["host", "host_kind", "role", "ix", "child", "tplt"]
@@ -81,32 +81,75 @@ def positions(expr: DataFrame) -> DataFrame:
     return out
 
 
+_COLUMNS = [c.split()[0] for c in EXPR.split(", ")]
+
+
+def _bottom_up(pos: DataFrame, known: DataFrame) -> DataFrame:
+    """(addr, key) of ``known`` and of the hosts of ``pos`` whose children all get one: one round for each level of nesting.
+
+    A round joins the children that got their keys in the last one; a host waits with the keys that it has until none is missing.
+    """
+    part = F.struct("role", "ix", "key")
+    waiting = pos.groupBy("host").agg(F.first("host_kind").alias("kind"), F.count("*").cast("int").alias("missing"))
+    waiting = waiting.withColumn("parts", F.array().cast("array<struct<role:string,ix:int,key:string>>"))
+    frontier, rounds = known, 0
+
+    def keys(role: str):
+        return F.transform(F.filter("parts", lambda p: p["role"] == role), lambda p: p["key"])
+
+    one = lambda role: F.coalesce(F.get(keys(role), F.lit(0)), F.lit("-"))
+    rel = F.sha2(F.concat(F.lit("r:"), one("tplt"), F.lit("|"), F.array_join(keys("member"), ",")), 256)
+    tplt = F.sha2(F.concat(F.lit("t:"), one("cap_left"), F.lit("|"), F.array_join(keys("sep"), ","), F.lit("|"), one("cap_right")), 256)
+    while True:
+        got = pos.join(frontier.select(F.col("addr").alias("child"), "key"), "child").groupBy("host").agg(F.collect_list(part).alias("new"))
+        parts = F.sort_array(F.concat("parts", F.coalesce("new", F.array())))
+        told = waiting.join(got, "host", "left").select("host", "kind", (F.col("missing") - F.coalesce(F.size("new"), F.lit(0))).alias("missing"), parts.alias("parts"))
+        told = settled(told)
+        frontier = told.where("missing = 0").select(F.col("host").alias("addr"), F.when(F.col("kind") == "rel", rel).otherwise(tplt).alias("key"))
+        if frontier.isEmpty():
+            return known
+        known, waiting, rounds = known.union(frontier), told.where("missing > 0"), rounds + 1
+        if rounds % 8 == 0:
+            known = settled(known)
+
+
+def _leaf_keys(expr: DataFrame) -> DataFrame:
+    """(addr, key) of phrases, and of templates with neither caps nor separators: they have no children."""
+    bare = F.col("kind").eqNullSafe("tplt") & (F.size("seps") == 0) & F.col("cap_left").isNull() & F.col("cap_right").isNull()
+    return expr.where((F.col("kind") == "phrase") | bare).select("addr", F.when(F.col("kind") == "phrase", phrase_key(F.col("phrase"))).otherwise(F.lit(tplt_key(None, [], None))).alias("key"))
+
+
 def with_keys(expr: DataFrame) -> DataFrame:
-    """``expr`` with keys from its nested content, bottom up: one round for each level of nesting.
+    """``expr`` with keys from its nested content, bottom up.
 
     Rows that refer to themselves in a circle or to absent rows keep a null key.
     """
-    pos = settled(positions(expr))
-    need = pos.groupBy("host").agg(F.count("*").alias("need"))
-    known = settled(expr.where("kind = 'phrase'").select("addr", phrase_key(F.col("phrase")).alias("key")))
-    while True:
-        have = pos.join(known.select(F.col("addr").alias("child"), "key"), "child").join(known.select(F.col("addr").alias("host")), "host", "left_anti")
-        part = F.struct("role", "ix", "key")
-        ready = have.groupBy("host").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.first("host_kind").alias("kind")).join(need, "host").where(F.size("parts") == F.col("need"))
-
-        def keys(role: str):
-            return F.transform(F.filter("parts", lambda p: p["role"] == role), lambda p: p["key"])
-
-        one = lambda role: F.coalesce(F.get(keys(role), F.lit(0)), F.lit("-"))
-        rel = F.sha2(F.concat(F.lit("r:"), one("tplt"), F.lit("|"), F.array_join(keys("member"), ",")), 256)
-        tplt = F.sha2(F.concat(F.lit("t:"), one("cap_left"), F.lit("|"), F.array_join(keys("sep"), ","), F.lit("|"), one("cap_right")), 256)
-        new = settled(ready.select(F.col("host").alias("addr"), F.when(F.col("kind") == "rel", rel).otherwise(tplt).alias("key")))
-        if new.isEmpty():
-            break
-        known = known.union(new)
-    # A template with neither caps nor separators has no children.
-    bare = expr.where("kind = 'tplt' AND size(seps) = 0 AND cap_left IS NULL AND cap_right IS NULL").select("addr", F.lit(tplt_key(None, [], None)).alias("key"))
-    return expr.drop("key").join(known.union(bare).dropDuplicates(["addr"]), "addr", "left").select(*(c.split()[0] for c in EXPR.split(", ")))
+    known = _bottom_up(settled(positions(expr)), settled(_leaf_keys(expr)))
+    return expr.drop("key").join(known.dropDuplicates(["addr"]), "addr", "left").select(*_COLUMNS)
+
+
+def hosts_above(expr: DataFrame, addrs: DataFrame) -> DataFrame:
+    """(addr) of the rows themselves and of all that holds them at any depth, by joins of a frontier with the positions."""
+    links = positions(expr).select("host", "child")
+    return grown(addrs.select("addr"), lambda f: links.join(small_side(f.withColumnRenamed("addr", "child")), "child").select(F.col("host").alias("addr")), ["addr"])
+
+
+def rekeyed(expr: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``expr`` with new keys where content may have changed, and the addresses (addr) whose keys were made anew.
+
+    touched (addr): rows that are new or whose children changed. Only these and what holds them are hashed, from the keys that
+    their other children have already; all other rows stay as they are.
+    """
+    above = settled(hosts_above(expr, touched))
+    mine = small_side(above)
+    own = settled(expr.join(mine, "addr", "left_semi"))
+    pos = settled(positions(own))
+    others = pos.select(F.col("child").alias("addr")).distinct().join(above, "addr", "left_anti")
+    given = expr.where("key IS NOT NULL").select("addr", "key").join(small_side(settled(others)), "addr", "left_semi")
+    known = settled(_leaf_keys(own).union(given))
+    made = _bottom_up(pos, known).join(above, "addr", "left_semi").dropDuplicates(["addr"])
+    new = own.drop("key").join(made, "addr", "left").select(*_COLUMNS)
+    return settled(expr.join(mine, "addr", "left_anti").select(*_COLUMNS).union(new)), above
 
 
 class Space:
