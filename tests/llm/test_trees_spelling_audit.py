@@ -158,7 +158,7 @@ def test_trees_agree_with_a_scan():
 
 
 def brute_audit(docs, labels):
-    good, toxic = ({i for i, *x in labels if x[k] == 1} for k in (0, 1))
+    good, toxic = ({i for i, *x in labels if i is not None and x[k] == 1} for k in (0, 1))
     rows = []
     for i, text, source in docs:
         t = text or ""
