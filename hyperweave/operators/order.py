@@ -40,9 +40,9 @@ def levels(pairs: DataFrame) -> DataFrame:
         single = nodes.join(degree.where("n = 1"), nodes["addr"] == degree["after"]).select(F.col("addr").alias("node"), "up", "least", "w")
         tops = settled(nodes.join(degree.select(F.col("after").alias("addr")), "addr", "left_anti").select("addr", F.col("least").alias("level")))
         hung, circling = followed(single, lambda mine, on: {"least": F.greatest(mine("least"), on("least") + mine("w")), "w": mine("w") + on("w")})
-        if not circling.isEmpty() or (tops.isEmpty() and hung.isEmpty()):
+        if not circling.isEmpty() or (hung.isEmpty() and tops.isEmpty()):
             raise CycleError("the template has a cycle")
-        known = settled(known.union(tops))
+        known = known.union(tops)
         hanging.append(hung)
         several = degree.where("n > 1").select("after")
         via = hung.select(F.col("node").alias("before"), "up", "least", F.col("w").alias("more"))
