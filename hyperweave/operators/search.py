@@ -34,9 +34,10 @@ class Term:
 
 @dataclass(frozen=True)
 class ByKey(Term):
-    """One expression by its content."""
+    """One expression by its content. text: if it is a phrase."""
 
     key: str
+    text: str | None = None
 
 
 @dataclass(frozen=True)
@@ -128,7 +129,7 @@ ANY, IT = Any(), It()
 
 
 def phrase(text: str) -> Term:
-    return ByKey(phrase_key(text))
+    return ByKey(phrase_key(text), text)
 
 
 def template(text: str) -> Term:
@@ -186,6 +187,8 @@ def involves(term: Term, levels: int) -> Term:
 
 
 def var(name: str) -> Term:
+    if _is_member(name) or name in ("addr", "host"):
+        raise ValueError(f"{name} is no name for a variable")
     return Var(name)
 
 
@@ -292,6 +295,11 @@ def _meet(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, ["addr", *(v for v in va if v in vb)]).distinct()
 
 
+def _is_member(column: str) -> bool:
+    """m1, m2, ...: a variable of such a name would be taken for one, so ``var`` refuses it."""
+    return column[:1] == "m" and column[1:].isdigit()
+
+
 ROLE_NAMES = {"t": ("tplt", 0), "cap_left": ("cap_left", 0), "cap_right": ("cap_right", 0)}
 
 
@@ -344,8 +352,31 @@ class Compiler:
             raise ValueError(f"variable {t.name} is not bound")
         return self.env.select(F.col(t.name).alias("addr"), t.name).distinct()
 
+    def _stated(self, t: Term) -> DataFrame | None:
+        """The relationships (host, m1, m2, ..., variables) that a role map finds, straight from the tables that state them.
+
+        For maps of members under one named template, in spaces made from tables: a table that states the template is scanned once,
+        with the map's constants as filters, and nothing is merged or looked up in the whole space. Else None.
+        """
+        of = dict(t.roles) if isinstance(t, Roles) else {}
+        tplt = of.pop("t", None)
+        if self.space.rels is None or self.space.strict or not isinstance(tplt, ByKey) or not all(isinstance(r, int) for r in of):
+            return None
+        rows = self.space.rels(tplt.key, {r: (c.key, c.text) for r, c in of.items() if isinstance(c, ByKey)})
+        if rows is None or any(f"m{r}" not in rows.columns for r in of):
+            return None
+        for role, child in of.items():
+            if not isinstance(child, ByKey):
+                found = self(child).withColumnRenamed("addr", f"m{role}")
+                names = [v for v in found.columns if v != f"m{role}"]
+                rows = rows.join(found, [f"m{role}", *(v for v in names if v in rows.columns)], "inner" if names else "left_semi")
+        return rows
+
     def _Roles(self, t: Roles) -> DataFrame:
         """The template restricts member rows through their own ``tplt`` column, so its popular rows are never joined."""
+        stated = self._stated(t)
+        if stated is not None:
+            return stated.select(F.col("host").alias("addr"), *(c for c in stated.columns if c != "host" and not _is_member(c))).distinct()
         of = dict(t.roles)
         tplt = self(of.pop("t")) if "t" in of else None
         out = None
@@ -380,6 +411,11 @@ class Compiler:
         return seen.distinct()
 
     def _Eval(self, t: Eval) -> DataFrame:
+        stated = self._stated(t.term) if all(len(p) == 1 and isinstance(p[0], int) for p in t.paths) else None
+        if stated is not None and all(f"m{p[0]}" in stated.columns for p in t.paths):
+            names = [c for c in stated.columns if c != "host" and not _is_member(c)]
+            members = F.explode(F.array(*(F.col(f"m{p[0]}") for p in t.paths))) if len(t.paths) > 1 else F.col(f"m{t.paths[0][0]}")
+            return stated.select(members.alias("addr"), *names).distinct()
         hosts = self(t.term)
         return navigate.sub_exprs(self.space, hosts, t.paths, strict=self.space.strict).drop("host").distinct()
 

@@ -13,6 +13,8 @@ from ..operators.quant import Ref
 from ..operators.search import ANY, IT, eval_, find, phrase, rel
 from ..sources import facts, space
 from ..sources.facts import R, T, hashed_space
+from ..sources.log import SpaceLog
+from ..streaming.ingest import ingest_stream
 from . import star
 from .star_queries import _IN, _PAIRS, _PRECEDES, _SOME, _SUPPLIES, _one, _pairs, _some, _t, _texts, query
 
@@ -363,3 +365,73 @@ def render_split_around(spark, d):
     parts = text.split_around(F.split("c_name", ""), lambda x: x.rlike("^[0-9]$"))
     out = star.table(spark, d, "customer").select("c_custkey", parts.alias("p")).where("p IS NOT NULL")
     return out.select("c_custkey", *(F.array_join(f"p.{c}", "").alias(c) for c in ("before", "during", "after")))
+
+
+@query("SELECT DISTINCT 'user:' || user_id AS name, event_type AS act FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL")
+def stream_ingest(spark, d):
+    """Events as a stream of facts into a log; a second stream brings them all again, which changes nothing."""
+    folder = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    path = f"{d}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    for name in ("first", "again"):
+        ingest_stream(stream, R("_ did _", star.named("user", "user_id"), F.col("event_type")), folder, f"{folder}/checkpoint-{name}", name=name).awaitTermination()
+    s = SpaceLog(spark, folder).space()
+    return _texts(s, transitive.edges(s, _t(s, "_ did _")).select("src", "dst"), name="src", act="dst")
+
+
+@query("SELECT count(*) > 0 AS ring, false AS line FROM conversations")
+def transitive_finds_cycle(spark, d):
+    """Conversations whose last turn precedes their first go in a circle; without that they do not."""
+    rows, pattern = star.precedes(spark, d)
+    turn = star.table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"), F.min("turn").alias("first"))
+    at = lambda c: star.named("conv", F.concat("conv_id", F.lit("/"), c))
+    s = hashed_space((rows, pattern), (turn, R("_ comes round to _", at("last"), at("first")))).cached()
+    both = _t(s, "_ precedes _").union(_t(s, "_ comes round to _"))
+    return spark.createDataFrame([(order.has_cycle(s, both), order.has_cycle(s, _t(s, "_ precedes _")))], "ring boolean, line boolean")
+
+
+@query("SELECT 'order:' || o_orderkey AS name, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS level FROM orders")
+def order_deep_chain(spark, d):
+    """All orders in one chain: as many levels as orders."""
+    keys = star.table(spark, d, "orders").select("o_orderkey")
+    pairs = edit.chain_pairs(keys, "o_orderkey", "o_orderkey")
+    s = hashed_space((pairs, R("_ then _", star.named("order", "left"), star.named("order", "right")))).cached()
+    return _texts(s, order.topo_sort(s, _t(s, "_ then _"), s.expr.where("phrase LIKE 'order:%'").select("addr")), name="addr").drop("is_isolated")
+
+
+@query("""WITH p AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM (SELECT DISTINCT conv_id, turn FROM conversations))
+SELECT (SELECT count(*) FROM p WHERE nxt IS NOT NULL) AS n_facts, (SELECT count(*) FROM p x JOIN p y ON x.conv_id = y.conv_id AND x.nxt = y.turn WHERE x.turn = 0 AND y.nxt = 2) AS n_walks""")
+def edit_refuses_removal(spark, d):
+    """First turns still lead to third ones by way of the second, so nothing is cut."""
+    s = hashed_space(star.precedes(spark, d)).cached()
+    turn = lambda i: s.expr.where(f"phrase LIKE 'conv:%/{i}'").select("addr")
+    left, walks = edit.remove_from_order(s, _t(s, "_ precedes _"), turn(0), turn(2))
+    n = transitive.edges(left, _t(left, "_ precedes _")).agg(F.count("*").alias("n_facts"))
+    return n.crossJoin(walks.agg(F.count("*").alias("n_walks")))  # one row each
+
+
+@query("""WITH p AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM (SELECT DISTINCT conv_id, turn FROM conversations))
+SELECT 'conv:' || x.conv_id || '/0' AS name, 'conv:' || x.conv_id || '/3' AS last, CAST(2 AS INTEGER) AS n_inner
+FROM p x JOIN p y ON x.conv_id = y.conv_id AND x.nxt = y.turn JOIN p z ON y.conv_id = z.conv_id AND y.nxt = z.turn WHERE x.turn = 0 AND z.nxt = 3""")
+def transitive_path_graph(spark, d):
+    """The walks from first to fourth turns: one link each, with what lies between inside it."""
+    s = hashed_space(star.precedes(spark, d)).cached()
+    turn = lambda i: s.expr.where(f"phrase LIKE 'conv:%/{i}'").select("addr")
+    links = transitive.path_graph(s, _t(s, "_ precedes _"), turn(0), turn(3))
+    return _texts(s, links.select("at", "to", F.size("inner").alias("n_inner")), name="at", last="to")
+
+
+@query("SELECT l_partkey AS part, string_agg(DISTINCT l_suppkey, ',' ORDER BY l_suppkey) AS suppliers FROM lineitem GROUP BY 1")
+def graph_inverted_lists(spark, d):
+    """From the parts of each supplier, as lists, to the suppliers of each part."""
+    lists = star.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("parent")).agg(F.collect_set("l_partkey").alias("children"))
+    edges, _ = space.graph_from_adjacency(lists)
+    return navigate.inverted(edges).select(F.col("child").alias("part"), F.array_join(F.transform("parents", lambda x: x.cast("string")), ",").alias("suppliers"))
+
+
+@query("SELECT r_name AS place, CAST(count(*) AS INTEGER) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def navigate_host_lists(spark, d):
+    """The facts about each region, as one list for its role and template."""
+    s = hashed_space(star.nation_in_region(spark, d)).cached()
+    regions = find(s, eval_(rel("_ in _", ANY, IT)))
+    return _texts(s, navigate.host_groups(s, regions).where("group = 'member' AND ix = 2").select("addr", F.size("hosts").alias("n")), place="addr")

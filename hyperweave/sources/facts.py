@@ -118,6 +118,42 @@ def hash_address(key):
     return F.xxhash64(key)
 
 
+def _relationships(pattern):
+    """The R nodes of a pattern."""
+    if isinstance(pattern, R):
+        yield pattern
+        for m in pattern.members:
+            yield from _relationships(m)
+
+
+def stated_rels(statements, key: str, constants: dict[int, tuple[str, str | None]]) -> DataFrame | None:
+    """(host, m1, m2, ...): addresses of the relationships of one template and of their members; rows may repeat.
+
+    Only tables whose statements hold the template are read. constants: member number -> (key, text if it is a phrase) that it must be;
+    a phrase is compared in the table's own column, so that the condition reaches the scan. None if no table states the template.
+    """
+    out = None
+    for df, pattern in statements:
+        for r in _relationships(pattern):
+            if template_key(r.template) != key:
+                continue
+            rows, possible = df, True
+            for i, m in enumerate(r.members, 1):
+                wanted, own = constants.get(i), m.key()
+                if isinstance(own, str):
+                    possible &= wanted is None or wanted[0] == own
+                elif wanted is None:
+                    rows = rows.where(m.column().isNotNull() if isinstance(m, P) else own.isNotNull())
+                elif isinstance(m, P) and wanted[1] is not None:
+                    rows = rows.where(m.column() == F.lit(wanted[1]))
+                else:
+                    rows = rows.where(own == F.lit(wanted[0]))
+            address = lambda k: hash_address(F.lit(k) if isinstance(k, str) else k)
+            found = rows.where(F.lit(possible)).select(address(r.key()).alias("host"), *(address(m.key()).alias(f"m{i}") for i, m in enumerate(r.members, 1)))
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
 def hashed_space(*statements: tuple[DataFrame, object]) -> Space:
     """A space of (df, pattern) statements whose addresses are 64-bit hashes of the content: wholly lazy, one merge by key,
     no numbering. For loads of up to a few billion expressions; ``load`` gives dense addresses.
@@ -129,7 +165,7 @@ def hashed_space(*statements: tuple[DataFrame, object]) -> Space:
     one = parts.drop("stmt", "step").dropDuplicates(["key"])
     many = lambda c: F.transform(c, hash_address)
     one_of = lambda c: F.when(F.col(c).isNotNull(), hash_address(F.col(c)))
-    return Space(one.select(hash_address("key").alias("addr"), "kind", "arity", "phrase", one_of("tplt_key").alias("tplt"), many("member_keys").alias("members"), one_of("left_key").alias("cap_left"), many("sep_keys").alias("seps"), one_of("right_key").alias("cap_right"), "key"))
+    return Space(one.select(hash_address("key").alias("addr"), "kind", "arity", "phrase", one_of("tplt_key").alias("tplt"), many("member_keys").alias("members"), one_of("left_key").alias("cap_left"), many("sep_keys").alias("seps"), one_of("right_key").alias("cap_right"), "key"), rels=lambda key, constants: stated_rels(statements, key, constants))
 
 
 def load_rows(expr: DataFrame, df: DataFrame, pattern, order: Column | None = None, start: int | None = None) -> tuple[DataFrame, DataFrame]:

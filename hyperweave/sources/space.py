@@ -43,7 +43,8 @@ def rel_key(tplt, members):
     if isinstance(tplt, str) and all(isinstance(m, str) for m in members):
         return hashlib.sha256(f"r:{tplt}|{','.join(members)}".encode()).hexdigest()
     col = lambda x: F.lit(x) if isinstance(x, str) else x
-    return F.sha2(F.concat(F.lit("r:"), col(tplt), F.lit("|"), F.concat_ws(",", *map(col, members))), 256)
+    listed = [x for m in members for x in (F.lit(","), col(m))][1:]
+    return F.sha2(F.concat(F.lit("r:"), col(tplt), F.lit("|"), *listed), 256)  # null if a member is null
 
 
 def template_parts(text: str) -> tuple[str | None, list[str], str | None]:
@@ -153,10 +154,14 @@ def rekeyed(expr: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class Space:
-    """expr: one row for each expression; pos: one for each child in each role, made from expr unless given."""
+    """expr: one row for each expression; pos: one for each child in each role, made from expr unless given.
 
-    def __init__(self, expr: DataFrame, pos: DataFrame | None = None, strict: bool = False):
-        self.expr, self.strict = expr, strict
+    rels: where the space was made from tables, a function (template key, constants) -> the relationships of that template, straight from
+    the tables that state them; see facts.stated_rels.
+    """
+
+    def __init__(self, expr: DataFrame, pos: DataFrame | None = None, strict: bool = False, rels=None):
+        self.expr, self.strict, self.rels = expr, strict, rels
         self._pos = pos
 
     @property
