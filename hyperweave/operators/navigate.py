@@ -55,18 +55,29 @@ def sub_exprs(space: Space, addrs: DataFrame, paths, strict: bool = False) -> Da
     return out.distinct()
 
 
-def unnest(space: Space, addrs: DataFrame, max_depth: int = 64) -> DataFrame:
-    """The whole tree of each address: (root, path, addr, kind, phrase); a path is a list of steps such as member:2 or tplt:0."""
-    at = settled(addrs.select(F.col("addr").alias("root"), F.array().cast("array<string>").alias("path"), "addr").distinct())
+def unnest(space: Space, addrs: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """The whole tree of each address: (root, path, addr, kind, phrase); a path is a list of steps such as member:2 or tplt:0.
+
+    One round for each level, down to the leaves, or to max_depth. An expression that holds itself, which valid data has not, raises
+    RecursionError.
+    """
+    at = settled(addrs.select(F.col("addr").alias("root"), F.array().cast("array<string>").alias("path"), "addr", F.array().cast("array<long>").alias("above")).distinct())
     out = at
     step = F.concat("role", F.lit(":"), F.format_string("%05d", "ix"))
-    for _ in range(max_depth):
+    depth = 0
+    while max_depth is None or depth < max_depth:
         below = at.join(space.pos.withColumnRenamed("host", "addr").select("addr", "role", "ix", "child"), "addr")
-        at = settled(below.select("root", F.array_append("path", step).alias("path"), F.col("child").alias("addr")))
-        if at.isEmpty():
-            return out.join(space.expr.select("addr", "kind", "phrase"), "addr", "left").select("root", "path", "addr", "kind", "phrase")
+        at = settled(below.select("root", F.array_append("path", step).alias("path"), F.col("child").alias("addr"), F.array_append("above", F.col("addr")).alias("above")))
+        met = at.agg(F.count("*").alias("n"), F.count_if(F.array_contains("above", F.col("addr"))).alias("again")).first()
+        if met["again"]:
+            raise RecursionError("an expression holds itself")
+        if not met["n"]:
+            break
         out = out.union(at)
-    raise RecursionError(f"deeper than {max_depth}, or an expression that holds itself")
+        depth += 1
+        if depth % 8 == 0:
+            out = settled(out)
+    return out.join(space.expr.select("addr", "kind", "phrase"), "addr", "left").select("root", "path", "addr", "kind", "phrase")
 
 
 def with_depth(space: Space) -> DataFrame:

@@ -77,18 +77,28 @@ def topo_sort(space: Space, tplts: DataFrame, addrs: DataFrame, earlier: str = "
     return out.orderBy("is_isolated", "level", "addr")
 
 
-def preorder(space: Space, tplts: DataFrame, addrs: DataFrame, earlier: str = "left", max_len: int = 64) -> DataFrame:
-    """(addr, path) for forests: each node after its parent and before its parent's next child, by address."""
+def preorder(space: Space, tplts: DataFrame, addrs: DataFrame, earlier: str = "left") -> DataFrame:
+    """(addr, path) for forests: each node after its parent and before its parent's next child, by address. One round for each level;
+    a node that comes up below itself raises CycleError, and so do nodes that no root leads to.
+    """
     pairs = settled(_pairs(space, tplts, earlier))
     roots = pairs.select(F.col("before").alias("addr")).distinct().join(pairs.select(F.col("after").alias("addr")), "addr", "left_anti")
-    at = settled(roots.select("addr", F.array("addr").alias("path")))
-    out = at
-    for _ in range(max_len):
-        at = settled(at.join(pairs, at["addr"] == pairs["before"]).select(F.col("after").alias("addr"), F.array_append("path", F.col("after")).alias("path")))
+    at = out = settled(roots.select("addr", F.array("addr").alias("path")))
+    rounds = 0
+    while True:
+        below = at.join(pairs, at["addr"] == pairs["before"]).select(F.col("after").alias("addr"), F.col("path").alias("above"))
+        met = settled(below.select("addr", F.array_append("above", F.col("addr")).alias("path"), F.array_contains("above", F.col("addr")).alias("again")))
+        if not met.where("again").isEmpty():
+            raise CycleError("the template has a cycle")
+        at = met.drop("again")
         if at.isEmpty():
-            return out.join(addrs.select("addr"), "addr", "left_semi").orderBy("path")
-        out = out.union(at)
-    raise CycleError("deeper than max_len, or a cycle")
+            break
+        out, rounds = out.union(at), rounds + 1
+        if rounds % 8 == 0:
+            out = settled(out)
+    if not pairs.select(F.col("after").alias("addr")).join(out, "addr", "left_anti").isEmpty():
+        raise CycleError("the template has a cycle")
+    return out.join(addrs.select("addr"), "addr", "left_semi").orderBy("path")
 
 
 def tops(space: Space, tplts: DataFrame, addrs: DataFrame, earlier: str = "left") -> DataFrame:

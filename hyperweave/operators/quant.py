@@ -212,9 +212,9 @@ def reconcile(frames: list[DataFrame]) -> DataFrame:
         if not names:
             out = out.join(f, keys, "left_semi")
             continue
-        # Where both hold the same set of bindings, it stays as it is.
-        sets = lambda d, c: d.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(*names))).alias(c))
-        same = sets(out, "x").join(sets(f, "y"), keys).where(F.col("x") == F.col("y")).select(*keys)
+        # Where both hold the same set of bindings, it stays as it is: no row of either is missing in the other.
+        odd = out.subtract(f.select(*out.columns)).union(f.select(*out.columns).subtract(out)).select(*keys)
+        same = out.select(*keys).distinct().join(f, keys, "left_semi").join(odd, keys, "left_anti")
         r = f.select(*keys, *(F.col(n).alias(f"_{n}") for n in names)).join(same, keys, "left_anti")
         agree = reduce(lambda a, b: a & b, (F.col(n).isNull() | F.col(f"_{n}").isNull() | (F.col(n) == F.col(f"_{n}")) for n in names))
         mixed = out.join(r, keys).where(agree).select(*keys, *(F.coalesce(n, f"_{n}").alias(n) for n in names))

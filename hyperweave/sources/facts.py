@@ -113,9 +113,36 @@ def _merged(parts: DataFrame) -> DataFrame:
     return parts.groupBy("key").agg(F.min_by(F.struct(*rest), F.struct("stmt", "step")).alias("n"), F.min(F.struct("stmt", "step")).alias("o")).select("key", *(F.col(f"n.{c}") for c in rest), "o.stmt", "o.step")
 
 
-def hash_address(key):
-    """An address that follows from the content alone."""
-    return F.xxhash64(key)
+def hash_address(key, moved: dict[str, int] | None = None, bits: int = 64):
+    """An address that follows from the content alone. moved: the addresses of those keys whose hash another key has."""
+    hashed = F.shiftright(F.xxhash64(key), 64 - bits) if bits < 64 else F.xxhash64(key)
+    if not moved:
+        return hashed
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in moved.items() for x in pair)), key), hashed)
+
+
+#: Keys that may be moved out of the way of others: among 10^11 expressions some hundreds are expected.
+MOST_MOVED = 10_000
+
+
+def moved_keys(keys: DataFrame, bits: int = 64) -> dict[str, int]:
+    """For distinct keys (key): those that share their hash with a lesser key, each with an address that no key hashes to."""
+    hashed = keys.select("key", hash_address(F.col("key"), bits=bits).alias("addr"))
+    least = hashed.groupBy("addr").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    late = [r["key"] for r in hashed.join(least, "addr").where("key <> first").select("key").limit(MOST_MOVED + 1).collect()]
+    if len(late) > MOST_MOVED:
+        raise ValueError("too many keys share their hashes; load() numbers expressions densely")
+    if not late:
+        return {}
+    spark, moved, trial = keys.sparkSession, {}, 0
+    while left := sorted(set(late) - moved.keys()):
+        tried = spark.createDataFrame([(k, trial) for k in left], "key string, trial int").select("key", F.xxhash64("key", "trial").alias("addr"))
+        free = tried.join(hashed.select("addr"), "addr", "left_anti").collect()
+        for r in sorted(free):
+            if r["addr"] not in moved.values():
+                moved[r["key"]] = r["addr"]
+        trial += 1
+    return moved
 
 
 def _relationships(pattern):
@@ -126,7 +153,7 @@ def _relationships(pattern):
             yield from _relationships(m)
 
 
-def stated_rels(statements, key: str, constants: dict[int, tuple[str, str | None]]) -> DataFrame | None:
+def stated_rels(statements, key: str, constants: dict[int, tuple[str, str | None]], address=hash_address) -> DataFrame | None:
     """(host, m1, m2, ...): addresses of the relationships of one template and of their members; rows may repeat.
 
     Only tables whose statements hold the template are read. constants: member number -> (key, text if it is a phrase) that it must be;
@@ -148,24 +175,41 @@ def stated_rels(statements, key: str, constants: dict[int, tuple[str, str | None
                     rows = rows.where(m.column() == F.lit(wanted[1]))
                 else:
                     rows = rows.where(own == F.lit(wanted[0]))
-            address = lambda k: hash_address(F.lit(k) if isinstance(k, str) else k)
-            found = rows.where(F.lit(possible)).select(address(r.key()).alias("host"), *(address(m.key()).alias(f"m{i}") for i, m in enumerate(r.members, 1)))
+            at = lambda k: address(F.lit(k) if isinstance(k, str) else k)
+            found = rows.where(F.lit(possible)).select(at(r.key()).alias("host"), *(at(m.key()).alias(f"m{i}") for i, m in enumerate(r.members, 1)))
             out = found if out is None else out.unionByName(found)
     return out
 
 
 def hashed_space(*statements: tuple[DataFrame, object]) -> Space:
     """A space of (df, pattern) statements whose addresses are 64-bit hashes of the content: wholly lazy, one merge by key,
-    no numbering. For loads of up to a few billion expressions; ``load`` gives dense addresses.
+    no numbering. For loads of up to a few billion expressions; ``collision_free_space`` and ``load`` are for more.
     """
+    return _addressed(statements, _distinct_nodes(statements), hash_address)
+
+
+def collision_free_space(*statements: tuple[DataFrame, object], bits: int = 64) -> Space:
+    """As hashed_space, but different contents never share an address: keys whose hashes meet are found first (one exchange of the
+    merged keys, which are settled for it), and all but the least of them move. bits: of the hash.
+    """
+    one = settled(_distinct_nodes(statements))
+    moved = moved_keys(one.select("key"), bits)
+    return _addressed(statements, one, lambda key: hash_address(key, moved, bits))
+
+
+def _distinct_nodes(statements) -> DataFrame:
     parts = None
     for df, pattern in statements:
         n = nodes(df, pattern)
         parts = n if parts is None else parts.unionByName(n)
-    one = parts.drop("stmt", "step").dropDuplicates(["key"])
-    many = lambda c: F.transform(c, hash_address)
-    one_of = lambda c: F.when(F.col(c).isNotNull(), hash_address(F.col(c)))
-    return Space(one.select(hash_address("key").alias("addr"), "kind", "arity", "phrase", one_of("tplt_key").alias("tplt"), many("member_keys").alias("members"), one_of("left_key").alias("cap_left"), many("sep_keys").alias("seps"), one_of("right_key").alias("cap_right"), "key"), rels=lambda key, constants: stated_rels(statements, key, constants))
+    return parts.drop("stmt", "step").dropDuplicates(["key"])
+
+
+def _addressed(statements, one: DataFrame, address) -> Space:
+    many = lambda c: F.transform(c, lambda x: address(x))
+    one_of = lambda c: F.when(F.col(c).isNotNull(), address(F.col(c)))
+    rows = one.select(address(F.col("key")).alias("addr"), "kind", "arity", "phrase", one_of("tplt_key").alias("tplt"), many("member_keys").alias("members"), one_of("left_key").alias("cap_left"), many("sep_keys").alias("seps"), one_of("right_key").alias("cap_right"), "key")
+    return Space(rows, rels=lambda key, constants: stated_rels(statements, key, constants, address))
 
 
 def load_rows(expr: DataFrame, df: DataFrame, pattern, order: Column | None = None, start: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -213,4 +257,4 @@ def load(space: Space, df: DataFrame, pattern, order: Column | None = None) -> t
     return Space(settled(space.expr.unionByName(rows)), strict=space.strict), report
 
 
-__all__ = ["P", "R", "T", "hashed_space", "load", "load_rows", "nodes", "hash_address", "tplt_key"]
+__all__ = ["P", "R", "T", "collision_free_space", "hashed_space", "load", "load_rows", "nodes", "hash_address", "tplt_key"]

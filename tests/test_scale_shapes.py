@@ -6,7 +6,7 @@ import pytest
 
 from hyperweave.operators import edit, order, search, transitive
 from hyperweave.operators.search import ANY, IT, eval_, find, phrase, rel
-from hyperweave.sources.facts import R, hashed_space, load
+from hyperweave.sources.facts import R, collision_free_space, hashed_space, load
 from hyperweave.sources.space import empty_space
 
 
@@ -98,3 +98,29 @@ def test_chain_over_ranges(spark):
     assert {tuple(r) for r in got.collect()} == set(zip(order_, order_[1:], strict=False))
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert edit.chain_pairs(rows.limit(0), "addr", "ix").count() == edit.chain_pairs(rows.limit(1), "addr", "ix").count() == 0
+
+
+def test_contents_never_share_an_address(spark):
+    """With hashes of nine bits many of 150 contents meet."""
+    rows = spark.range(60).select(F.concat(F.lit("p"), "id").alias("a"), F.concat(F.lit("q"), F.col("id") % 7).alias("b"))
+    stated = (rows, R("_ to _", F.col("a"), F.col("b")))
+    s = collision_free_space(stated, bits=9)
+    got = s.expr.select("addr", "key").collect()
+    plain = hashed_space(stated)
+    assert len({r["addr"] for r in got}) == len(got) == plain.expr.count() and max(abs(r["addr"]) for r in got) > 2**20
+    assert texts(s, transitive.edges(s, find(s, search.template("_ to _"))).select("src", "dst"), "src", "dst") == sorted((f"p{i}", f"q{i % 7}") for i in range(60))
+    assert texts(s, find(s, eval_(rel("_ to _", IT, phrase("q3")))), "addr") == sorted((f"p{i}",) for i in range(60) if i % 7 == 3)
+    assert texts(s.cached(), find(s.cached(), eval_(rel("_ to _", IT, phrase("q3")))), "addr") == sorted((f"p{i}",) for i in range(60) if i % 7 == 3)
+
+
+def test_deep_trees(spark):
+    from hyperweave.operators import navigate
+    from hyperweave.sources.space import Space, rows_to_expr
+
+    chain = [(0, "phrase", "a"), (1, "phrase", "is"), (2, "tplt", (None, [1], None)), *((i, "rel", ([i - 1 if i > 3 else 0, 0], 2)) for i in range(3, 15))]
+    s = Space(rows_to_expr(spark, chain))
+    top = spark.createDataFrame([(14,)], "addr long")
+    deep = navigate.unnest(s, top)
+    assert deep.agg(F.max(F.size("path"))).first()[0] == 13 and navigate.unnest(s, top, 2).agg(F.max(F.size("path"))).first()[0] == 2
+    with pytest.raises(RecursionError):
+        navigate.unnest(Space(rows_to_expr(spark, [*chain[:3], (3, "rel", ([3, 0], 2))])), spark.createDataFrame([(3,)], "addr long"))
