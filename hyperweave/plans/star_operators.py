@@ -371,8 +371,7 @@ def render_split_around(spark, d):
 def stream_ingest(spark, d):
     """Events as a stream of facts into a log; a second stream brings them all again, which changes nothing."""
     folder = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
-    path = f"{d}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    stream = spark.readStream.schema(star.table(spark, d, "events").schema).parquet(f"{d}/events[.]parquet")  # a pattern, as a stream's path is else a folder
     for name in ("first", "again"):
         ingest_stream(stream, R("_ did _", star.named("user", "user_id"), F.col("event_type")), folder, f"{folder}/checkpoint-{name}", name=name).awaitTermination()
     s = SpaceLog(spark, folder).space()
