@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import settled
 from . import search
 
 
@@ -202,13 +203,15 @@ def _aligned(frames: list[DataFrame]) -> list[DataFrame]:
 def reconcile(frames: list[DataFrame]) -> DataFrame:
     """For each element (and env) in all frames: the unions of bindings, one from each, that agree wherever both are bound.
 
-    Frames whose bindings of an element are the same set count once.
+    Frames whose bindings of an element are the same set count once. Rows that bind every variable that both sides have meet by the
+    values of those variables, too, so that only rows with an unbound one are paired with all of an element's others.
     """
     if not frames:
         raise ValueError("nothing to reconcile")
-    out, *rest = _aligned([f.distinct() for f in frames])
+    known = [set(_bindings(f)) for f in frames]
+    out, *rest = _aligned([f.distinct() if len(frames) == 1 else settled(f.distinct()) for f in frames])  # each is read several times
     names, keys = _bindings(out), [*_envs(out), "elt"]
-    for f in rest:
+    for i, f in enumerate(rest, 1):
         if not names:
             out = out.join(f, keys, "left_semi")
             continue
@@ -216,9 +219,19 @@ def reconcile(frames: list[DataFrame]) -> DataFrame:
         odd = out.subtract(f.select(*out.columns)).union(f.select(*out.columns).subtract(out)).select(*keys)
         same = out.select(*keys).distinct().join(f, keys, "left_semi").join(odd, keys, "left_anti")
         r = f.select(*keys, *(F.col(n).alias(f"_{n}") for n in names)).join(same, keys, "left_anti")
-        agree = reduce(lambda a, b: a & b, (F.col(n).isNull() | F.col(f"_{n}").isNull() | (F.col(n) == F.col(f"_{n}")) for n in names))
-        mixed = out.join(r, keys).where(agree).select(*keys, *(F.coalesce(n, f"_{n}").alias(n) for n in names))
+        both = sorted(set.union(*known[:i]) & known[i])
+        merged = lambda d: d.select(*keys, *(F.coalesce(n, f"_{n}").alias(n) for n in names))
+        if not both:
+            mixed = merged(out.join(r, keys))
+        else:
+            bound = lambda prefix: reduce(lambda a, b: a & b, (F.col(f"{prefix}{n}").isNotNull() for n in both))
+            agree = reduce(lambda a, b: a & b, (F.col(n).isNull() | F.col(f"_{n}").isNull() | (F.col(n) == F.col(f"_{n}")) for n in both))
+            full, r_full = out.where(bound("")), r.where(bound("_"))
+            byvalue = full.join(r_full.select(*keys, *(F.col(f"_{n}").alias(n) for n in both), *(f"_{n}" for n in names)), [*keys, *both])
+            loose = out.where(~bound("")).join(r, keys).where(agree), full.join(r.where(~bound("_")), keys).where(agree)
+            mixed = reduce(DataFrame.union, map(merged, (byvalue, *loose)))
         out = mixed.union(out.join(same, keys, "left_semi").select(*keys, *names)).distinct()
+        out = settled(out) if f is not rest[-1] else out
     return out
 
 
@@ -357,7 +370,7 @@ class Runner:
             total = total.groupBy(*tied).agg(F.count_distinct(column).alias("_all"))
         else:
             total = total.agg(F.count_distinct(column).alias("_all"))
-        got = got.distinct()
+        got = settled(got.distinct())
         outer = [c for c in _envs(got) if c != column]
         bound = _bindings(got)
 
@@ -367,10 +380,14 @@ class Runner:
         if not bound:
             n = got.groupBy(*outer, "elt").agg(F.count_distinct(column).alias("_n"))
             return whole(n).select(*outer, "elt")
+        some_null = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in bound))
+        per = whole(got.groupBy(*outer, "elt").agg(F.count_distinct(column).alias("_n"), F.max(some_null).alias("_loose"))).select(*outer, "elt", "_loose")
+        left = got.join(per, [*outer, "elt"])
+        # Bindings without an unbound variable agree if they are equal: those found for every value stay.
+        plain = whole(left.where("NOT _loose").groupBy(*outer, "elt", *bound).agg(F.count_distinct(column).alias("_n"))).select(*outer, "elt", *bound)
         b = F.struct(*bound)
-        sets = got.groupBy(*outer, "elt", column).agg(F.sort_array(F.collect_set(b)).alias("_s"))
-        per = sets.groupBy(*outer, "elt").agg(F.count("*").alias("_n"), F.collect_set("_s").alias("_sets"))
-        per = whole(per)
+        sets = left.where("_loose").groupBy(*outer, "elt", column).agg(F.sort_array(F.collect_set(b)).alias("_s"))
+        per = sets.groupBy(*outer, "elt").agg(F.collect_set("_s").alias("_sets"))
 
         def merged(x, y):
             agree = reduce(lambda p, q: p & q, (x[c].isNull() | y[c].isNull() | (x[c] == y[c]) for c in bound))
@@ -381,7 +398,8 @@ class Runner:
             F.element_at("_sets", 1),
             lambda acc, s: F.array_distinct(F.flatten(F.transform(acc, lambda x: F.filter(F.transform(s, lambda y: merged(x, y)), lambda z: z.isNotNull())))),
         )
-        return per.select(*outer, "elt", F.explode(fold).alias("_b")).select(*outer, "elt", *(F.col(f"_b.{c}").alias(c) for c in bound)).distinct()
+        folded = per.select(*outer, "elt", F.explode(fold).alias("_b")).select(*outer, "elt", *(F.col(f"_b.{c}").alias(c) for c in bound)).distinct()
+        return plain.union(folded)
 
     def tested(self, q: Query, rows: DataFrame, env: Env) -> DataFrame:
         """Found rows that pass a testlike query, with the variables that it used as bindings."""
