@@ -13,11 +13,12 @@ import base64
 import heapq
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,25 @@ class _Cache(dict):
         return value
 
 
+@lru_cache(maxsize=4)
+def stand_ins(pattern: str) -> dict[int, int]:
+    """Code points that a class of ``pattern`` holds here but not in the tiktoken library, or the other way round, each with one
+    that both put where the library puts it. The two are built on different versions of Unicode, so the library itself is
+    asked: under a class as its pattern it gives back the members alone.
+    """
+    points = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    single = {bytes([b]): b for b in range(256)}
+    theirs, ours = np.zeros((2, 0x110000), np.int64)
+    for k, name in enumerate(sorted(set(re.findall(r"\\[pP]\{\w+\}|\\[swdSWD]", pattern)))):
+        library = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={})
+        for held, found in ((theirs, bytes(library.encode_ordinary(points)).decode()), (ours, "".join(regex.findall(name, points)))):
+            held[np.frombuffer(found.encode("utf-32-le"), "<u4")] |= 1 << k
+    agreed = np.flatnonzero(theirs == ours)
+    agreed = agreed[(agreed >= 0x250) & ~((agreed >= 0xD800) & (agreed < 0xE000))]  # beyond the letters that patterns spell out
+    first = dict(zip(*(x.tolist() for x in np.unique(theirs[agreed], return_index=True)), strict=True))
+    return {c: int(agreed[first[int(theirs[c])]]) for c in np.flatnonzero(theirs != ours).tolist()}
+
+
 class RankQueueBpe:
     """Encoder and decoder for a vocabulary of byte strings with ranks."""
 
@@ -64,7 +84,7 @@ class RankQueueBpe:
         self.tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.pieces = _Cache(lambda piece: np.array(self.merge(piece.encode()), "<u4").tobytes(), cache)
         self.spaced = _Cache(self._spaced, cache)
         self.cuts_at_spaces = pattern == SPACED_PATTERN
@@ -137,12 +157,23 @@ class RankQueueBpe:
             i = after[i]
         return ids
 
+    @cached_property
+    def odd(self) -> frozenset[str]:
+        return frozenset(map(chr, stand_ins(self.pattern.pattern)))
+
+    def split(self, text: str) -> list[str]:
+        """The matches of the pattern, by the Unicode tables of the tiktoken library."""
+        if text.isascii() or self.odd.isdisjoint(text):
+            return self.pattern.findall(text)
+        read_as = text.translate(stand_ins(self.pattern.pattern))
+        return [text[slice(*m.span())] for m in self.pattern.finditer(read_as)]
+
     def _cut(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def _spaced(self, word: str) -> bytes:
-        """The ids of a space and a word; of letters alone it is one pre-token."""
-        return self.pieces[" " + word] if word.isalpha() else self._cut(" " + word)
+        """The ids of a space and a word; of ASCII letters alone it is one pre-token."""
+        return self.pieces[" " + word] if word.isascii() and word.isalpha() else self._cut(" " + word)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
