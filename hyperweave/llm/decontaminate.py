@@ -26,10 +26,14 @@ from .anchors import gram_hashes
 from .common import by_batch, packed, read, stored
 
 WINDOW = 13
-#: Items shorter than a window are matched as a whole; those of fewer tokens than this only by texts that are the item.
+#: Items shorter than a window are matched as a whole; those of fewer tokens than this in their own values only.
 WITHIN = 4
-#: Share and number of words that a benchmark window must have; windows with fewer, mostly slots, must agree in all values.
+#: A benchmark window stands for others with new values if this share and number of its tokens are words ...
 LITERAL, LEAST_WORDS = 0.5, 4
+#: ... or if so many are, of which so many are not common. Other windows, mostly slots, must agree in all values.
+FEW_WORDS, UNCOMMON = 3, 2
+#: What a benchmark window proves: with new values; with its own in any text; with its own in a text that has no other words.
+ANEW, OWN, ALONE = 2, 1, 0
 #: A window with more openers is hashed in two readings only: all words, all names.
 OPENERS = 8
 #: Most windows of the benchmark whose hashes are handed to every task (8 bytes each); beyond, a bitmap of FILTER_BITS bits is.
@@ -52,12 +56,14 @@ COMMON = frozenset(
 )
 _NUMBER = re.compile(rb"[^\w]*[+-]?\d[\d.,:/]*(?:st|nd|rd|th)?(%|[a-z]{1,3})?[^\w]*$")
 _EDGE = bytes(b for b in range(33, 128) if not chr(b).isalnum())
+#: Signs that count as words between two numbers.
+OPERATORS = frozenset("+ - * / = < > ^ × ÷ − · ≤ ≥ ≠ ±".encode().split())
 WORD, NUMBER, NAME, UNIT = range(4)
 _SLOT_HASH = np.array([0, *(xxhash.xxh64_intdigest(b"<slot>" + bytes([k])) for k in (NUMBER, NAME, UNIT))], np.uint64)
 
 
 class Canon(dict):
-    """Word -> row of its properties: hash as a literal; bits: number, may be a name, unit, ends a sentence, bare punctuation, common."""
+    """Word -> row of its properties: hash as a literal; bits: number, may be a name, unit, ends a sentence, bare punctuation, common, operator."""
 
     def __init__(self, most: int = VOCABULARY):
         super().__init__()
@@ -72,20 +78,24 @@ class Canon(dict):
         lower = core.decode("utf-8", "replace").lower().encode()
         number = bool(_NUMBER.match(word))
         name = not number and len(lower) > 1 and core[:1].isupper() and core[1:].decode("utf-8", "replace").islower()
-        self.hash[k] = xxhash.xxh64_intdigest(lower)
+        self.hash[k] = xxhash.xxh64_intdigest(lower or word)
         ends = word.rstrip(b"\"')]")[-1:] in b".!?:"
-        self.props[k] = number | name << 1 | (lower in UNITS) << 2 | ends << 3 | (not core) << 4 | (lower in COMMON) << 5
+        self.props[k] = number | name << 1 | (lower in UNITS) << 2 | ends << 3 | (not core) << 4 | (lower in COMMON) << 5 | (word in OPERATORS) << 6
         self[word] = k
         return k
 
     def __call__(self, text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Words that count, their kinds if openers are words, which are openers, which of those are common, literal hashes."""
+        """Words that count, their kinds if openers are words, which are openers, which words are common, literal hashes."""
         if len(self) > self.most:
             self.clear()
         words = text.split()
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         props = self.props[rows]
         keep = props & 16 == 0
+        signs = np.flatnonzero(props & 64 > 0)
+        if len(signs):
+            number = np.pad(props & 1 > 0, 1)  # of the word before i at i, of the one after it at i + 2
+            keep[signs] = number[signs] & number[signs + 2]
         if not keep.all():
             words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
             rows, props = rows[keep], props[keep]
@@ -96,19 +106,19 @@ class Canon(dict):
         kinds[(props & 4 > 0) & (before & 1 > 0)] = UNIT
         kinds[props & 1 > 0] = NUMBER
         opens = named & (before & 8 > 0) & (kinds == WORD)
-        return words, kinds, opens, opens & (props & 32 > 0), self.hash[rows]
+        return words, kinds, opens, props & 32 > 0, self.hash[rows]
 
 
 def _hashes(kinds: np.ndarray, literal: np.ndarray) -> np.ndarray:
     return np.where(kinds == WORD, literal, _SLOT_HASH[kinds])
 
 
-_ROWS = "id long, at int, size int, h long, readings int, plain int, template string, slots array<struct<place:int,kind:int,value:string>>"
+_ROWS = "id long, at int, size int, h long, readings int, proof int, template string, slots array<struct<place:int,kind:int,value:string>>"
 
 
 def _described(words: list[bytes], kinds: np.ndarray, at: int, size: int) -> tuple[str, list[dict]]:
     """The template of one window in full, and the values in its slots with their places in the text."""
-    plain = [w.strip(_EDGE).decode("utf-8", "replace").lower() for w in words[at : at + size]]
+    plain = [(w.strip(_EDGE) or w).decode("utf-8", "replace").lower() for w in words[at : at + size]]
     ks = kinds[at : at + size].tolist()
     template = " ".join(w if k == WORD else f"<{k}>" for w, k in zip(plain, ks, strict=True))
     return template, [{"place": at + i, "kind": k, "value": w} for i, (w, k) in enumerate(zip(plain, ks, strict=True)) if k != WORD]
@@ -118,7 +128,16 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*out, strict=True)) if out else [[]] * 8
     slots = pa.list_(pa.struct([("place", pa.int32()), ("kind", pa.int32()), ("value", pa.string())]))
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), slots]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "at", "size", "h", "readings", "plain", "template", "slots"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "at", "size", "h", "readings", "proof", "template", "slots"])
+
+
+def _proof(kinds: np.ndarray, common: np.ndarray) -> int:
+    """What a window of these kinds proves. Names count as words where nothing matches but the window's own values."""
+    size, plain = len(kinds), kinds == WORD
+    if size < WITHIN:
+        return OWN if np.count_nonzero((plain | (kinds == NAME)) & ~common) >= UNCOMMON else ALONE
+    n, rare = np.count_nonzero(plain), np.count_nonzero(plain & ~common)
+    return ANEW if n >= max(LITERAL * size, LEAST_WORDS) or n >= FEW_WORDS and rare >= UNCOMMON else OWN
 
 
 def item_windows(df: DataFrame) -> DataFrame:
@@ -129,7 +148,7 @@ def item_windows(df: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                words, kinds, opens, _, literal = canon(text or b"")
+                words, kinds, opens, common, literal = canon(text or b"")
                 size = min(WINDOW, len(words))
                 for at in range(len(words) - size + 1 if words else 0):
                     places = np.flatnonzero(opens[at : at + size]) + at
@@ -139,7 +158,7 @@ def item_windows(df: DataFrame) -> DataFrame:
                         read_as[places[np.array(names, bool)]] = NAME
                         h = gram_hashes(_hashes(read_as[at : at + size], literal[at : at + size]), size)
                         template, slots = _described(words, read_as, at, size)
-                        out.append((i, at, size, int(h.view(np.int64)[0]), 0, int(np.count_nonzero(read_as[at : at + size] == WORD)), template, slots))
+                        out.append((i, at, size, int(h.view(np.int64)[0]), 0, _proof(read_as[at : at + size], common[at : at + size]), template, slots))
             yield _batch(out)
 
     return by_batch(df, _ROWS, body)
@@ -148,7 +167,7 @@ def item_windows(df: DataFrame) -> DataFrame:
 def text_windows(df: DataFrame, sizes: tuple[int, ...], wanted: np.ndarray | None, bitmap: np.ndarray) -> DataFrame:
     """(id, text) -> rows of _ROWS: windows of each size whose hash is in ``bitmap`` (packed, by its low bits) and ``wanted`` (sorted; None: any).
 
-    readings: bits for openers as names unless common (1), as words (2), as names (4). Sizes under WITHIN: whole texts only.
+    readings: bits for openers as names unless common (1), as words (2), as names (4). proof: 1 if the window is the whole text.
     """
     low = np.uint64(8 * len(bitmap) - 1)
 
@@ -171,11 +190,12 @@ def text_windows(df: DataFrame, sizes: tuple[int, ...], wanted: np.ndarray | Non
             out: list[tuple] = []
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 words, kinds, opens, common, literal = canon(text or b"")
+                common = opens & common
                 as_words, as_names = kinds, np.where(opens, NAME, kinds)
                 mixed = np.where(common, WORD, as_names)
                 hashes = [_hashes(k, literal) for k in (mixed, as_words, as_names)]
                 for size in sizes:
-                    if len(words) < size or size < WITHIN and len(words) != size:
+                    if len(words) < size:
                         continue
                     # Windows whose reading differs from the first one.
                     differ = [None, holding(opens & ~common, size), holding(common, size)]
@@ -186,7 +206,7 @@ def text_windows(df: DataFrame, sizes: tuple[int, ...], wanted: np.ndarray | Non
                         for at in hits(h, differ[r]).tolist():
                             readings = 1 << r if r else 1 | (not differ[1][at]) << 1 | (not differ[2][at]) << 2
                             template, slots = _described(words, read_as, at, size)
-                            out.append((i, at, size, int(h[at].view(np.int64)), readings, 0, template, slots))
+                            out.append((i, at, size, int(h[at].view(np.int64)), readings, int(len(words) == size), template, slots))
             yield _batch(out)
 
     return by_batch(df, _ROWS, body)
@@ -212,8 +232,8 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text) and (item_id, text) -> doc_id, item_id, n_windows, n_slots of the best alignment that agrees.
 
     A document is contaminated by an item if it has one row here. Items shorter than a window are matched as a whole, those
-    of fewer than WITHIN tokens by texts that are the item and nothing else. Windows that are mostly slots match in
-    their own values only. Null ids and texts match nothing, nor do texts without words. Repeated items give a row each;
+    of fewer than WITHIN tokens in their own values, and with under UNCOMMON words that are not common by texts that are the item
+    and nothing else. Windows with too few words (see LITERAL, FEW_WORDS) match in their own values only. Null ids and texts match nothing, nor do texts without words. Repeated items give a row each;
     documents that repeat an id count as one. Texts may be of any length.
     """
     cleaned = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").alias("id"), "text")
@@ -221,12 +241,12 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     used = tuple(sorted(r["size"] for r in bench.select("size").distinct().collect()))  # at most WINDOW
     wanted, bitmap = hash_filter(bench.select("h").distinct())
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
-    found = text_windows(texts, used, wanted, bitmap).drop("plain")
-    b = bench.select("h", "size", "template", "plain", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+    found = text_windows(texts, used, wanted, bitmap).withColumnRenamed("proof", "alone")
+    b = bench.select("h", "size", "template", "proof", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     hit = found.withColumnRenamed("id", "doc_id").join(b, ["h", "size", "template"])
     own = F.coalesce(F.col("slots")["value"] == F.col("item_slots")["value"], F.lit(False))
-    thin = (F.col("plain") < LITERAL * F.col("size")) | (F.col("plain") < LEAST_WORDS)
-    hit = hit.select("doc_id", "item_id", "at", (F.col("at") - F.col("item_at")).alias("shift"), "readings", own.alias("own"), thin.alias("thin"), "slots", "item_slots").where("own OR NOT thin")
+    thin = F.col("proof") < ANEW
+    hit = hit.where((F.col("proof") >= OWN) | (F.col("alone") > 0)).select("doc_id", "item_id", "at", (F.col("at") - F.col("item_at")).alias("shift"), "readings", own.alias("own"), thin.alias("thin"), "slots", "item_slots").where("own OR NOT thin")
     hit = stored(hit, "matches")
     bits = F.filter(F.array(*map(F.lit, (1, 2, 4))), lambda r: F.col("readings").bitwiseAND(r) > 0)
     hit = hit.withColumn("reading", F.explode(bits))

@@ -251,13 +251,13 @@ def brute_matches(docs, items):
 
     def read(text):
         words, kinds, opens, common, _ = canon(text.encode())
-        return [w.strip(decontaminate._EDGE).decode().lower() for w in words], kinds.tolist(), opens.tolist(), common.tolist()
+        return [(w.strip(decontaminate._EDGE) or w).decode().lower() for w in words], kinds.tolist(), opens.tolist(), common.tolist()
 
     for d, text in docs:
         w, kinds, opens, common = read(text or "")
         readings = [[name if o and not c else k for k, o, c in zip(kinds, opens, common, strict=True)], kinds, [name if o else k for k, o in zip(kinds, opens, strict=True)]]
         for m, item in items:
-            v, vk, vo, _ = read(item or "")
+            v, vk, vo, vc = read(item or "")
             n = min(size, len(v))
             best = 0
             for shift in range(-len(v), len(w)) if n else ():
@@ -265,17 +265,20 @@ def brute_matches(docs, items):
                     own, other, place = set(), set(), set()
                     for j in range(len(v) - n + 1):
                         i = j + shift
-                        if i < 0 or i + n > len(w) or n < decontaminate.WITHIN and len(w) != n:
+                        if i < 0 or i + n > len(w):
                             continue
                         # The item's reading is that of the text where its word is an opener.
                         as_read = [k if o and k in (word, name) else x for k, x, o in zip(ks[i : i + n], vk[j : j + n], vo[j : j + n], strict=True)]
                         if as_read != ks[i : i + n] or any(k == word and x != y for k, x, y in zip(as_read, w[i : i + n], v[j : j + n], strict=True)):
                             continue
                         plain = as_read.count(word)
+                        rare = sum((k == word or n < 4 and k == name) and not c for k, c in zip(as_read, vc[j : j + n], strict=True))
+                        if n < 4 and len(w) != n and rare < 2:
+                            continue
                         slots = [(k, x, y) for k, x, y in zip(as_read, w[i : i + n], v[j : j + n], strict=True) if k != word]
                         if all(x == y for _, x, y in slots):
                             own.add(i)
-                        if plain >= decontaminate.LITERAL * n and plain >= decontaminate.LEAST_WORDS:
+                        if n >= 4 and (2 * plain >= n and plain >= 4 or plain >= 3 and rare >= 2):
                             other.add(i)
                             place |= set(slots)
                     torn = len({(k, x) for k, x, _ in place}) < len(place) or len({(k, y) for k, _, y in place}) < len(place)
@@ -309,6 +312,20 @@ def test_decontamination(spark, words, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, bench).collect()} == got
 
 
+def test_decontamination_of_short_and_slot_heavy_items(spark, words):
+    rng = random.Random(31)
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(0, "Anna sold 14 pens to Boris"), (1, "Compute 12 + 35 * 41 - 17 / 5"), (2, "Name three colours"), (3, "What is it"), (4, "Anna met Boris and Anna paid 3 and 4")]
+    docs = [
+        make(9) + " Maria sold 99 pens to Felix " + make(9), make(9) + " Maria sold 99 pens for Felix " + make(9), make(5) + ". Compute 8 + 3 * 77 - 20 / 9 " + make(5), make(5) + ". Compute 8 - 3 * 77 - 20 / 9 " + make(5),
+        make(4) + " compute 8 3 77 20 9 " + make(4), make(9) + " Name three colours " + make(9), make(9) + " what is it " + make(9), "What is it?", make(3) + " Maria met Felix and Maria paid 5 and 6 " + make(3), make(3) + " Maria met Felix and Felix paid 5 and 6 " + make(3),
+        "1 - 2 * 3 / 4 + 5 " * 50, "+ - * /", "- 5 + " + make(3),
+    ]
+    docs = list(enumerate(docs))
+    got = {(r["doc_id"], r["item_id"], r["n_windows"]) for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {x[:2] for x in got} == {(0, 0), (2, 1), (5, 2), (7, 3), (8, 4)} and got == brute_matches(docs, items)
+
+
 def test_decontamination_by_brute_force(spark, words):
     """Random templates whose slots are filled anew, rightly or not, in texts that open sentences with names, common words and others."""
     rng = random.Random(23)
@@ -416,6 +433,18 @@ def test_bpe(docs, empty, library):
         coder.decode(np.array([10**6], "<u4").tobytes())
 
 
+def test_bpe_of_any_code_points(library):
+    """Letters that the newest versions of Unicode added are what the library takes them for."""
+    vocabulary = byte_bpe.default_vocabulary()
+    coder, rng = byte_bpe.RankQueueBpe(byte_bpe.load_ranks(vocabulary[0]), vocabulary[1]), random.Random(8)
+    odd = sorted(byte_bpe.stand_ins(vocabulary[1]))
+    any_one = lambda: chr(rng.choice((rng.randrange(0xD800), rng.randrange(0xE000, 0x110000), rng.randrange(128), rng.randrange(0x3000), 32, *rng.choices(odd, k=2))))
+    assert odd
+    for _ in range(30_000):
+        text = "".join(any_one() for _ in range(rng.randint(1, 25)))
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode_ordinary(text), [hex(ord(c)) for c in text]
+
+
 def test_permutation():
     for n in (1, 2, 3, 10, 1000, 4097):
         p = token_shards.permute(np.arange(n), n, 3)
