@@ -1,4 +1,4 @@
-"""Reach, closure, paths and cycles along binary templates: loops over frontiers, one distributed join a round."""
+"""Reach, closure, paths and cycles along binary templates: loops over frontiers or doubled pairs, one distributed join a round."""
 
 from __future__ import annotations
 
@@ -36,16 +36,68 @@ def reach(space: Space, tplts: DataFrame, starts: DataFrame, direction: str = "r
     return grown(starts.select("addr"), lambda f: f.join(steps, f["addr"] == steps["at"]).select(F.col("to").alias("addr")), ["addr"])
 
 
+#: Pairs are doubled if the graph that is left has at most so many nodes for each one that the walks begin at.
+ROOM = 4
+
+
+def _past(links: DataFrame, fixed: DataFrame) -> DataFrame:
+    """links (at, to) without the nodes that have one link in, unless they are fixed: what they lead to hangs on the first node above that stays.
+
+    A circle of such nodes alone, without a fixed one, cannot be entered and goes.
+    """
+    single = links.groupBy("to").agg(F.count("*").alias("n"), F.first("at").alias("up")).where("n = 1").select(F.col("to").alias("node"), "up")
+    single = settled(single.join(fixed.select(F.col("addr").alias("node")), "node", "left_anti"))
+    if single.isEmpty():
+        return links
+    above, _ = followed(single, lambda mine, on: {})
+    kept = links.join(single.select(F.col("node").alias("to")), "to", "left_anti")
+    direct = kept.join(single.select(F.col("node").alias("at")), "at", "left_anti").select("at", "to")
+    return settled(direct.union(kept.join(above.withColumnRenamed("node", "at"), "at").select(F.col("up").alias("at"), "to")).distinct())
+
+
+def _kernel(steps: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(at, to): a smaller graph in which the same fixed nodes lead to each other."""
+    turned = lambda links: links.select(F.col("to").alias("at"), F.col("at").alias("to"))
+    links = turned(_past(turned(_past(steps, fixed)), fixed))
+    goes_on = links.select(F.col("at").alias("to")).union(fixed.select(F.col("addr").alias("to"))).distinct()
+    return settled(links.join(goes_on, "to", "left_semi").select("at", "to"))
+
+
+def _doubled(links: DataFrame) -> DataFrame:
+    """(at, to) of all nodes that lead to others. Round k goes on from the pairs exactly 2^k apart, so rounds go with the logarithm of the way.
+
+    A pair further apart has a first leg of that length on its shortest way, so none is missed and few are met twice.
+    """
+    known = settled(links.select("at", "to", F.lit(1).cast("long").alias("far")))
+    reach_, legs = 1, known
+    while not legs.isEmpty():
+        on = known.select(F.col("at").alias("_at"), F.col("to").alias("_to"), F.col("far").alias("_far"))
+        longer = legs.join(on, legs["to"] == on["_at"]).groupBy("at", F.col("_to").alias("to")).agg((F.min("_far") + F.lit(reach_)).alias("far"))
+        new = settled(longer.join(known, ["at", "to"], "left_anti"))
+        reach_ *= 2
+        known, legs = known.union(new), new.where(F.col("far") == reach_)
+    return known.select("at", "to")
+
+
 def reach_pairs(space: Space, tplts: DataFrame, starts: DataFrame, ends: DataFrame, direction: str = "right") -> DataFrame:
     """(left, right) for each left member among ``starts`` that leads to a right member among ``ends``, or is it.
 
-    direction: from which side the walk goes; the pairs are the same.
+    direction: from which side the walk goes; the pairs are the same. Nodes that are neither and have one way in or one way out are
+    passed over first. If few but the asked nodes are left (ROOM), the pairs are doubled; else walks go on step by step from the asked side alone,
+    as doubling would make pairs of nodes that nobody asked for. The pairs are the same either way.
     """
+    starts, ends = settled(starts.select("addr").distinct()), settled(ends.select("addr").distinct())
     first, last = (starts, ends) if direction == "right" else (ends, starts)
-    steps = settled(_steps(space, tplts, direction))
-    seed = first.select(F.col("addr").alias("start"), "addr")
-    found = grown(seed, lambda f: f.join(steps, f["addr"] == steps["at"]).select("start", F.col("to").alias("addr")), ["start", "addr"])
-    hit = found.join(last.select("addr"), "addr", "left_semi")
+    links = _kernel(settled(_steps(space, tplts, direction)), starts.union(ends).distinct())
+    # Made by a generator: a checkpoint keeps constraints of plain columns under attributes that a later union may not know.
+    seed = first.select(F.inline_outer(F.array(F.struct(F.col("addr").alias("start"), "addr"))))
+    nodes = links.select("at").union(links.select("to")).distinct().count()
+    if nodes <= ROOM * first.count():
+        found = _doubled(links).join(first.withColumnRenamed("addr", "at"), "at", "left_semi").select(F.col("at").alias("start"), F.col("to").alias("addr"))
+        found = found.union(seed)
+    else:
+        found = grown(seed, lambda f: _onward(links, f), ["start", "addr"])
+    hit = found.join(last, "addr", "left_semi")
     a, b = ("start", "addr") if direction == "right" else ("addr", "start")
     return hit.select(F.col(a).alias("left"), F.col(b).alias("right")).distinct()
 

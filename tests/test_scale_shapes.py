@@ -1,5 +1,8 @@
 """Shapes that a round for each step, or a row for each way, would not get through."""
 
+from functools import reduce
+from operator import or_
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +126,45 @@ def test_deep_trees(spark):
     assert deep.agg(F.max(F.size("path"))).first()[0] == 13 and navigate.unnest(s, top, 2).agg(F.max(F.size("path"))).first()[0] == 2
     with pytest.raises(RecursionError):
         navigate.unnest(Space(rows_to_expr(spark, [*chain[:3], (3, "rel", ([3, 0], 2))])), spark.createDataFrame([(3,)], "addr long"))
+
+
+def brute_pairs(pairs, starts, ends):
+    out = set()
+    for s in starts:
+        seen, todo = {s}, [s]
+        while todo:
+            at = todo.pop()
+            new = {b for a, b in pairs if a == at} - seen
+            seen |= new
+            todo += new
+        out |= {(s, e) for e in seen & set(ends)}
+    return out
+
+
+def test_pairs_by_doubling_and_by_walks(spark, monkeypatch):
+    """Trees, circles, joins, self-loops and dead ends; both ways of going on, both directions."""
+    pairs = [(f"a{i}", f"a{i + 1}") for i in range(12)] + [("a3", "b0"), ("b0", "b1"), ("b1", "a7"), ("b1", "dead"), ("dead", "deader"), ("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("a9", "r1"), ("r2", "z"), ("o0", "o1"), ("o1", "o0"), ("o1", "a2"), ("a5", "a5"), ("in", "a0"), ("t", "a4"), ("t", "r0")]
+    s, t = leads(spark, pairs)
+    nodes = {x for p in pairs for x in p}
+    some = lambda names: find(s, reduce(or_, map(phrase, sorted(names))))
+    cases = [(nodes, nodes), ({"a0", "o0", "t"}, {"z", "a12", "r1", "o0"}), ({"r0", "a5", "z"}, {"r0", "a5", "deader"}), ({"in"}, {"z"}), ({"deader"}, {"in"})]
+    for room in (0, 1_000):
+        monkeypatch.setattr(transitive, "ROOM", room)
+        for (starts, ends), direction in zip(cases, ("right", "left", "right", "left", "right"), strict=True):
+            got = transitive.reach_pairs(s, t, some(starts), some(ends), direction)
+            assert texts(s, got, "left", "right") == sorted(brute_pairs(pairs, starts, ends)), (room, starts, direction)
+    assert transitive.reach_pairs(s, t, some({"in"}).limit(0), some({"z"})).isEmpty()
+
+
+def test_closure_of_a_long_chain_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    keep = transitive.settled
+    monkeypatch.setattr(transitive, "settled", lambda df: rounds.append(1) or keep(df))
+    s, t = leads(spark, [(f"n{i}", f"n{i + 1}") for i in range(1024)])
+    links = transitive.edges(s, t)
+    everything = links.select(F.col("src").alias("addr")).union(links.select("dst"))
+    assert transitive.closure(s, t, everything).count() == 1025 * 1026 // 2
+    assert len(rounds) <= 22
+    rounds.clear()
+    assert transitive.reach_pairs(s, t, find(s, phrase("n0")), find(s, phrase("n1024"))).count() == 1  # a chain of nodes that nobody asked for is one link
+    assert len(rounds) <= 10
