@@ -97,7 +97,9 @@ def materialise(docs: DataFrame, out: str, vocabulary: str, pattern: str, key: i
     each sequence that holds part of it, its end token included. Null texts count as empty and give an end token alone.
     Repeated rows are written as often as they occur. No rows give no shards. The end token is the first id that the
     vocabulary leaves free; it also fills the last sequence. Ids take two bytes if they fit, else four. The order before
-    the permutation is that of the input's partitions, and so is fixed for a fixed input layout.
+    the permutation is that of the input's partitions, and so is fixed for a fixed input layout. Very long texts go on over as
+    many sequences as they need, with a row for each; a text and its ids are one value of a row, hence below 2 GB.
+    doc_id is cast to long, so ids that are no numbers fail. Other columns are ignored.
     """
     spark = docs.sparkSession
     name = ship(spark, vocabulary)

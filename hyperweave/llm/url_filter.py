@@ -119,7 +119,9 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", default
 
     A rule ``host/path`` fits a URL whose host is that host or a subdomain and whose path starts with the rule's path;
     the longest one wins (of equal lengths, the lesser string). Without a rule the digest array has no entry for the
-    URL, and the verdict is ``default``. Null and malformed URLs have empty host and path, hence no rule. Rows are
+    URL, and the verdict is ``default``. Null and malformed URLs have empty host and path, hence no rule. URLs of any length are
+    judged whole: a path is probed at the lengths that paths of rules have, a host at each of its dots (work goes with the square of a host's length).
+    Rows are
     neither merged nor lost; columns named host, path, rule or verdict are replaced. More than MAX_SHIPPED rules are
     refused here: ``judge_joined`` takes them as a table.
     """

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -214,6 +215,43 @@ def test_top_k(spark, monkeypatch):
         topk_search._products(big, big * 2**22)
 
 
+def test_quality_scores_are_sums_over_tables(spark, docs):
+    """Each score again by plain loops: the bin of a value is the number of edges that it reaches."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["clear", "words", "here", "###", "BUY", "now!!", "1234"]) for _ in range(rng.randint(1, 200)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(x.count("BUY") * 8 < len(x.split()))) for i, x in rows], "doc_id long, quality int")
+    model = quality_gam.fit(df, labels)
+    assert any(t.any() for t in model.tables) and model.pairs
+    place = lambda edges, v: sum(1 for e in edges if e <= v)
+
+    def plain(text):
+        x = quality_gam.features((text or "").encode())
+        z = float(model.intercept)
+        for edges, table, v in zip(model.edges, model.tables, x, strict=True):
+            z += float(table[place(edges, v)])
+        for i, j, a, b, grid in model.pairs:
+            z += float(grid[place(a, x[i])][place(b, x[j])])
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+    for frame in (df, docs.select("doc_id", "text")):
+        want = sorted((-1 if r["doc_id"] is None else r["doc_id"], plain(r["text"])) for r in frame.collect())
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in quality_gam.score(frame, model).collect())
+        assert [d for d, _ in got] == [d for d, _ in want] and np.allclose([x for _, x in got], [x for _, x in want])
+
+
+def test_very_long_urls(spark):
+    """A rule at the start of a path of a million characters, and hosts of very many labels, by both ways."""
+    long = "x/" * 500_000
+    urls = [f"https://a.example.org/keep/{long}?q", f"https://a.example.org/{long}", "http://" + "sub." * 300 + "bad.net/" + long, "http://" + "sub." * 300 + "good.net/", "http://" + "h" * 300_000 + "/", None]
+    rules = [("block", "example.org/"), ("allow", "example.org/keep/"), ("block", "bad.net/x/x/")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = ["example.org/keep/", "example.org/", "bad.net/x/x/", None, None, None]
+    for out in (url_filter.judge(df, rules), url_filter.judge_joined(df, spark.createDataFrame(rules, "verdict string, rule string"))):
+        rows = sorted(out.select("page_id", "rule", "verdict").collect())
+        assert [r["rule"] for r in rows] == want and [r["verdict"] for r in rows] == ["allow", "block", "block", "allow", "allow", "allow"]
+
+
 def test_quality(spark, words):
     rng = random.Random(2)
     make = lambda n: " ".join(rng.choice(words) for _ in range(n))
