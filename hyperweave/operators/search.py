@@ -34,10 +34,11 @@ class Term:
 
 @dataclass(frozen=True)
 class ByKey(Term):
-    """One expression by its content. text: if it is a phrase."""
+    """One expression by its content. kind: if it is known; text: if it is a phrase."""
 
     key: str
     text: str | None = None
+    kind: str | None = None
 
 
 @dataclass(frozen=True)
@@ -129,12 +130,12 @@ ANY, IT = Any(), It()
 
 
 def phrase(text: str) -> Term:
-    return ByKey(phrase_key(text), text)
+    return ByKey(phrase_key(text), text, "phrase")
 
 
 def template(text: str) -> Term:
     """By its text, such as ``_ is _``."""
-    return ByKey(template_key(text))
+    return ByKey(template_key(text), kind="tplt")
 
 
 def addr(*parts) -> Term:
@@ -325,7 +326,10 @@ class Compiler:
         return out
 
     def _ByKey(self, t: ByKey) -> DataFrame:
-        return self.space.expr.where(F.col("key") == t.key).select("addr")
+        """Kind and text are conditions that reach the scan of tables; the key alone would have to be made of all rows."""
+        rows = self.space.expr if t.kind is None else self.space.expr.where(F.col("kind") == t.kind)
+        rows = rows if t.text is None else rows.where(F.col("phrase") == t.text)
+        return rows.where(F.col("key") == t.key).select("addr")
 
     def _Addrs(self, t: Addrs) -> DataFrame:
         condition = F.lit(False)
@@ -372,8 +376,15 @@ class Compiler:
                 rows = rows.join(found, [f"m{role}", *(v for v in names if v in rows.columns)], "inner" if names else "left_semi")
         return rows
 
+    def _unstated(self, t: Term) -> bool:
+        """Whether the space was made from tables none of which states the named template of a role map, so that nothing is found."""
+        tplt = dict(t.roles).get("t") if isinstance(t, Roles) else None
+        return self.space.rels is not None and not self.space.strict and isinstance(tplt, ByKey) and not variables(t) and self.space.rels(tplt.key, {}) is None
+
     def _Roles(self, t: Roles) -> DataFrame:
         """The template restricts member rows through their own ``tplt`` column, so its popular rows are never joined."""
+        if self._unstated(t):
+            return self.space.expr.where(F.lit(False)).select("addr")
         stated = self._stated(t)
         if stated is not None:
             return stated.select(F.col("host").alias("addr"), *(c for c in stated.columns if c != "host" and not _is_member(c))).distinct()
@@ -384,7 +395,7 @@ class Compiler:
             name, ix = role_of(role)
             rows = self.space.role(name).where(F.col("ix") == ix)
             if tplt is not None and name == "member":
-                known = tplt.withColumnRenamed("addr", "tplt")
+                known = F.broadcast(tplt.withColumnRenamed("addr", "tplt"))
                 rows = rows.join(known, "tplt") if _vars(tplt) else rows.join(known, "tplt", "left_semi")
             rows = rows.select(F.col("host").alias("_host"), F.col("child").alias("addr"), *(_vars(tplt) if tplt is not None and name == "member" else ()))
             found = self(child)
@@ -394,7 +405,7 @@ class Compiler:
             out = hosts if out is None else _meet(out, hosts)
         if tplt is not None and (out is None or not any(role_of(r)[0] == "member" for r in of)):
             rels = self.space.expr.where("kind = 'rel'").select("addr", "tplt")
-            known = tplt.withColumnRenamed("addr", "tplt")
+            known = F.broadcast(tplt.withColumnRenamed("addr", "tplt"))
             mine = rels.join(known, "tplt") if _vars(tplt) else rels.join(known, "tplt", "left_semi")
             mine = mine.drop("tplt").distinct()
             out = mine if out is None else _meet(out, mine)
@@ -411,6 +422,8 @@ class Compiler:
         return seen.distinct()
 
     def _Eval(self, t: Eval) -> DataFrame:
+        if self._unstated(t.term):
+            return self.space.expr.where(F.lit(False)).select("addr")
         stated = self._stated(t.term) if all(len(p) == 1 and isinstance(p[0], int) for p in t.paths) else None
         if stated is not None and all(f"m{p[0]}" in stated.columns for p in t.paths):
             names = [c for c in stated.columns if c != "host" and not _is_member(c)]
@@ -483,7 +496,7 @@ def matches(space: Space, addrs: DataFrame, term: Term) -> DataFrame:
 def transitive_rels(space: Space) -> DataFrame:
     """Relationships whose template is declared transitive."""
     declared = eval_(rel("_ is _", IT, phrase("transitive")))
-    return space.expr.where("kind = 'rel'").join(find(space, declared).withColumnRenamed("addr", "tplt"), "tplt", "left_semi").select("addr")
+    return space.expr.where("kind = 'rel'").join(F.broadcast(find(space, declared & templates()).withColumnRenamed("addr", "tplt")), "tplt", "left_semi").select("addr")
 
 
 def match_counts(space: Space, addrs: DataFrame, searches: dict[str, Term], name: str = "it") -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import dense_ids, settled
+from ..functions.frames import dense_ids, measured_broadcasts, settled
 from .space import EXPR, Space, phrase_key, rel_key, template_key, template_parts, tplt_key
 
 
@@ -182,34 +182,92 @@ def stated_rels(statements, key: str, constants: dict[int, tuple[str, str | None
 
 
 def hashed_space(*statements: tuple[DataFrame, object]) -> Space:
-    """A space of (df, pattern) statements whose addresses are 64-bit hashes of the content: wholly lazy, one merge by key,
+    """A space of (df, pattern) statements whose addresses are 64-bit hashes of the content: wholly lazy, one merge by content,
     no numbering. For loads of up to a few billion expressions; ``collision_free_space`` and ``load`` are for more.
     """
-    return _addressed(statements, _distinct_nodes(statements), hash_address)
+    return _addressed(statements, hash_address)
 
 
 def collision_free_space(*statements: tuple[DataFrame, object], bits: int = 64) -> Space:
     """As hashed_space, but different contents never share an address: keys whose hashes meet are found first (one exchange of the
     merged keys, which are settled for it), and all but the least of them move. bits: of the hash.
     """
-    one = settled(_distinct_nodes(statements))
-    moved = moved_keys(one.select("key"), bits)
-    return _addressed(statements, one, lambda key: hash_address(key, moved, bits))
+    moved = moved_keys(settled(_addressed(statements, hash_address).expr.select("key")), bits)
+    return _addressed(statements, lambda key: hash_address(key, moved, bits))
 
 
-def _distinct_nodes(statements) -> DataFrame:
-    parts = None
-    for df, pattern in statements:
-        n = nodes(df, pattern)
-        parts = n if parts is None else parts.unionByName(n)
-    return parts.drop("stmt", "step").dropDuplicates(["key"])
+def _leaves(pattern) -> list[P]:
+    """The phrases of a pattern, left to right; those of templates are constant and left out."""
+    if isinstance(pattern, R):
+        return [p for m in pattern.members for p in _leaves(m)]
+    return [pattern] if isinstance(pattern, P) else []
+
+
+def _shape(pattern):
+    """What a pattern states beside its phrases: expressions are the same if their shapes and the texts of their phrases are."""
+    if isinstance(pattern, R):
+        return template_key(pattern.template), tuple(_shape(m) for m in pattern.members)
+    return template_key(pattern.text) if isinstance(pattern, T) else None
+
+
+def _refilled(pattern, texts):
+    """The pattern with other phrases: the next ones of the iterator."""
+    if isinstance(pattern, R):
+        return R(pattern.template, *[_refilled(m, texts) for m in pattern.members])
+    return P(next(texts)) if isinstance(pattern, P) else pattern
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out, *rest = parts
+    for part in rest:
+        out = out.union(part)
+    return out
 
 
-def _addressed(statements, one: DataFrame, address) -> Space:
-    many = lambda c: F.transform(c, lambda x: address(x))
-    one_of = lambda c: F.when(F.col(c).isNotNull(), address(F.col(c)))
-    rows = one.select(address(F.col("key")).alias("addr"), "kind", "arity", "phrase", one_of("tplt_key").alias("tplt"), many("member_keys").alias("members"), one_of("left_key").alias("cap_left"), many("sep_keys").alias("seps"), one_of("right_key").alias("cap_right"), "key")
-    return Space(rows, rels=lambda key, constants: stated_rels(statements, key, constants, address))
+def _addressed(statements, address) -> Space:
+    """One branch of rows for each kind and shape, merged by the texts of its phrases; keys and addresses are made after that.
+
+    So an exchange carries the texts alone, and a search for a kind or a phrase leaves the other branches out or filters them at the scan.
+    """
+    measured_broadcasts(statements[0][0].sparkSession)
+    at = lambda k: address(F.lit(k) if isinstance(k, str) else k)
+    phrases, tplts, rels = [], [], {}
+    for df, pattern in statements:
+        found = _postorder(pattern)
+        varying = [x.column() for kind, key, x in found if kind == "phrase" and not isinstance(key, str)]
+        constant = sorted({x.text for kind, key, x in found if kind == "phrase" and isinstance(key, str)})
+        one = df.limit(1)  # expressions without a column are stated if the table has a row
+        for rows, texts in ((df, varying), (one, [F.lit(x) for x in constant])):
+            if texts:
+                phrases.append(rows.select(F.explode(F.array(*texts)).alias("phrase")).where("phrase IS NOT NULL"))
+        for key, (left, seps, right) in {key: x for kind, key, x in found if kind == "tplt"}.items():
+            cap = lambda c: F.lit(None).cast("long") if c is None else at(phrase_key(c))
+            parts = F.array(*(at(phrase_key(x)) for x in seps)).cast("array<long>")
+            tplts.append(one.select(F.lit(key).alias("key"), F.lit(len(seps) + 1).alias("arity"), cap(left).alias("cap_left"), parts.alias("seps"), cap(right).alias("cap_right")))
+        for kind, key, x in found:
+            if kind == "rel":
+                texts = [p.column() for p in _leaves(x)]
+                rows = (one if isinstance(key, str) else df).select(*(t.alias(f"x{i}") for i, t in enumerate(texts)), F.lit(1).alias("_x"))
+                rows = rows.where(" AND ".join(["_x = 1", *(f"x{i} IS NOT NULL" for i in range(len(texts)))]))
+                rels.setdefault(_shape(x), (x, []))[1].append(rows)
+
+    def shaped(rows: DataFrame, kind: str, key, **columns) -> DataFrame:
+        """All columns of an expr; key may be one already."""
+        rows = rows if key is None else rows.withColumn("key", F.lit(key) if isinstance(key, str) else key)
+        given = {"addr": at(F.col("key")), "kind": F.lit(kind), "key": F.col("key")} | columns
+        return rows.select(*(given.get(c, F.lit(None).cast(t)).alias(c) for c, t in (x.split() for x in EXPR.split(", "))))
+
+    out, kept = [], {c: F.col(c) for c in ("arity", "cap_left", "seps", "cap_right")}
+    if phrases:
+        out.append(shaped(_union(phrases).distinct(), "phrase", phrase_key(F.col("phrase")), arity=F.lit(0), phrase=F.col("phrase")))
+    if tplts:
+        out.append(shaped(_union(tplts).dropDuplicates(["key"]), "tplt", None, **kept))
+    for pattern, parts in rels.values():
+        merged = _union(parts).distinct()
+        r = _refilled(pattern, (F.col(f"x{i}") for i in range(len(_leaves(pattern)))))
+        members = F.array(*(at(m.key()) for m in r.members))
+        out.append(shaped(merged, "rel", r.key(), arity=F.lit(len(r.members)), tplt=at(template_key(r.template)), members=members))
+    return Space(_union(out), rels=lambda key, constants: stated_rels(statements, key, constants, address))
 
 
 def load_rows(expr: DataFrame, df: DataFrame, pattern, order: Column | None = None, start: int | None = None) -> tuple[DataFrame, DataFrame]:

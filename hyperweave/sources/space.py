@@ -183,9 +183,8 @@ class Space:
         return find(self, h)
 
     def cached(self) -> Space:
-        """Both tables settled in the shared folder, for use in many searches."""
-        e = settled(self.expr)
-        return Space(e, settled(positions(e)), self.strict)
+        """expr settled in the shared folder, for use in many searches; pos is read from it, as its rows would take more room."""
+        return Space(settled(self.expr), strict=self.strict)
 
     def phrases(self, addrs: DataFrame, column: str = "addr", out: str = "text") -> DataFrame:
         """``addrs`` with the text of the phrase at ``column``; rows whose address is no phrase go."""
