@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import settled
+from ..functions.frames import settled, small_side
 from ..sources.space import Space
 
 
@@ -62,11 +62,14 @@ def unnest(space: Space, addrs: DataFrame, max_depth: int | None = None) -> Data
     RecursionError.
     """
     at = settled(addrs.select(F.col("addr").alias("root"), F.array().cast("array<string>").alias("path"), "addr", F.array().cast("array<long>").alias("above")).distinct())
+    inside = space.pos.withColumnRenamed("host", "addr").select("addr", "role", "ix", "child", "host_kind")
+    of_tplts = F.broadcast(inside.where("host_kind = 'tplt'"))
+    is_tplt = F.coalesce(F.try_element_at("path", F.lit(-1)).startswith("tplt:"), F.lit(False))  # very many at one address
     out = at
     step = F.concat("role", F.lit(":"), F.format_string("%05d", "ix"))
     depth = 0
     while max_depth is None or depth < max_depth:
-        below = at.join(space.pos.withColumnRenamed("host", "addr").select("addr", "role", "ix", "child"), "addr")
+        below = at.join(of_tplts, "addr").unionByName(at.where(~is_tplt).join(inside.where("host_kind <> 'tplt'"), "addr"))
         at = settled(below.select("root", F.array_append("path", step).alias("path"), F.col("child").alias("addr"), F.array_append("above", F.col("addr")).alias("above")))
         met = at.agg(F.count("*").alias("n"), F.count_if(F.array_contains("above", F.col("addr"))).alias("again")).first()
         if met["again"]:
@@ -124,9 +127,10 @@ def members_and_template(space: Space, addrs: DataFrame) -> DataFrame:
 
 def using_template(space: Space, addrs: DataFrame, tplts: DataFrame) -> DataFrame:
     """Which addresses stand in any role of a relationship of these templates; a template stands in its own."""
-    t = tplts.select(F.col("addr").alias("tplt"))
+    t = F.broadcast(tplts.select(F.col("addr").alias("tplt")).distinct())
+    mine = settled(addrs)
     inside = space.pos.where("host_kind = 'rel'").join(t, "tplt", "left_semi").select(F.col("child").alias("addr"))
-    return addrs.join(inside, "addr", "left_semi")
+    return mine.join(inside.join(small_side(mine.select("addr").distinct()), "addr", "left_semi").distinct(), "addr", "left_semi")
 
 
 def max_addr(space: Space) -> DataFrame:
