@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.space import Space
-from .frames import settled
+from ..sources.space import Space, positions
+from .frames import settled, small_side
 
 
 def hashes(depth: Column, text: Column) -> Column:
@@ -53,14 +53,18 @@ def render(space: Space, addrs: DataFrame, max_depth: int | None = None, as_addr
     """(addr, text). Separators carry one # for each level of nesting; max_depth: relationships at least so deep go in
     parentheses, where the count starts anew. Addresses in as_addr are shown as @n. Expressions with absent parts get no row.
     """
-    # What the texts need, top down.
-    need = settled(addrs.select("addr").distinct())
-    frontier = need
-    inside = space.pos.select(F.col("host").alias("addr"), "child")
+    # What the texts need, top down: the rows of each level, and from these the addresses of the next.
+    given = space.expr.select("addr", "kind", "phrase", "tplt", "members", "cap_left", "seps", "cap_right")
+    need = frontier = settled(addrs.select("addr").distinct())
+    rows, pos = given.where(F.lit(False)), None
     while not frontier.isEmpty():
-        frontier = settled(frontier.join(inside, "addr").select(F.col("child").alias("addr")).distinct().join(need, "addr", "left_anti"))
-        need = settled(need.union(frontier))
-    rows = settled(space.expr.join(need, "addr", "left_semi"))
+        new = settled(given.join(small_side(frontier), "addr", "left_semi"))
+        rows, inside = rows.union(new), positions(new)
+        pos = inside if pos is None else pos.union(inside)
+        frontier = settled(inside.select(F.col("child").alias("addr")).distinct().join(need, "addr", "left_anti"))
+        need = need.union(frontier)
+    if pos is None:
+        return rows.select("addr", F.col("phrase").alias("text"))
     short = as_addr.select("addr", F.lit(True).alias("short")) if as_addr is not None else None
 
     def shown(df: DataFrame) -> DataFrame:
@@ -70,10 +74,10 @@ def render(space: Space, addrs: DataFrame, max_depth: int | None = None, as_addr
         return settled(df.withColumn("inner", F.when(F.col("wrap"), parenthesised(F.col("text"))).otherwise(F.col("text"))))
 
     known = shown(rows.where("kind = 'phrase'").select("addr", F.col("phrase").alias("text"), F.lit(0).alias("naked"), F.lit(False).alias("wrap")))
-    pos = settled(space.pos.join(need.select(F.col("addr").alias("host")), "host", "left_semi").where("NOT (host_kind = 'rel' AND role = 'tplt')"))
+    all_pos, pos = pos, pos.where("NOT (host_kind = 'rel' AND role = 'tplt')")
     counts = pos.groupBy("host").agg(F.count("*").alias("need"))
     caps = rows.where("kind = 'tplt'").select(F.col("addr").alias("tplt"), F.col("cap_left").isNotNull().alias("has_left"), F.col("cap_right").isNotNull().alias("has_right"), "cap_left", "seps", "cap_right")
-    parts_of_tplt = space.pos.where("host_kind = 'tplt'").select(F.col("host").alias("tplt"), "role", "ix", F.col("child").alias("addr"))
+    parts_of_tplt = all_pos.where("host_kind = 'tplt'").select(F.col("host").alias("tplt"), "role", "ix", F.col("child").alias("addr"))
     while True:
         child = known.select(F.col("addr").alias("child"), "inner", "naked", "wrap")
         got = pos.join(child, "child").join(known.select(F.col("addr").alias("host")), "host", "left_anti")
@@ -86,7 +90,7 @@ def render(space: Space, addrs: DataFrame, max_depth: int | None = None, as_addr
         tplts = ready.where("kind = 'tplt'").select(F.col("host").alias("addr"), F.trim(tplt_text).alias("text"), F.lit(0).alias("naked"), F.lit(max_depth is not None).alias("wrap"))
         rels = ready.where("kind = 'rel'").join(rows.select(F.col("addr").alias("host"), "tplt"), "host")
         words = parts_of_tplt.join(known.select("addr", "inner"), "addr").groupBy("tplt").agg(F.sort_array(F.collect_list(one)).alias("tparts"))
-        rels = rels.join(words, "tplt").join(caps, "tplt")
+        rels = rels.join(F.broadcast(words), "tplt").join(F.broadcast(caps), "tplt")  # templates are few
         depth = F.col("below") + 1
         sep = lambda s: hashes(depth, F.when(F.lit(max_depth is not None) & s.contains(" "), parenthesised(s)).otherwise(s))
         tof = lambda role: F.transform(F.filter("tparts", lambda p: p["role"] == role), lambda p: sep(p["s"]))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import followed, settled
 from ..sources.space import Space
 
-from .search import IT, eval_, find, rel, templates
+from .search import IT, eval_, find, rel, template, templates
 from .transitive import edges
 
 
@@ -119,7 +119,7 @@ def related(space: Space, tplts: DataFrame, addrs: DataFrame) -> DataFrame:
 
 
 def rels_using(space: Space, tplts: DataFrame) -> DataFrame:
-    return space.expr.where("kind = 'rel'").join(tplts.select(F.col("addr").alias("tplt")), "tplt", "left_semi").select("addr", "tplt", "members")
+    return space.expr.where("kind = 'rel'").join(F.broadcast(tplts.select(F.col("addr").alias("tplt"))), "tplt", "left_semi").select("addr", "tplt", "members")
 
 
 def members_of_rels(space: Space, tplts: DataFrame) -> DataFrame:
@@ -142,14 +142,7 @@ def sort_priority(space: Space) -> DataFrame:
     """(addr, level, is_isolated) of the templates to sort by: named in ``sort by _``, or on a side of ``sort by _ before _``, in that order."""
     named = eval_(rel("sort by _", IT)) | eval_(rel("sort by _ before _", IT, IT))
     found = find(space, named & templates())
-    before = find(space, templates()).join(space.expr.select("addr", "key"), "addr").where(F.col("key") == _before_key()).select("addr")
-    return topo_sort(space, before, found)
-
-
-def _before_key() -> str:
-    from ..sources.space import template_key
-
-    return template_key("sort by _ before _")
+    return topo_sort(space, find(space, template("sort by _ before _")), found)
 
 
 def first_applicable(space: Space, addrs: DataFrame) -> DataFrame:

@@ -10,8 +10,11 @@ from ..sources.space import Space
 
 
 def edges(space: Space, tplts: DataFrame) -> DataFrame:
-    """(src, dst, rel, tplt) of the binary relationships of these templates. Other arities add no edges (strict: an error)."""
-    rels = space.expr.where("kind = 'rel'").join(tplts.select(F.col("addr").alias("tplt")), "tplt", "left_semi")
+    """(src, dst, rel, tplt) of the binary relationships of these templates. Other arities add no edges (strict: an error).
+
+    Templates are few and each has very many relationships, so they go to these, not both to one task for each template.
+    """
+    rels = space.expr.where("kind = 'rel'").join(F.broadcast(tplts.select(F.col("addr").alias("tplt"))), "tplt", "left_semi")
     if space.strict and not rels.where("arity <> 2").isEmpty():
         raise ValueError("a template is not binary")
     return rels.where("arity = 2").select(F.get("members", F.lit(0)).alias("src"), F.get("members", F.lit(1)).alias("dst"), F.col("addr").alias("rel"), "tplt")

@@ -43,7 +43,7 @@ def search_bind(spark, d):
 
 @query("SELECT '_ in _' AS name")
 def search_template_text(spark, d):
-    s = hashed_space(star.nation_in_region(spark, d), star.supplies(spark, d)).cached()
+    s = hashed_space(star.nation_in_region(spark, d), star.supplies(spark, d))
     return text.render(s, _t(s, "_ in _")).select(F.col("text").alias("name"))
 
 
@@ -138,7 +138,7 @@ def order_find_sorted(spark, d):
 @query("SELECT * FROM (VALUES ('_ in _', 'right'), ('_ supplies _', 'left')) AS t(name, earlier)")
 def order_orientation(spark, d):
     one = spark.range(1)
-    s = hashed_space(star.nation_in_region(spark, d), star.supplies(spark, d), (one, R("sort by _ right first", T("_ in _")))).cached()
+    s = hashed_space(star.nation_in_region(spark, d), star.supplies(spark, d), (one, R("sort by _ right first", T("_ in _"))))
     t = find(s, search.template("_ in _") | search.template("_ supplies _"))
     return text.render(s, order.orientation(s, t)).join(order.orientation(s, t), "addr").select(F.col("text").alias("name"), "earlier")
 
@@ -147,7 +147,7 @@ def order_orientation(spark, d):
 def order_priority(spark, d):
     one = spark.range(1)
     chain = [(one, R("sort by _ before _", T(a), T(b))) for a, b in (("_ in _", "_ placed by _"), ("_ placed by _", "_ supplies _"))]
-    s = hashed_space(star.nation_in_region(spark, d), star.supplies(spark, d), star.order_placed_by(spark, d), *chain).cached()
+    s = hashed_space(star.nation_in_region(spark, d), star.supplies(spark, d), star.order_placed_by(spark, d), *chain)
     ranked = order.sort_priority(s)
     return text.render(s, ranked).join(ranked, "addr").select(F.col("text").alias("name"), "level")
 

@@ -123,13 +123,13 @@ def search_member_of(spark, d):
 @query("""SELECT 'order:' || o_orderkey || ' #placed by customer:5' AS fact FROM orders WHERE o_custkey = 5
 UNION SELECT 'order:' || o_orderkey || ' #placed by customer:5 ##on ' || strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_custkey = 5""")
 def search_involves(spark, d):
-    s = hashed_space(star.placed_on(spark, d)).cached()
+    s = hashed_space(star.placed_on(spark, d))
     return search.find_text(s, search.involves(phrase("customer:5"), 2)).select(F.col("text").alias("fact"))
 
 
 @query("SELECT * FROM (VALUES ('_ in _'), ('_ supplies _')) AS t(name)")
 def search_templates(spark, d):
-    s = hashed_space(star.nation_in_region(spark, d), star.supplies(spark, d)).cached()
+    s = hashed_space(star.nation_in_region(spark, d), star.supplies(spark, d))
     return text.render(s, find(s, search.templates())).select(F.col("text").alias("name"))
 
 
@@ -205,7 +205,7 @@ def navigate_flatten(spark, d):
 
 @query("SELECT 0 AS depth, (SELECT count(DISTINCT o_orderkey) + count(DISTINCT o_custkey) + count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders) + 4 AS n UNION ALL SELECT 1, count(*) FROM orders UNION ALL SELECT 2, count(*) FROM orders")
 def navigate_depth(spark, d):
-    s = hashed_space(star.placed_on(spark, d)).cached()
+    s = hashed_space(star.placed_on(spark, d))
     return navigate.with_depth(s).groupBy("depth").agg(F.count("*").alias("n"))
 
 
@@ -447,7 +447,7 @@ def edit_separate(spark, d):
 @query("SELECT CAST(0 AS BIGINT) AS n_absent, CAST(0 AS BIGINT) AS n_misfit, CAST(0 AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_twice")
 def check_reports(spark, d):
     """All integrity reports over the facts of orders, which are whole."""
-    s = hashed_space(star.placed_on(spark, d), star.customer_in_nation(spark, d)).cached()
+    s = hashed_space(star.placed_on(spark, d), star.customer_in_nation(spark, d))
     n = lambda df, name: df.agg(F.count("*").alias(name))
     out = n(check.absent_children(s), "n_absent")
     for df, name in ((check.misfit_rels(s), "n_misfit"), (check.null_templates(s), "n_null"), (check.duplicate_content(s), "n_twice")):
@@ -465,13 +465,13 @@ def check_finds_absent(spark, d):
 
 @query("SELECT 'order:' || o_orderkey || ' #placed by customer:' || o_custkey || ' ##on ' || strftime(o_orderdate, '%Y-%m-%d') AS fact FROM orders")
 def render_text(spark, d):
-    s = hashed_space(star.placed_on(spark, d)).cached()
+    s = hashed_space(star.placed_on(spark, d))
     return text.render(s, find(s, rel("_ on _", ANY, ANY))).select(F.col("text").alias("fact"))
 
 
 @query("SELECT '(order:' || o_orderkey || ' #(placed by) customer:' || o_custkey || ') #on ' || strftime(o_orderdate, '%Y-%m-%d') AS fact FROM orders")
 def render_parentheses(spark, d):
-    s = hashed_space(star.placed_on(spark, d)).cached()
+    s = hashed_space(star.placed_on(spark, d))
     return text.render(s, find(s, rel("_ on _", ANY, ANY)), max_depth=1).select(F.col("text").alias("fact"))
 
 
