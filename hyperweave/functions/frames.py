@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,16 @@ def measured_broadcasts(spark: SparkSession) -> None:
         spark.conf.set(limit, "-1")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``settled``, but as files with a size of their own: a checkpoint keeps its plan's estimate, which is a product at each join.
+
+    In a loop that joins a table with itself the estimate is squared in each round, so that its digits double and planning takes all the time.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows of a few numbers that may be broadcast: some tens of MB.
 BROADCAST_ROWS = 500_000
 
@@ -51,24 +62,56 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: From so many pointers on, some nodes are made stops, so that most pointers have a short way; one node in STOPS.
+MANY_POINTERS, STOPS = 200_000, 16
+
+
 def followed(links: DataFrame, compose: Callable[[Callable, Callable], dict]) -> tuple[DataFrame, DataFrame]:
     """links (node, up, ...): each pointer moved on to the first ``up`` that is no node, by doubling: rounds go with the logarithm of the way.
 
     compose(mine, next) gives the other columns of a pointer that goes on with another one; both are functions from column
     name to Column. Returns the links that have ended, and those that never do, as they lead into a circle.
+    Many pointers first go to the next stop alone, where most have come after a few rounds; the stops, which are far fewer, are
+    followed by themselves in the same way, and each pointer goes on once with that of its stop.
     """
-    rest = [c for c in links.columns if c not in ("node", "up")]
-    at, waiting = settled(links), None
+    links = settled(links)
+    if links.count() < MANY_POINTERS:
+        return _pointed(links, compose)
+    is_stop = F.pmod(F.xxhash64("node"), F.lit(STOPS)) == 0
+    near, circling = _pointed(links.where(~is_stop), compose)
+    stops, led = _goes_on(links.where(is_stop), near, circling.select("node"), compose)
+    far, round_ = followed(stops, compose)
+    ended, along = _goes_on(near, far, round_.select("node").union(led.select("node")), compose)
+    return far.union(ended), circling.union(led).union(round_).union(along)
+
+
+def _goes_on(links: DataFrame, on: DataFrame, lost: DataFrame, compose) -> tuple[DataFrame, DataFrame]:
+    """Each link moved on once by the links ``on``; and those that lead to a node of ``lost``."""
+    on = on.select(*(F.col(c).alias(f"_{c}") for c in on.columns)).withColumn("_lost", F.lit(False))
+    nowhere = lost.select(F.col("node").alias("_node"), F.lit(True).alias("_lost"))
+    on = on.unionByName(nowhere, allowMissingColumns=True)
+    both = settled(links.join(on, links["up"] == on["_node"], "left"))
+    goes = F.col("_node").isNotNull()
+    new = compose(lambda c: F.col(c), lambda c: F.col(f"_{c}"))
+    moved = [F.when(goes, F.col("_up") if c == "up" else new[c]).otherwise(F.col(c)).alias(c) for c in links.columns if c != "node"]
+    return both.where("_lost IS NULL OR NOT _lost").select("node", *moved), both.where("_lost").select(*links.columns)
+
+
+def _pointed(links: DataFrame, compose) -> tuple[DataFrame, DataFrame]:
+    """``followed`` by doubling alone. A round joins the pointers that are still on their way with all of them."""
+    columns = links.columns
+    ended, at, waiting = links.where(F.lit(False)), links, None
     while True:
-        on = at.select(*(F.col(c).alias(f"_{c}") for c in at.columns if c != "_open"))
-        both = at.join(on, at["up"] == on["_node"], "left")
+        on = ended.union(at).select(*(F.col(c).alias(f"_{c}") for c in columns))
+        both = at.join(on, F.col("up") == F.col("_node"), "left")
         goes = F.col("_node").isNotNull()
         new = compose(lambda c: F.col(c), lambda c: F.col(f"_{c}"))
-        moved = [F.when(goes, new[c]).otherwise(F.col(c)).alias(c) for c in rest]
-        at = settled(both.select("node", F.when(goes, F.col("_up")).otherwise(F.col("up")).alias("up"), *moved, goes.alias("_open")))
-        count = at.where("_open").count()
+        moved = [F.col("node") if c == "node" else F.when(goes, F.col("_up") if c == "up" else new[c]).otherwise(F.col(c)).alias(c) for c in columns]
+        told = stored(both.select(*moved, goes.alias("_open")))
+        ended, at = ended.union(told.where("NOT _open").drop("_open")), told.where("_open").drop("_open")
+        count = at.count()
         if count == 0 or count == waiting:  # a round in which nobody came to an end: all that is left goes in circles
-            return at.where("NOT _open").drop("_open"), at.where("_open").drop("_open")
+            return ended, at
         waiting = count
 
 

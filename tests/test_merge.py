@@ -66,3 +66,21 @@ def test_templates_go_to_their_relationships(spark):
     t = find(s, template("_ of _"))
     for df in (order.rels_using(s, t), check.misfit_rels(s)):
         assert "Broadcast" in _plan(df) and "SortMergeJoin" not in _plan(df)
+
+
+def test_many_pointers_go_by_stops(spark, monkeypatch):
+    """A line, trees and circles, with and without stops among them, as by doubling alone; and few rounds over all pointers."""
+    from hyperweave.functions import frames
+
+    line = [(i, i - 1) for i in range(1, 400)] + [(1000 + i, i * 7) for i in range(50)]
+    rings = [(2000 + i, 2000 + (i + 1) % 40) for i in range(40)] + [(3000, 3001), (3001, 3000), (3002, 3000), (3003, 3002)] + [(4000 + i, 2000 + i) for i in range(20)]
+    links = spark.createDataFrame(line + rings, "node long, up long").withColumn("w", F.lit(1).cast("long"))
+    compose = lambda mine, on: {"w": mine("w") + on("w")}
+    plain = [sorted(map(tuple, x.collect())) for x in frames._pointed(links, compose)]
+    monkeypatch.setattr(frames, "MANY_POINTERS", 100)
+    seen, pointed = [], frames._pointed
+    monkeypatch.setattr(frames, "_pointed", lambda rows, f: seen.append(rows.count()) or pointed(rows, f))
+    ended, circling = frames.followed(links, compose)
+    assert sorted(map(tuple, ended.collect())) == plain[0]
+    assert sorted(r["node"] for r in circling.collect()) == [r[0] for r in plain[1]]
+    assert len(seen) == 2 and seen[1] < 100
