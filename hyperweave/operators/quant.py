@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import settled
+from ..functions.frames import settled, small_side, stored
 from . import search
 
 
@@ -209,16 +209,15 @@ def reconcile(frames: list[DataFrame]) -> DataFrame:
     if not frames:
         raise ValueError("nothing to reconcile")
     known = [set(_bindings(f)) for f in frames]
-    out, *rest = _aligned([f.distinct() if len(frames) == 1 else settled(f.distinct()) for f in frames])  # each is read several times
+    out, *rest = _aligned([f.distinct() if len(frames) == 1 else stored(f.distinct()) for f in frames])  # each is read several times
     names, keys = _bindings(out), [*_envs(out), "elt"]
     for i, f in enumerate(rest, 1):
         if not names:
             out = out.join(f, keys, "left_semi")
             continue
-        # Where both hold the same set of bindings, it stays as it is: no row of either is missing in the other.
-        odd = out.subtract(f.select(*out.columns)).union(f.select(*out.columns).subtract(out)).select(*keys)
-        same = out.select(*keys).distinct().join(f, keys, "left_semi").join(odd, keys, "left_anti")
-        r = f.select(*keys, *(F.col(n).alias(f"_{n}") for n in names)).join(same, keys, "left_anti")
+        same = _same(out, f.select(*out.columns), keys, names)
+        r = f.select(*keys, *(F.col(n).alias(f"_{n}") for n in names))
+        r = r if same is None else r.join(same, keys, "left_anti")
         both = sorted(set.union(*known[:i]) & known[i])
         merged = lambda d: d.select(*keys, *(F.coalesce(n, f"_{n}").alias(n) for n in names))
         if not both:
@@ -227,14 +226,36 @@ def reconcile(frames: list[DataFrame]) -> DataFrame:
             bound = lambda prefix: reduce(lambda a, b: a & b, (F.col(f"{prefix}{n}").isNotNull() for n in both))
             agree = reduce(lambda a, b: a & b, (F.col(n).isNull() | F.col(f"_{n}").isNull() | (F.col(n) == F.col(f"_{n}")) for n in both))
             full, r_full = out.where(bound("")), r.where(bound("_"))
-            byvalue = full.join(r_full.select(*keys, *(F.col(f"_{n}").alias(n) for n in both), *(f"_{n}" for n in names)), [*keys, *both])
-            loose = out.where(~bound("")).join(r, keys).where(agree), full.join(r.where(~bound("_")), keys).where(agree)
-            mixed = reduce(DataFrame.union, map(merged, (byvalue, *loose)))
-        out = mixed.union(out.join(same, keys, "left_semi").select(*keys, *names)).distinct()
-        out = settled(out) if f is not rest[-1] else out
+            byvalue = full.join(r_full.select(*keys, *(F.col(f"_{n}").alias(n) for n in both), *(f"_{n}" for n in names if n not in both)), [*keys, *both])
+            parts = []
+            # Where no row has an unbound one, the others are not moved to meet it.
+            if not out.where(~bound("")).isEmpty():
+                parts.append(out.where(~bound("")).join(r, keys).where(agree))
+            if not r.where(~bound("_")).isEmpty():
+                parts.append(full.join(r.where(~bound("_")), keys).where(agree))
+            # The columns that rows met by stay as they are, so that equal rows are in one place already.
+            met = byvalue.select(*keys, *(F.col(n) if n in both else F.coalesce(n, f"_{n}").alias(n) for n in names))
+            mixed = reduce(DataFrame.union, map(merged, parts), met)
+        out = (mixed if same is None else mixed.union(out.join(same, keys, "left_semi").select(*keys, *names))).distinct()
+        out = stored(out) if f is not rest[-1] else out
     return out
 
 
+def _same(a: DataFrame, b: DataFrame, keys: list[str], names: list[str]) -> DataFrame | None:
+    """The elements for which both hold the same set of bindings, some with an unbound variable; None if there are none.
+
+    Sets whose bindings are all bound need no such care: they meet by value and stay as they are.
+    """
+    loose = reduce(lambda x, y: x | y, (F.col(n).isNull() for n in names))
+    if a.where(loose).isEmpty() or b.where(loose).isEmpty():
+        return None
+    maybe = a.where(loose).select(*keys).distinct().join(b.where(loose), keys, "left_semi")
+    a, b = (x.join(maybe, keys, "left_semi") for x in (a, b))
+    odd = a.subtract(b).union(b.subtract(a)).select(*keys)  # a row of one is missing in the other
+    same = settled(maybe.join(odd, keys, "left_anti"))
+    return None if same.isEmpty() else same
+
+
 class Env:
     """The bindings around a query: every combination of the rows of its factors, which are never paired unless a test compares them.
 

@@ -120,3 +120,34 @@ def test_bindings_as_results(spark):
     results = {"p": frame(spark, [(7, 1), (8, 2)], "x"), "q": frame(spark, [(9, 1), (9, 2)], "x")}
     given = {"p": frame(spark, [(7,)]), "q": frame(spark, [(9,)])}
     assert [tuple(r) for r in quant.consistent_bindings(results, given).collect()] == [(1,)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reconcile_moves_bound_rows_once(spark):
+    """Without an unbound variable, rows meet by value alone: no search for equal sets, no join of an element's rows with all others."""
+    line = frame(spark, [(1, 1, 2), (1, 2, 2), (2, 1, 1)], "p", "s")
+    out = reconcile([line, line.select("elt", "p"), line.select("elt", "s")])
+    assert got(out, "p", "s") == got(line, "p", "s")
+    assert "LeftAnti" not in _plan(out) and "Union" not in _plan(out) and _plan(out).count("Join ") == 1
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # of the join; none for the distinct rows
+
+
+def test_reconcile_as_by_hand(spark):
+    import random
+
+    rnd = random.Random(5)
+    for _ in range(3):
+        rows = [[(rnd.randrange(4), *(rnd.choice([None, 1, 2]) if rnd.random() < 0.7 else 1 for _ in range(3))) for _ in range(9)] for _ in range(2)]
+        rows.append(rows[1] if rnd.random() < 0.5 else rows[0][:6])
+        rows[2] = [r for r in rows[2] if r[0] != 3]
+        want = {e: {r[1:] for r in rows[0] if r[0] == e} for e in range(4)}
+        for f in rows[1:]:
+            for e, have in want.items():
+                new = {r[1:] for r in f if r[0] == e}
+                if have != new:
+                    want[e] = {tuple(x if x is not None else y for x, y in zip(a, b)) for a in have for b in new if all(None in (x, y) or x == y for x, y in zip(a, b))}
+        frames = [spark.createDataFrame(f, "elt long, x long, y long, z long") for f in rows]
+        assert got(reconcile(frames), "x", "y", "z") == sorted(((e, *b) for e, have in want.items() for b in have), key=str)
