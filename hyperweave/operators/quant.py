@@ -266,7 +266,8 @@ class Env:
         self.factors, self.guards = factors, guards
 
     def extended(self, name: str, values: DataFrame) -> Env:
-        return Env((*self.factors, values.select(F.col("elt").alias(name)).distinct()), self.guards)
+        """values: distinct ``elt``."""
+        return Env((*self.factors, values.select(F.col("elt").alias(name))), self.guards)
 
     def touching(self, names) -> list[DataFrame]:
         return [f for f in self.factors if set(f.columns) & set(names)]
@@ -303,7 +304,13 @@ class Env:
 
 class Runner:
     def __init__(self, space, results: dict[str, DataFrame], spark):
-        self.space, self.results, self.spark = space, results, spark
+        self.space, self.results, self.spark, self.ranges = space, results, spark, {}
+
+    def _range(self, source: str) -> DataFrame:
+        """The distinct elements of an earlier step, settled as they are read several times; few are sent to the facts, not the facts to them."""
+        if source not in self.ranges:
+            self.ranges[source] = small_side(settled(self.results[source].select("elt").distinct()))
+        return self.ranges[source]
 
     def _attached(self, rows: DataFrame, env: Env, names) -> DataFrame:
         """``rows`` with env columns for these variables and those that theirs are tied to; rows that bind some of them meet their own values."""
@@ -350,7 +357,7 @@ class Runner:
             names = sorted({c[4:] for p in parts for c in _envs(p)})
             parts = _aligned([self._attached(p, env, [n for n in names if f"env_{n}" not in p.columns]) for p in parts])
             return reduce(DataFrame.unionByName, parts).distinct()
-        inner = env.extended(q.name, self.results[q.source])
+        inner = env.extended(q.name, self._range(q.source))
         column = f"env_{q.name}"
         if isinstance(q, ForSome):
             got = self.found(q.query, inner)
@@ -443,7 +450,7 @@ class Runner:
             names = sorted({c[4:] for p in parts for c in _envs(p)})
             return reduce(DataFrame.unionByName, _aligned([self._attached(p, env, [n for n in names if f"env_{n}" not in p.columns]) for p in parts])).distinct()
         column = f"env_{q.name}"
-        first = env.extended(q.name, self.results[q.source])
+        first = env.extended(q.name, self._range(q.source))
         if isinstance(q, ForSome):
             got = self.tested(q.query, rows, first)
             return (got if column in got.columns else self._attached(got, first, [q.name])).drop(column).distinct()
@@ -474,7 +481,7 @@ class Runner:
                 return env if any(len(p.guards) == len(env.guards) for p in parts) else parts[0]
             columns = [c for f in env.touching(names) for c in f.columns]
             return env.replaced(reduce(DataFrame.union, [p.kept(p.of(columns)).select(*columns) for p in parts]).distinct())
-        wide = env.extended(q.name, self.results[q.source])
+        wide = env.extended(q.name, self._range(q.source))
         if isinstance(q, ForSome):
             return self.passing(q.query, wide).without(q.name)
         if q.condition is not None:

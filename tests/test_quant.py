@@ -151,3 +151,19 @@ def test_reconcile_as_by_hand(spark):
                     want[e] = {tuple(x if x is not None else y for x, y in zip(a, b)) for a in have for b in new if all(None in (x, y) or x == y for x, y in zip(a, b))}
         frames = [spark.createDataFrame(f, "elt long, x long, y long, z long") for f in rows]
         assert got(reconcile(frames), "x", "y", "z") == sorted(((e, *b) for e, have in want.items() for b in have), key=str)
+
+
+def test_few_values_are_sent_to_the_facts(spark):
+    """A quantifier's range is computed once, and the facts are not moved to meet it."""
+    from hyperweave.operators import search
+    from hyperweave.sources.facts import R, hashed_space
+
+    rows = spark.range(40).select(F.concat(F.lit("a:"), F.col("id") % 8).alias("a"), F.concat(F.lit("b:"), F.col("id") % 5).alias("b"))
+    s = hashed_space((rows, R("_ of _", F.col("a"), F.col("b"))))
+    parts = quant.find(search.phrase("b:1") | search.phrase("b:2"))
+    of = lambda v: quant.find(search.eval_(search.rel("_ of _", search.IT, search.var(v))))
+    both = for_some("p", "parts", for_some("q", "parts", and_(vtest(lambda a, b: a != b, Ref("p"), Ref("q")), of("p"), of("q"))))
+    out = run_program(s, [("parts", parts), ("some", for_some("p", "parts", of("p"))), ("all", for_all("p", "parts", of("p"))), ("both", both)], spark)
+    assert [out[x].select("elt").distinct().count() for x in ("some", "all", "both")] == [8, 8, 8]
+    plan = out["some"]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and "phrase" not in plan
