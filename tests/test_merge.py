@@ -84,3 +84,22 @@ def test_many_pointers_go_by_stops(spark, monkeypatch):
     assert sorted(map(tuple, ended.collect())) == plain[0]
     assert sorted(r["node"] for r in circling.collect()) == [r[0] for r in plain[1]]
     assert len(seen) == 2 and seen[1] < 100
+
+
+def test_texts_of_templates_settle_no_facts(spark, monkeypatch):
+    """What search_templates settles on the way to two texts is as small as they are, however many facts there are."""
+    import __spark_entry__ as driver
+    from hyperweave.functions import frames, render
+    from hyperweave.sources import space
+
+    sizes, settled = [], frames.settled
+
+    def counted(df):
+        out = settled(df)
+        sizes.append(out.count())
+        return out
+
+    for module in (render, space):
+        monkeypatch.setattr(module, "settled", counted)
+    found = driver.queries()["search_templates"](spark, "/root/testdata/sf0.001")
+    assert sorted(r["name"] for r in found.collect()) == ["_ in _", "_ supplies _"] and sizes and max(sizes) <= 20
