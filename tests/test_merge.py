@@ -1,5 +1,6 @@
 """The merge of statements by content, and joins that broadcast by measured sizes alone."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from hyperweave.operators import check, navigate, order
@@ -103,3 +104,12 @@ def test_texts_of_templates_settle_no_facts(spark, monkeypatch):
         monkeypatch.setattr(module, "settled", counted)
     found = driver.queries()["search_templates"](spark, "/root/testdata/sf0.001")
     assert sorted(r["name"] for r in found.collect()) == ["_ in _", "_ supplies _"] and sizes and max(sizes) <= 20
+
+
+@pytest.mark.parametrize("name", ["quant_for_some", "quant_test", "search_and", "search_bind", "search_collapsed"])
+def test_phrases_of_facts_are_merged_in_hash_tables_by_their_texts(spark, name):
+    """Whole expressions, merged by key, were sorted for it, and the memory of a task grew with them."""
+    import __spark_entry__ as driver
+
+    plan = _plan(driver.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert "SortAggregate" not in plan and "hashpartitioning(key" not in plan and "hashpartitioning(phrase" in plan
