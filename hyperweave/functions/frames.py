@@ -66,21 +66,22 @@ def small_side(df: DataFrame) -> DataFrame:
 MANY_POINTERS, STOPS = 200_000, 16
 
 
-def followed(links: DataFrame, compose: Callable[[Callable, Callable], dict]) -> tuple[DataFrame, DataFrame]:
+def followed(links: DataFrame, compose: Callable[[Callable, Callable], dict], level: int = 0) -> tuple[DataFrame, DataFrame]:
     """links (node, up, ...): each pointer moved on to the first ``up`` that is no node, by doubling: rounds go with the logarithm of the way.
 
     compose(mine, next) gives the other columns of a pointer that goes on with another one; both are functions from column
     name to Column. Returns the links that have ended, and those that never do, as they lead into a circle.
     Many pointers first go to the next stop alone, where most have come after a few rounds; the stops, which are far fewer, are
-    followed by themselves in the same way, and each pointer goes on once with that of its stop.
+    followed by themselves in the same way, and each pointer goes on once with that of its stop. level: how often this was done; stops
+    among the stops are chosen by another hash, as by the same one all of them would be stops again.
     """
     links = settled(links)
     if links.count() < MANY_POINTERS:
         return _pointed(links, compose)
-    is_stop = F.pmod(F.xxhash64("node"), F.lit(STOPS)) == 0
+    is_stop = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(STOPS)) == 0
     near, circling = _pointed(links.where(~is_stop), compose)
     stops, led = _goes_on(links.where(is_stop), near, circling.select("node"), compose)
-    far, round_ = followed(stops, compose)
+    far, round_ = followed(stops, compose, level + 1)
     ended, along = _goes_on(near, far, round_.select("node").union(led.select("node")), compose)
     return far.union(ended), circling.union(led).union(round_).union(along)
 

@@ -87,6 +87,25 @@ def test_many_pointers_go_by_stops(spark, monkeypatch):
     assert len(seen) == 2 and seen[1] < 100
 
 
+def test_stops_of_stops_are_fewer(spark, monkeypatch):
+    """So many pointers that their stops are many, too: each level follows a part of what the one before it left."""
+    from hyperweave.functions import frames
+
+    links = spark.range(1, 1200).select(F.col("id").alias("node"), (F.col("id") - 1).alias("up"), F.lit(1).cast("long").alias("w"))
+    monkeypatch.setattr(frames, "MANY_POINTERS", 20)
+    monkeypatch.setattr(frames, "STOPS", 4)
+    seen, followed = [], frames.followed
+
+    def counted(rows, *more):
+        seen.append(rows.count())
+        assert len(seen) < 9 and (len(seen) == 1 or seen[-1] < seen[-2])
+        return followed(rows, *more)
+
+    monkeypatch.setattr(frames, "followed", counted)
+    ended, circling = counted(links, lambda mine, on: {"w": mine("w") + on("w")})
+    assert sorted(map(tuple, ended.collect())) == [(i, 0, i) for i in range(1, 1200)] and circling.isEmpty() and len(seen) > 3
+
+
 def test_texts_of_templates_settle_no_facts(spark, monkeypatch):
     """What search_templates settles on the way to two texts is as small as they are, however many facts there are."""
     import __spark_entry__ as driver
