@@ -62,6 +62,16 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def kept_at(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` with a key of ``wanted``, a settled table of distinct keys alone.
+
+    Few keys are sent to the scans below unions and merges. Many meet all of ``df`` at once: a semi join would go below these as well,
+    moving the keys once for each table and rows that are not merged yet.
+    """
+    few = wanted.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(wanted), key, "left_semi") if few else df.join(wanted, key)
+
+
 #: From so many pointers on, some nodes are made stops, so that most pointers have a short way; one node in STOPS.
 MANY_POINTERS, STOPS = 200_000, 16
 

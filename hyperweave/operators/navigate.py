@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import settled, small_side
+from ..sources.facts import P, R, read_off
 from ..sources.space import Space
 
 
@@ -102,11 +103,24 @@ def with_depth(space: Space) -> DataFrame:
         out, waiting = out.union(frontier), told.where("missing > 0")
 
 
+def _leaf_texts(pattern) -> Column | None:
+    """The phrases of a pattern as an array, left to right; None if a template is among its members."""
+    if isinstance(pattern, P):
+        return F.array(pattern.column())
+    found = [_leaf_texts(m) for m in pattern.members] if isinstance(pattern, R) else [None]
+    return None if any(x is None for x in found) else F.concat(*found)
+
+
 def flatten_phrases(space: Space, addrs: DataFrame) -> DataFrame:
-    """(root, phrases): leaf phrases left to right, without separators. Trees with a template among their members are left out."""
-    leaves = unnest(space, addrs).where(F.forall("path", lambda s: s.startswith("member:")))
-    bad = leaves.where("kind = 'tplt'").select("root")
-    return leaves.where("kind = 'phrase'").join(bad, "root", "left_anti").groupBy("root").agg(F.transform(F.sort_array(F.collect_list(F.struct("path", "phrase"))), lambda x: x["phrase"]).alias("phrases"))
+    """(root, phrases): leaf phrases left to right, without separators. Trees with a template among their members are left out.
+
+    In a space made from tables the phrases are read off the rows that state them, with no walk down.
+    """
+    if space.wholes is not None:
+        return read_off(space, settled(addrs.select("addr").distinct()), _leaf_texts, "phrases").withColumnRenamed("addr", "root")
+    below = unnest(space, addrs).where(F.forall("path", lambda s: s.startswith("member:")))
+    bad = below.where("kind = 'tplt'").select("root")
+    return below.where("kind = 'phrase'").join(bad, "root", "left_anti").groupBy("root").agg(F.transform(F.sort_array(F.collect_list(F.struct("path", "phrase"))), lambda x: x["phrase"]).alias("phrases"))
 
 
 def host_rows(space: Space, addrs: DataFrame) -> DataFrame:

@@ -6,12 +6,13 @@ A pattern is built from P (a phrase from a column or a literal) and R (a relatio
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import dense_ids, measured_broadcasts, settled
+from ..functions.frames import dense_ids, kept_at, measured_broadcasts, settled
 from .space import EXPR, Space, phrase_key, rel_key, template_key, template_parts, tplt_key
 
 
@@ -203,6 +204,16 @@ def _leaves(pattern) -> list[P]:
     return [pattern] if isinstance(pattern, P) else []
 
 
+def _templates(pattern):
+    """The templates of a pattern, those of its relationships among them."""
+    if isinstance(pattern, R):
+        yield T(pattern.template)
+        for m in pattern.members:
+            yield from _templates(m)
+    elif isinstance(pattern, T):
+        yield pattern
+
+
 def _shape(pattern):
     """What a pattern states beside its phrases: expressions are the same if their shapes and the texts of their phrases are."""
     if isinstance(pattern, R):
@@ -257,7 +268,7 @@ def _addressed(statements, address) -> Space:
         given = {"addr": at(F.col("key")), "kind": F.lit(kind), "key": F.col("key")} | columns
         return rows.select(*(given.get(c, F.lit(None).cast(t)).alias(c) for c, t in (x.split() for x in EXPR.split(", "))))
 
-    out, kept = [], {c: F.col(c) for c in ("arity", "cap_left", "seps", "cap_right")}
+    out, wholes, kept = [], [], {c: F.col(c) for c in ("arity", "cap_left", "seps", "cap_right")}
     if phrases:
         out.append(shaped(_union(phrases).distinct(), "phrase", phrase_key(F.col("phrase")), arity=F.lit(0), phrase=F.col("phrase")))
     if tplts:
@@ -266,8 +277,26 @@ def _addressed(statements, address) -> Space:
         merged = _union(parts).distinct()
         r = _refilled(pattern, (F.col(f"x{i}") for i in range(len(_leaves(pattern)))))
         members = F.array(*(at(m.key()) for m in r.members))
+        wholes.append((r, _union(parts).withColumn("addr", at(r.key()))))
         out.append(shaped(merged, "rel", r.key(), arity=F.lit(len(r.members)), tplt=at(template_key(r.template)), members=members))
-    return Space(_union(out), rels=lambda key, constants: stated_rels(statements, key, constants, address))
+    return Space(_union(out), rels=lambda key, constants: stated_rels(statements, key, constants, address), wholes=wholes)
+
+
+def read_off(space: Space, wanted: DataFrame, made: Callable, out: str) -> DataFrame:
+    """(addr, out) of those expressions at ``wanted``, settled distinct addresses, whose value follows from their own phrases alone.
+
+    For spaces made from tables: the row that states a relationship has all its phrases, however deep it nests, so nothing is joined but
+    the addresses, once; few of them go to the scans. made(pattern) is the value of a pattern whose phrases are columns, or None.
+    """
+    of = lambda rows, value: [] if value is None else [rows.select("addr", value.alias(out))]
+    parts = of(space.expr.where("kind = 'phrase'"), made(P(F.col("phrase"))))
+    patterns = [pattern for pattern, _ in space.wholes]
+    tplts = {template_key(t.text): t for pattern in patterns for t in _templates(pattern)}
+    for key, t in tplts.items():
+        parts += of(space.expr.where((F.col("kind") == "tplt") & (F.col("key") == key)), made(t))
+    for pattern, rows in space.wholes:
+        parts += of(rows, made(pattern))
+    return kept_at(_union(parts), wanted, "addr").groupBy("addr").agg(F.first(out).alias(out))
 
 
 def load_rows(expr: DataFrame, df: DataFrame, pattern, order: Column | None = None, start: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -315,4 +344,4 @@ def load(space: Space, df: DataFrame, pattern, order: Column | None = None) -> t
     return Space(settled(space.expr.unionByName(rows)), strict=space.strict), report
 
 
-__all__ = ["P", "R", "T", "collision_free_space", "hashed_space", "load", "load_rows", "nodes", "hash_address", "tplt_key"]
+__all__ = ["P", "R", "T", "collision_free_space", "hashed_space", "load", "load_rows", "nodes", "hash_address", "read_off", "tplt_key"]

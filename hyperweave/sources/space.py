@@ -157,11 +157,12 @@ class Space:
     """expr: one row for each expression; pos: one for each child in each role, made from expr unless given.
 
     rels: where the space was made from tables, a function (template key, constants) -> the relationships of that template, straight from
-    the tables that state them; see facts.stated_rels.
+    the tables that state them; see facts.stated_rels. wholes: then also a list of (pattern, rows), one for each shape of relationship, with
+    the texts of its phrases in each row; see facts.read_off.
     """
 
-    def __init__(self, expr: DataFrame, pos: DataFrame | None = None, strict: bool = False, rels=None):
-        self.expr, self.strict, self.rels = expr, strict, rels
+    def __init__(self, expr: DataFrame, pos: DataFrame | None = None, strict: bool = False, rels=None, wholes=None):
+        self.expr, self.strict, self.rels, self.wholes = expr, strict, rels, wholes
         self._pos = pos
 
     @property

@@ -6,9 +6,9 @@ from operator import or_
 import pytest
 from pyspark.sql import functions as F
 
-from hyperweave.operators import edit, order, search, transitive
+from hyperweave.operators import edit, navigate, order, search, transitive
 from hyperweave.operators.search import ANY, IT, eval_, find, phrase, rel
-from hyperweave.sources.facts import R, collision_free_space, hashed_space, load
+from hyperweave.sources.facts import R, T, collision_free_space, hashed_space, load
 from hyperweave.sources.space import empty_space
 
 
@@ -79,6 +79,24 @@ def test_stated_rels_agree_with_the_merged_space(spark):
     assert sorted(map(tuple, found[0].collect())) == sorted(map(tuple, found[1].collect())) != []
 
 
+def _told(spark):
+    """A space as its tables state it: nested and repeated facts, templates as members, caps, empty separators, constants and nulls."""
+    rows = spark.createDataFrame([("a", "b c", 1), ("b c", "a", 2), ("a", "b c", 1), (None, "a", 4), ("a", None, 5), ("", "a", 1)], "x string, y string, n long")
+    likes = R("_ really likes _", F.col("x"), F.col("y"))
+    deep = R("that _ since _ is _", R("_ since _", likes, F.col("n")), F.col("n"), R("_ of _ so", "fact", likes))
+    return hashed_space((rows, deep), (rows.select("x"), R("_ _", F.col("x"), "tea")), (rows, R("always _", F.col("y"))), (rows, R("_ is _", T("that _ since _ is _"), F.col("y"))), (rows, R("_ is _", R("_ is _", T("_ _"), "odd"), F.col("x"))))
+
+
+def test_phrases_read_off_tables_agree_with_those_of_the_merged_space(spark, monkeypatch):
+    lazy = _told(spark)
+    whole = lazy.cached()
+    everything = whole.expr.select("addr")
+    want = sorted(map(tuple, navigate.flatten_phrases(whole, everything).collect()))
+    monkeypatch.setattr(navigate, "unnest", None)  # nothing is walked
+    got = sorted(map(tuple, navigate.flatten_phrases(lazy, everything.union(everything)).select("root", "phrases").collect()))
+    assert got == want and {len(p) for _, p in got} == {1, 2, 3, 7}
+
+
 def test_edits_hash_only_what_they_touch(spark):
     """Other rows keep the key that they have, even one that a look at their content would change."""
     df = spark.range(50).select(F.concat(F.lit("p"), "id").alias("a"), F.lit("top").alias("b"))
