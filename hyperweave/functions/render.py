@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.space import Space, positions
+from ..sources.facts import P, T, read_off
+from ..sources.space import Space, positions, template_parts
 from .frames import settled, small_side
 
 
@@ -49,10 +50,32 @@ def substituted(text: Column, pattern: str, replacement: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_replace(text, pattern, replacement)).otherwise(text)
 
 
+def written(pattern, max_depth: int | None = None) -> tuple[Column, int, bool]:
+    """(text, naked depth, whether it goes in parentheses within others) of a pattern whose phrases are columns, as ``render`` writes it."""
+    if isinstance(pattern, P):
+        return pattern.column(), 0, False
+    if isinstance(pattern, T):
+        left, seps, right = template_parts(pattern.text)
+        words = [left, "_", *(x for s in seps for x in (s, "_")), right]
+        return F.lit(" ".join(w for w in words if w is not None).strip(" ")), 0, max_depth is not None
+    members = [written(m, max_depth) for m in pattern.members]
+    depth = 1 + max(0 if wrap else naked for _, naked, wrap in members)
+    texts = [parenthesised(t) if wrap else t for t, _, wrap in members]
+    left, seps, right = (x if isinstance(x, list) else [x] for x in template_parts(pattern.template))
+    sep = lambda s: None if s is None else F.lit("#" * depth + (f"({s})" if max_depth is not None and " " in s else s))
+    turns = [x for pair in zip(texts, map(sep, [*seps, None]), strict=True) for x in pair]
+    found = [x for x in (*map(sep, left), *turns, *map(sep, right)) if x is not None]
+    spaced = [x for part in found for x in (F.lit(" "), part)][1:]
+    return F.concat(*spaced), depth, max_depth is not None and depth >= max_depth
+
+
 def render(space: Space, addrs: DataFrame, max_depth: int | None = None, as_addr: DataFrame | None = None) -> DataFrame:
     """(addr, text). Separators carry one # for each level of nesting; max_depth: relationships at least so deep go in
     parentheses, where the count starts anew. Addresses in as_addr are shown as @n. Expressions with absent parts get no row.
+    In a space made from tables, texts without as_addr are written from the rows that state them.
     """
+    if space.wholes is not None and as_addr is None:
+        return read_off(space, settled(addrs.select("addr").distinct()), lambda pattern: written(pattern, max_depth)[0], "text")
     # What the texts need, top down: the rows of each level, and from these the addresses of the next.
     given = space.expr.select("addr", "kind", "phrase", "tplt", "members", "cap_left", "seps", "cap_right")
     need = frontier = settled(addrs.select("addr").distinct())

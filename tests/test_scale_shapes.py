@@ -6,6 +6,7 @@ from operator import or_
 import pytest
 from pyspark.sql import functions as F
 
+from hyperweave.functions import frames, render
 from hyperweave.operators import edit, navigate, order, search, transitive
 from hyperweave.operators.search import ANY, IT, eval_, find, phrase, rel
 from hyperweave.sources.facts import R, T, collision_free_space, hashed_space, load
@@ -87,6 +88,19 @@ def _told(spark):
     return hashed_space((rows, deep), (rows.select("x"), R("_ _", F.col("x"), "tea")), (rows, R("always _", F.col("y"))), (rows, R("_ is _", T("that _ since _ is _"), F.col("y"))), (rows, R("_ is _", R("_ is _", T("_ _"), "odd"), F.col("x"))))
 
 
+def test_many_texts_move_once(spark, monkeypatch):
+    """However deep facts are nested, their texts go through one exchange, to the addresses that were asked for."""
+    monkeypatch.setattr(frames, "BROADCAST_ROWS", 0)
+    lazy = _told(spark)
+    facts = find(lazy, rel("that _ since _ is _", ANY, ANY, ANY))
+    found = render.render(lazy, facts)
+    assert sorted(r["text"] for r in found.collect()) == sorted(
+        f"###that {x} #really likes {y} ##since {n} ###since {n} ###is fact ##of {x} #really likes {y} ##so" for x, y, n in (("a", "b c", 1), ("b c", "a", 2), ("", "a", 1))
+    )
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == plan.count("Join Inner") == 1
+
+
 def test_phrases_read_off_tables_agree_with_those_of_the_merged_space(spark, monkeypatch):
     lazy = _told(spark)
     whole = lazy.cached()
