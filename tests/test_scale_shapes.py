@@ -10,7 +10,7 @@ from hyperweave.functions import frames, render
 from hyperweave.operators import edit, navigate, order, search, transitive
 from hyperweave.operators.search import ANY, IT, eval_, find, phrase, rel
 from hyperweave.sources.facts import R, T, collision_free_space, hashed_space, load
-from hyperweave.sources.space import empty_space
+from hyperweave.sources.space import empty_space, positions
 
 
 def leads(spark, pairs):
@@ -88,6 +88,22 @@ def _told(spark):
     return hashed_space((rows, deep), (rows.select("x"), R("_ _", F.col("x"), "tea")), (rows, R("always _", F.col("y"))), (rows, R("_ is _", T("that _ since _ is _"), F.col("y"))), (rows, R("_ is _", R("_ is _", T("_ _"), "odd"), F.col("x"))))
 
 
+def test_texts_written_from_tables_agree_with_those_of_the_merged_space(spark, monkeypatch):
+    lazy = _told(spark)
+    whole = lazy.cached()
+    assert whole.wholes is None
+    everything = whole.expr.select("addr")
+    monkeypatch.setattr(render, "positions", None)
+    for depth in (None, 1, 2, 3):
+        got = sorted(map(tuple, render.render(lazy, everything.union(everything), depth).collect()))  # no row for a child is made
+        with monkeypatch.context() as m:
+            m.setattr(render, "positions", positions)
+            assert got == sorted(map(tuple, render.render(whole, everything, depth).collect())), depth
+        assert len(got) == everything.count()
+    few = find(lazy, rel("_ _", ANY, ANY))
+    assert sorted(r["text"] for r in render.render(lazy, few).collect()) == [" # tea", "a # tea", "b c # tea"]
+
+
 def test_many_texts_move_once(spark, monkeypatch):
     """However deep facts are nested, their texts go through one exchange, to the addresses that were asked for."""
     monkeypatch.setattr(frames, "BROADCAST_ROWS", 0)
