@@ -108,17 +108,30 @@ def _goes_on(links: DataFrame, on: DataFrame, lost: DataFrame, compose) -> tuple
     return both.where("_lost IS NULL OR NOT _lost").select("node", *moved), both.where("_lost").select(*links.columns)
 
 
+#: Steps that a round makes where all pointers are few, so that it moves nothing but a broadcast.
+HOPS = 3
+
+
 def _pointed(links: DataFrame, compose) -> tuple[DataFrame, DataFrame]:
-    """``followed`` by doubling alone. A round joins the pointers that are still on their way with all of them."""
+    """``followed`` by doubling alone. A round joins the pointers that are still on their way with all of them, or, once these are few, with
+    those that they lead to. Few pointers made of numbers alone go to every task, and on by HOPS in a round.
+    """
     columns = links.columns
+    few = all(t in ("bigint", "int") for _, t in links.dtypes) and links.count() < MANY_POINTERS
     ended, at, waiting = links.where(F.lit(False)), links, None
     while True:
         on = ended.union(at).select(*(F.col(c).alias(f"_{c}") for c in columns))
-        both = at.join(on, F.col("up") == F.col("_node"), "left")
-        goes = F.col("_node").isNotNull()
-        new = compose(lambda c: F.col(c), lambda c: F.col(f"_{c}"))
-        moved = [F.col("node") if c == "node" else F.when(goes, F.col("_up") if c == "up" else new[c]).otherwise(F.col(c)).alias(c) for c in columns]
-        told = stored(both.select(*moved, goes.alias("_open")))
+        if few:
+            on = F.broadcast(on)
+        elif waiting is not None and waiting <= BROADCAST_ROWS:
+            on = on.join(F.broadcast(at.select(F.col("up").alias("_node"))), "_node", "left_semi")
+        moved = at
+        for _ in range(HOPS if few else 1):
+            goes = F.col("_node").isNotNull()
+            new = compose(lambda c: F.col(c), lambda c: F.col(f"_{c}"))
+            steps = [F.col("node") if c == "node" else F.when(goes, F.col("_up") if c == "up" else new[c]).otherwise(F.col(c)).alias(c) for c in columns]
+            moved = moved.join(on, F.col("up") == F.col("_node"), "left").select(*steps, goes.alias("_open"))
+        told = stored(moved)
         ended, at = ended.union(told.where("NOT _open").drop("_open")), told.where("_open").drop("_open")
         count = at.count()
         if count == 0 or count == waiting:  # a round in which nobody came to an end: all that is left goes in circles

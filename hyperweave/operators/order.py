@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import followed, settled
+from ..functions.frames import followed, kept_at, settled, small_side
 from ..sources.space import Space
 
 from .search import IT, eval_, find, rel, template, templates
@@ -33,28 +33,36 @@ def levels(pairs: DataFrame) -> DataFrame:
     logarithm of their size. A circle raises CycleError.
     """
     edges = settled(pairs.select("before", "after", F.lit(1).cast("long").alias("w")).distinct())
-    nodes = settled(edges.select(F.col("before").alias("addr")).union(edges.select("after")).distinct().select("addr", F.lit(0).cast("long").alias("least")))
+    nodes = edges.select(F.col("before").alias("addr"), F.lit(0).cast("long").alias("least"))
     known, hanging = nodes.where(F.lit(False)).select("addr", F.col("least").alias("level")), []
     while not edges.isEmpty():
-        degree = settled(edges.groupBy("after").agg(F.count("*").alias("n"), F.first("before").alias("up"), F.first("w").alias("w")))
-        single = nodes.join(degree.where("n = 1"), nodes["addr"] == degree["after"]).select(F.col("addr").alias("node"), "up", "least", "w")
-        tops = settled(nodes.join(degree.select(F.col("after").alias("addr")), "addr", "left_anti").select("addr", F.col("least").alias("level")))
+        # One exchange: what is known of each node, how many precede it, and which one if there is one.
+        both = nodes.select("addr", "least", F.lit(None).cast("long").alias("up"), F.lit(None).cast("long").alias("w"))
+        both = both.unionByName(edges.select(F.col("after").alias("addr"), F.lit(0).cast("long").alias("least"), F.col("before").alias("up"), "w"))
+        degree = settled(both.groupBy("addr").agg(F.max("least").alias("least"), F.count("up").alias("n"), F.max("up").alias("up"), F.max("w").alias("w")))
+        single = degree.where("n = 1").select(F.col("addr").alias("node"), "up", "least", "w")
+        tops = degree.where("n = 0").select("addr", F.col("least").alias("level"))
         hung, circling = followed(single, lambda mine, on: {"least": F.greatest(mine("least"), on("least") + mine("w")), "w": mine("w") + on("w")})
         if not circling.isEmpty() or (hung.isEmpty() and tops.isEmpty()):
             raise CycleError("the template has a cycle")
         known = known.union(tops)
         hanging.append(hung)
-        several = degree.where("n > 1").select("after")
-        via = hung.select(F.col("node").alias("before"), "up", "least", F.col("w").alias("more"))
-        moved = edges.join(several, "after", "left_semi").join(via, "before", "left")
-        moved = moved.select("after", F.coalesce("up", "before").alias("before"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), (F.col("least") + F.col("w")).alias("bound"))
+        several = degree.where("n > 1").select(F.col("addr").alias("after"), "least")
+        if several.isEmpty():
+            nodes = nodes.where(F.lit(False))
+            break
+        via = hung.select(F.col("node").alias("before"), "up", F.col("least").alias("_least"), F.col("w").alias("more"))
+        moved = edges.join(several.select("after"), "after", "left_semi").join(via, "before", "left")
+        moved = moved.select("after", F.coalesce("up", "before").alias("before"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), (F.col("_least") + F.col("w")).alias("bound"))
         moved = settled(moved.join(tops.withColumnRenamed("addr", "before"), "before", "left"))
         bound = moved.groupBy("after").agg(F.max(F.greatest("bound", F.col("level") + F.col("w"))).alias("bound"))
-        nodes = settled(nodes.join(bound.withColumnRenamed("after", "addr"), "addr").select("addr", F.greatest("least", "bound").alias("least")))
+        nodes = settled(several.join(bound, "after").select(F.col("after").alias("addr"), F.greatest("least", "bound").alias("least")))
         edges = settled(moved.where("level IS NULL").groupBy("before", "after").agg(F.max("w").alias("w")))
     known = settled(known.union(nodes.select("addr", F.col("least").alias("level"))).dropDuplicates(["addr"]))
     for hung in reversed(hanging):
-        on = known.select(F.col("addr").alias("up"), "level")
+        # Very many may hang on a few, which then go to them: they would all meet in one task.
+        ups = settled(hung.select(F.col("up").alias("addr")).distinct())
+        on = small_side(settled(kept_at(known, ups, "addr").select(F.col("addr").alias("up"), "level")))
         known = settled(known.union(hung.join(on, "up").select(F.col("node").alias("addr"), F.greatest("least", F.col("level") + F.col("w")).alias("level"))))
     return known.select("addr", F.col("level").cast("int").alias("level"))
 

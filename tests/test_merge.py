@@ -106,6 +106,16 @@ def test_stops_of_stops_are_fewer(spark, monkeypatch):
     assert sorted(map(tuple, ended.collect())) == [(i, 0, i) for i in range(1, 1200)] and circling.isEmpty() and len(seen) > 3
 
 
+def test_few_pointers_take_several_steps_a_round(spark, monkeypatch):
+    from hyperweave.functions import frames
+
+    links = spark.range(1, 1200).select(F.col("id").alias("node"), (F.col("id") - 1).alias("up"), F.lit(1).cast("long").alias("w"))
+    rounds, stored = [], frames.stored
+    monkeypatch.setattr(frames, "stored", lambda df: rounds.append(1) or stored(df))
+    ended, circling = frames.followed(links, lambda mine, on: {"w": mine("w") + on("w")})
+    assert sorted(map(tuple, ended.collect())) == [(i, 0, i) for i in range(1, 1200)] and circling.isEmpty() and len(rounds) <= 7
+
+
 def test_texts_of_templates_settle_no_facts(spark, monkeypatch):
     """What search_templates settles on the way to two texts is as small as they are, however many facts there are."""
     import __spark_entry__ as driver
